@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
-def mid_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "n",
-              n_buckets: int = DEFAULT_BUCKETS, out: str = "mid_rank") -> DataFrame:
-    """Add ``out`` = average 1-based rank of ``value`` within ``keys``.
+def cumulative_before(counts: DataFrame, keys: list[str], value: str, weight: str = "n",
+                      n_buckets: int = DEFAULT_BUCKETS, out: str = "cum_before") -> DataFrame:
+    """Add ``out`` = total ``weight`` of rows with a smaller ``value`` in the same group.
 
-    ``counts`` has one row per (keys, value) and a non-negative ``weight``.
-    Equal values share the mean of the ranks they span.
+    ``counts`` has one row per (keys, value). Two-level: approximate-quantile
+    buckets per group, a window inside each (group, bucket), and broadcast
+    bucket offsets, so no task ever holds a whole group.
     """
     fractions = [i / n_buckets for i in range(1, n_buckets)]
     bounds = (counts.groupBy(*keys)
@@ -46,6 +47,44 @@ def mid_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "n",
     c = c.withColumn("_before", F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
     # offsets: groups x n_buckets rows, a bound fixed by parameters
     c = c.join(F.broadcast(offsets), keys + ["_bucket"])
-    return (c.withColumn(out, (F.col("_offset") + F.col("_before")).cast("double")
-                         + (F.col(weight).cast("double") + 1.0) / 2.0)
+    return (c.withColumn(out, F.col("_offset") + F.col("_before"))
             .drop("_bucket", "_before", "_offset"))
+
+
+def mid_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "n",
+              n_buckets: int = DEFAULT_BUCKETS, out: str = "mid_rank") -> DataFrame:
+    """Add ``out`` = average 1-based rank of ``value`` within ``keys``.
+
+    ``counts`` has one row per (keys, value) and a non-negative ``weight``.
+    Equal values share the mean of the ranks they span.
+    """
+    c = cumulative_before(counts, keys, value, weight, n_buckets, "_cb")
+    return (c.withColumn(out, F.col("_cb").cast("double") + (F.col(weight).cast("double") + 1.0) / 2.0)
+            .drop("_cb"))
+
+
+def exact_quantiles(counts: DataFrame, keys: list[str], value: str, weight: str,
+                    qs: dict[str, float], n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / quantile_cont rule).
+
+    For N values in order, q sits at position h = q (N - 1) (0-based); the
+    result is v[floor h] + (h - floor h) (v[ceil h] - v[floor h]). Works on
+    the aggregated (keys, value, weight) table; returns one row per group.
+    """
+    c = cumulative_before(counts, keys, value, weight, n_buckets, "_cb")
+    tot = counts.groupBy(*keys).agg(F.sum(weight).alias("_N"))
+    c = c.join(F.broadcast(tot), keys)  # one row per group
+    lo_end = F.col("_cb")
+    hi_end = F.col("_cb") + F.col(weight)
+    aggs = []
+    for name, q in qs.items():
+        h = (F.col("_N") - 1).cast("double") * q
+        lo = F.floor(h)
+        hi = F.ceil(h)
+        aggs.append(F.max(F.when((lo >= lo_end) & (lo < hi_end), F.col(value))).alias(f"_{name}_lo"))
+        aggs.append(F.max(F.when((hi >= lo_end) & (hi < hi_end), F.col(value))).alias(f"_{name}_hi"))
+        aggs.append(F.max(h - lo).alias(f"_{name}_f"))
+    r = c.groupBy(*keys).agg(*aggs)
+    outs = [(F.col(f"_{n}_lo") + F.col(f"_{n}_f") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n)
+            for n in qs]
+    return r.select(*keys, *outs)

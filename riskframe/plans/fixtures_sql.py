@@ -50,3 +50,31 @@ FROM orders
 LINEITEM_DUPES = """
 SELECT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem
 """
+
+# orders with derived nulls, NaN, an 80 % null column, an outlier column and
+# a constant column; o_orderkey is a unique row key
+ORDERS_DIRTY = """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS total,
+       CASE WHEN o_orderkey % 11 = 0 THEN CAST('NaN' AS DOUBLE)
+            ELSE CAST(o_custkey % 100 AS DOUBLE) END AS cust_mod,
+       CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_custkey AS DOUBLE) END AS sparse_col,
+       o_totalprice * CASE WHEN o_orderkey % 997 = 0 THEN 100 ELSE 1 END AS price_out,
+       CAST(1.0 AS DOUBLE) AS const_one,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS priority,
+       o_orderstatus AS status
+FROM orders
+"""
+
+# categorical text in the shapes the cleaning maps expect
+ORDERS_CATEGORIES = """
+SELECT o_orderkey,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'Primary ' WHEN '2-HIGH' THEN 'secondary'
+            WHEN '3-MEDIUM' THEN ' HIGHER' ELSE 'unknown' END AS education,
+       CASE o_orderstatus WHEN 'F' THEN 'Male' WHEN 'O' THEN ' female' ELSE 'other' END AS sex,
+       CASE WHEN o_custkey % 3 = 0 THEN 'Urban' WHEN o_custkey % 3 = 1 THEN 'rural' ELSE 'SemiUrban' END AS areas,
+       CASE WHEN o_orderstatus = 'F' THEN ' Yes ' ELSE 'NO' END AS flag_yn,
+       CASE WHEN o_totalprice > 150000 THEN 'TRUE' ELSE 'false' END AS flag_tf,
+       o_orderpriority, o_orderstatus
+FROM orders
+"""
