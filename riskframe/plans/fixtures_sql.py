@@ -78,3 +78,22 @@ SELECT o_orderkey,
        o_orderpriority, o_orderstatus
 FROM orders
 """
+
+# patient-like vitals derived from customer keys (same arithmetic in both engines)
+VITALS = """
+SELECT c_custkey AS patient_id,
+       CAST(40 + c_custkey % 50 AS DOUBLE) AS age,
+       CAST(1 + c_custkey % 2 AS INT) AS gender,
+       CAST(150 + c_custkey % 45 AS DOUBLE) AS height,
+       CAST(50 + c_custkey % 70 AS DOUBLE) AS weight,
+       CAST(100 + (c_custkey * 7) % 90 AS DOUBLE) AS ap_hi,
+       CAST(60 + (c_custkey * 3) % 50 AS DOUBLE) AS ap_lo,
+       CAST(1 + c_custkey % 3 AS INT) AS cholesterol,
+       CAST(1 + (c_custkey + c_nationkey) % 2 AS INT) AS gluc,
+       CAST(c_nationkey % 2 AS INT) AS smoke,
+       CAST((c_custkey + 1) % 2 AS INT) AS alco,
+       CAST((c_custkey + c_nationkey + 1) % 2 AS INT) AS active,
+       c_acctbal,
+       CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END AS cardio
+FROM customer
+"""
