@@ -97,3 +97,19 @@ SELECT c_custkey AS patient_id,
        CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END AS cardio
 FROM customer
 """
+
+# three rule-based "models" scoring the returned label of every line item
+PREDICTIONS = """
+SELECT model, pos, label, prob, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS pred
+FROM (
+  SELECT 'price' AS model, 1 AS pos, label, round(least(greatest(l_extendedprice / 100000.0, 0.0), 1.0), 3) AS prob FROM b
+  UNION ALL
+  SELECT 'quantity' AS model, 2 AS pos, label, round(l_quantity / 50.0, 3) AS prob FROM b
+  UNION ALL
+  SELECT 'discount_tax' AS model, 3 AS pos, label, round(l_discount * 5.0 + l_tax * 6.25, 3) AS prob FROM b
+) m
+"""
+
+
+def predictions_sql() -> str:
+    return f"WITH b AS ({LINEITEM_LABELLED}) {PREDICTIONS}"
