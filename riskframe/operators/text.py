@@ -46,59 +46,67 @@ def _word_count(s: Column) -> Column:
     return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, WORDS_SPLIT)))
 
 
-def chunk_text(text, chunk_size: int = 400, overlap: int = 100) -> Column:
-    """ARRAY<STRING> of chunks for one text, as a SQL fold over its sentences.
-
-    Sentences split after . ! ? + whitespace; blank ones skipped. Sentences
-    are packed greedily while the word count stays <= ``chunk_size``; when
-    the next sentence would overflow, the chunk is emitted and the next one
-    starts from the longest run of trailing sentences totalling <=
-    ``overlap`` words. A sentence longer than ``chunk_size`` stays whole.
+def chunk_bounds(sents: Column, lens: Column, prefix: Column, chunk_size: int = 400,
+                 overlap: int = 100) -> Column:
+    """STRUCT<starts, ends> of 1-based sentence index ranges, one per chunk.
+
+    A SQL fold over sentence indexes: sentences are packed greedily while
+    the word count stays <= ``chunk_size``; when the next sentence would
+    overflow, the chunk is emitted and the next one starts from the longest
+    run of trailing sentences totalling <= ``overlap`` words (a sentence
+    longer than ``chunk_size`` stays whole). ``prefix`` holds prefix sums of
+    ``lens`` so any run's word count is O(1). The arguments must be plain
+    column references (materialised before the fold), so the fold does not
+    re-evaluate them per step.
     """
-    t = F.col(text) if isinstance(text, str) else text
-    sents = F.filter(F.transform(F.split(t, SENTENCE_SPLIT), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
-    items = F.transform(sents, lambda s: F.struct(s.alias("s"), _word_count(s).alias("w")))
-    init = F.struct(F.array().cast("array<string>").alias("chunks"),
-                    F.array().cast("array<string>").alias("cur"),
-                    F.array().cast("array<int>").alias("lens"),
-                    F.lit(0).alias("len"))
-
-    def step(acc, it):
-        full = (acc["len"] + it["w"] > chunk_size) & (F.size(acc["cur"]) > 0)
-        n = F.size(acc["lens"])
-        # first index j (1-based) whose suffix sum of lengths fits the overlap
-        fits = F.filter(F.sequence(F.lit(1), n + 1),
-                        lambda j: F.aggregate(F.slice(F.concat(acc["lens"], F.array(F.lit(0))), j, n + 2 - j),
-                                              F.lit(0), lambda a, x: a + x) <= overlap)
-        start = F.array_min(fits)
-        keep = F.when(start <= n, F.slice(acc["cur"], start, n - start + 1)).otherwise(
-            F.array().cast("array<string>"))
-        keep_l = F.when(start <= n, F.slice(acc["lens"], start, n - start + 1)).otherwise(
-            F.array().cast("array<int>"))
-        keep_len = F.aggregate(keep_l, F.lit(0), lambda a, x: a + x)
+    n = F.size(sents)
+
+    def run(i: Column, j: Column) -> Column:
+        return F.element_at(prefix, i) - F.element_at(prefix, j)  # words in sentences j..i-1
+
+    init = F.struct(F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"),
+                    F.lit(1).alias("cs"), F.lit(0).alias("len"))
+
+    def step(acc, i):
+        w = F.element_at(lens, i)
+        full = (acc["len"] + w > chunk_size) & (i > acc["cs"])
+        j = F.array_min(F.filter(F.sequence(acc["cs"], i), lambda k: run(i, k) <= overlap))
         return F.when(full, F.struct(
-            F.concat(acc["chunks"], F.array(F.array_join(acc["cur"], " "))).alias("chunks"),
-            F.concat(keep, F.array(it["s"])).alias("cur"),
-            F.concat(keep_l, F.array(it["w"])).alias("lens"),
-            (keep_len + it["w"]).alias("len"))).otherwise(F.struct(
-                acc["chunks"].alias("chunks"),
-                F.concat(acc["cur"], F.array(it["s"])).alias("cur"),
-                F.concat(acc["lens"], F.array(it["w"])).alias("lens"),
-                (acc["len"] + it["w"]).alias("len")))
+            F.concat(acc["starts"], F.array(acc["cs"])).alias("starts"),
+            F.concat(acc["ends"], F.array(i - 1)).alias("ends"),
+            j.alias("cs"), (run(i, j) + w).alias("len"))).otherwise(F.struct(
+                acc["starts"].alias("starts"), acc["ends"].alias("ends"), acc["cs"].alias("cs"),
+                (acc["len"] + w).alias("len")))
 
-    folded = F.aggregate(items, init, step)
-    return F.when(F.size(folded["cur"]) > 0,
-                  F.concat(folded["chunks"], F.array(F.array_join(folded["cur"], " ")))).otherwise(folded["chunks"])
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init,
+                         lambda acc, i: F.when(i <= n, step(acc, i)).otherwise(acc))
+    tail = n >= folded["cs"]
+    return F.struct(F.when(tail, F.concat(folded["starts"], F.array(folded["cs"]))).otherwise(folded["starts"])
+                    .alias("starts"),
+                    F.when(tail, F.concat(folded["ends"], F.array(n))).otherwise(folded["ends"]).alias("ends"))
 
 
 def chunk_documents(df: DataFrame, doc_id: str, text: str, source: str | None = None,
                     chunk_size: int = 400, overlap: int = 100) -> DataFrame:
     """(doc_id, [source,] chunk_no, text, word_count): one row per chunk.
 
-    Each document is folded independently, so the work is parallel by document.
+    Sentences split after . ! ? + whitespace (blank ones skipped); see
+    ``chunk_bounds`` for the packing rule. Each document is folded
+    independently, so the work is parallel by document; the sentence array,
+    word counts and prefix sums are materialised as columns before the fold.
     """
     cols = [doc_id] + ([source] if source else [])
-    return (df.select(*cols, F.posexplode(chunk_text(text, chunk_size, overlap)).alias("chunk_no", "text"))
+    t = F.col(text)
+    sents = F.filter(F.transform(F.split(t, SENTENCE_SPLIT), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+    a = df.select(*cols, sents.alias("_s"))
+    a = a.select(*cols, "_s", F.transform("_s", lambda s: _word_count(s)).alias("_l"))
+    a = a.select(*cols, "_s", "_l",
+                 F.aggregate("_l", F.array(F.lit(0)),
+                             lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))).alias("_p"))
+    a = a.select(*cols, "_s", chunk_bounds(F.col("_s"), F.col("_l"), F.col("_p"), chunk_size, overlap).alias("_b"))
+    chunks = F.transform(F.arrays_zip(F.col("_b.starts").alias("a"), F.col("_b.ends").alias("b")),
+                         lambda z: F.array_join(F.slice(F.col("_s"), z["a"], z["b"] - z["a"] + 1), " "))
+    return (a.select(*cols, F.posexplode(chunks).alias("chunk_no", "text"))
             .withColumn("word_count", _word_count(F.col("text"))))
 
 
