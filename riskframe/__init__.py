@@ -8,4 +8,12 @@ Subpackages:
   streaming  Structured Streaming forms of alerting, scoring and the ledger
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+# Executors need no copy of this package: functions that run inside tasks
+# travel by value with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

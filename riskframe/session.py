@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every riskframe job relies on. ANSI mode stays on: operators use
@@ -40,26 +37,20 @@ def get_session(master: str | None = None, app: str = "riskframe",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder of ``spark.checkpoint.dir``, read from the session.
 
-    The cluster names a shared folder in that setting; we read it from the
-    session. Only when it is unset (local tests) do we create one of our own.
+    Streams, sinks and written intermediate tables go there, so every
+    executor must see it. Raises when the setting is missing: a machine-local
+    stand-in would lose data on a cluster.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    d = sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        # local tests only: a cluster always names a shared folder
-        d = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    current = spark.sparkContext.getCheckpointDir()
+    if not current:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return current
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,6 +12,7 @@ SMOKE = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from riskframe.session import get_session
-    s = get_session("local[4]", app="riskframe-tests", shuffle_partitions=4)
+    shared = tempfile.mkdtemp(prefix="riskframe-tests-")
+    s = get_session("local[4]", app="riskframe-tests", shuffle_partitions=4, conf={"spark.checkpoint.dir": shared})
     yield s
     s.stop()
