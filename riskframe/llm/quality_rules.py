@@ -18,15 +18,14 @@ the score 0. Extra columns pass through; texts of any length are scored whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.byte_runs import POLY, RunHasher, byte_values, joined, mix, repeats, runs
 from riskframe.llm.common import blocks, col, free_name, utf8
 
 # Fixed values of the base rules.
@@ -34,6 +33,7 @@ WHITE_SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+WINDOW_WORDS = 3
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -41,49 +41,96 @@ THRESHOLD = -0.5
 # The most trusted documents that the target model is fitted on (those of least id hash).
 MAX_TARGET_DOCS = 20_000
 
-TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
-NOT_COUNTED = WHITE_SPACE + bytes(range(0x80, 0xC0))  # white space, and all but the first byte of a character
-CACHED_WORDS = 500_000
 RULES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
          "base_failed boolean, llr double, kept boolean")
+BLOCK_BYTES = 1 << 19
 
 
-class NgramHasher:
-    """Bucket numbers of a text's 1- and 2-grams, with a bounded cache of word tokens."""
+def _table(values: dict[bytes, int], rest: int, kind=np.uint8) -> np.ndarray:
+    out = np.full(256, rest, kind)
+    for chars, value in values.items():
+        out[list(chars)] = value
+    return out
+
+
+UPPER = bytes(range(0x41, 0x5B))
+ALNUM = bytes(range(0x30, 0x3A)) + UPPER + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
+CONTINUED = bytes(range(0x80, 0xC0))  # all but the first byte of a character
+
+
+class TextStats:
+    """Counts, tokens and n-gram buckets of a block of texts at a time."""
 
     def __init__(self, buckets: int):
         if buckets & (buckets - 1):
             raise ValueError("the number of buckets must be a power of two")
         self.mask = np.uint64(buckets - 1)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = b"".join([xxhash.xxh64_digest(t) for t in TOKEN.findall(w.lower())])
-        tokens = np.frombuffer(b"".join(map(known.__getitem__, words)), ">u8").astype(np.uint64)
-        mixed = tokens * np.uint64(0x9E3779B97F4A7C15)
-        pairs = (mixed[:-1] ^ (tokens[1:] + (mixed[:-1] >> np.uint64(29)))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return np.concatenate([tokens & self.mask, (pairs >> np.uint64(32)) & self.mask]).astype(np.int64)
+        self.hasher = RunHasher()
+        self.token_kind = _table({WHITE_SPACE: 0, ALNUM: 1}, 2)
+        self.word = _table({WHITE_SPACE: 0}, 1)
+        self.word_char = _table({WHITE_SPACE: 0, CONTINUED: 0}, 1, np.int64)
+        self.symbol = _table({SYMBOLS: 1}, 0, np.int64)
+        self.value = byte_values()
+        self.folded = self.value.copy()
+        self.folded[list(UPPER)] = self.value[[c + 0x20 for c in UPPER]]
+
+    def ngrams(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket and the text number of every 1- and 2-gram, each text's in order."""
+        data, begin = joined(texts)
+        start, end = runs(self.token_kind[data])
+        token = self.hasher.hashes(self.hasher.sums(self.folded[data]), start, end)
+        owner = np.searchsorted(begin, start, side="right") - 1
+        pair = mix(token[:-1] + mix(token[1:] + np.uint64(POLY)))
+        inside = owner[1:] == owner[:-1]
+        return (np.concatenate([token, pair[inside]]) & self.mask).astype(np.int64), np.concatenate([owner, owner[1:][inside]])
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: a column for each text."""
+        data, begin = joined(texts)
+        number = len(texts)
+        word = self.word[data]
+        sums = self.hasher.sums(self.value[data])
+        start, end = runs(word)
+        owner = np.searchsorted(begin, start, side="right") - 1
+        hashed = self.hasher.hashes(sums, start, end)
+        # Windows of words inside one text, and where two of them are equal.
+        k = WINDOW_WORDS
+        whole = np.flatnonzero(owner[k - 1:] == owner[:len(owner) - k + 1]) if len(owner) >= k else owner[:0]
+        window = owner[whole].astype(np.uint64)
+        for j in range(k):
+            window = mix(window + np.uint64(POLY)) + hashed[whole + j]
+        twice, _ = repeats(window)
+        covered = np.zeros(len(owner), bool)
+        for j in range(k):
+            covered[whole[twice] + j] = True
+        # Lines with a word, and those equal to an earlier one of the text.
+        line_end = np.flatnonzero(data == 0x0A)
+        line_start = np.concatenate([[0], line_end[:-1] + 1])
+        words_before = np.concatenate([[0], np.cumsum(word, dtype=np.int64)])
+        filled = words_before[line_end] > words_before[line_start]
+        line_start, line_end = line_start[filled], line_end[filled]
+        line_owner = np.searchsorted(begin, line_start, side="right") - 1
+        line = mix(line_owner.astype(np.uint64) + np.uint64(POLY)) + self.hasher.hashes(sums, line_start, line_end)
+        _, again = repeats(line)
+        return np.stack([
+            np.bincount(owner, minlength=number), np.add.reduceat(self.word_char[data], begin),
+            np.add.reduceat(self.symbol[data], begin), np.bincount(line_owner[again], minlength=number),
+            np.bincount(owner[covered], minlength=number)])
 
 
 def ngram_counts(docs: DataFrame, text_col: str, target_col: str, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, raw, target): n-gram counts of all documents and of those marked in ``target_col``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = NgramHasher(buckets)
+        stats = TextStats(buckets)
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for t, trusted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = (t.as_py() or b"").split()
-                if words:
-                    seen = np.bincount(hasher(words), minlength=buckets)
-                    raw += seen
-                    if trusted:
-                        target += seen
+            trusted, at = np.asarray(batch.column(1).to_pylist(), bool), 0
+            for block in blocks((v.as_py() for v in batch.column(0)), BLOCK_BYTES):
+                bucket, owner = stats.ngrams([t or b"" for t in block])
+                raw += np.bincount(bucket, minlength=buckets)
+                target += np.bincount(bucket[trusted[at:at + len(block)][owner]], minlength=buckets)
+                at += len(block)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])],
                                          names=["bucket", "raw", "target"])
@@ -114,57 +161,28 @@ def mark_target(docs: DataFrame, labels: DataFrame, id_col: str, out_col: str,
     return marked.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False)))
 
 
-def repeated_words(words: list[bytes], size: int = 3) -> int:
-    """How many words lie in a window of ``size`` words that the text holds twice or more."""
-    n = len(words) - size + 1
-    if n < 2:
-        return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words))
-    window, kinds = ids[:n], len(number)
-    for k in range(1, size):  # re-ranked before it could overflow
-        if kinds * len(number) >= 1 << 62:
-            _, window = np.unique(window, return_inverse=True)
-            kinds = n
-        window, kinds = window * len(number) + ids[k:k + n], kinds * len(number)
-    order = np.argsort(window, kind="stable")
-    equal = window[order[1:]] == window[order[:-1]]
-    start = np.zeros(n, bool)
-    start[order[1:][equal]] = True
-    start[order[:-1][equal]] = True
-    covered = np.zeros(len(words), bool)
-    for k in range(size):
-        covered[k:k + n] |= start
-    return int(covered.sum())
-
-
-def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    return (len(words), len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)),
-            len(lines) - len(set(lines)), repeated_words(words))
-
-
 def apply_rules(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", out_col: str = "rules",
                 threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with a struct ``out_col`` of the counts, the score ``llr`` and the verdict. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # one number a bucket
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table, hasher = shared.value, NgramHasher(len(shared.value))
+        table = shared.value
+        stats = TextStats(len(table))
         for batch in batches:
-            rows = []
-            for block in blocks(v.as_py() for v in batch):
-                for text in block:
-                    text = text or b""
-                    words = text.split()
-                    counts = base_counts(text, words)
-                    llr = float(table[hasher(words)].mean()) if words else 0.0
-                    failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
-                    rows.append((*counts, failed, llr, not failed and llr >= threshold))
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            parts = [np.zeros((6, 0))]
+            for block in blocks((v.as_py() for v in batch), BLOCK_BYTES):
+                texts = [t or b"" for t in block]
+                bucket, owner = stats.ngrams(texts)
+                total = np.bincount(owner, weights=table[bucket], minlength=len(texts))
+                mean = total / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+                parts.append(np.concatenate([stats.counts(texts), mean[None]]))
+            got = np.concatenate(parts, axis=1)
+            counts, llr = got[:5].astype(np.int64), got[5]
+            failed = (counts[0] < MIN_WORDS) | (100 * counts[4] > MAX_REPEAT_PERCENT * counts[0])
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            yield pa.StructArray.from_arrays(
+                [pa.array(c) for c in (*counts, failed, llr, ~failed & (llr >= threshold))], names=names)
 
     return docs.withColumn(out_col, F.arrow_udf(run, RULES)(utf8(text_col)))
 

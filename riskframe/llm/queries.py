@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskframe.llm import quality_rules, sentencepiece_codec, token_counts
+from riskframe.llm import (chat_format, decontaminate, langid, quality_classifier, quality_rules, secret_scan,
+                           sentencepiece_codec, simhash, token_counts, warc)
 from riskframe.sources.tables import table
 
+CHAT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +40,64 @@ def op6_quality_rules(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     """Number of pieces of every whole document."""
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+@query
+def op4_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate group of every whole document."""
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_decontaminate(spark, sf_dir):
+    """Overlap of every whole document with the benchmark items."""
+    return decontaminate.overlap_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_secret_scan(spark, sf_dir):
+    """Secrets of every whole document, with corpus-wide ownership; a source stands for an owner."""
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+CONTROL_CONVERSATION = """
+SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+AS t(conv_id, turn, role, text)"""
+
+
+@query
+def op2_chat_format(spark, sf_dir):
+    """Every conversation, and one whose texts are control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.sql(CONTROL_CONVERSATION))
+    return chat_format.format_conversations(rows, CHAT_TOKENIZER).drop("text", "ids", "loss_mask")
+
+
+@query
+def op8_warc(spark, sf_dir):
+    """Every page written as a WARC record and read back from the archives."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), spark)
+
+
+def fold(id_col: str, n: int):
+    """crc32 of the id as text, modulo ``n``; null ids are in fold 0."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % n
+
+
+@query
+def op9_langid(spark, sf_dir):
+    """Language of every whole document, learned on four of five folds."""
+    return langid.language_report(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0)
+
+
+@query
+def op10_quality_classifier(spark, sf_dir):
+    """Quality score of every whole document, learned on three of four folds of the labels."""
+    return quality_classifier.quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The stages of ``corpus_pipeline`` over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
