@@ -68,16 +68,6 @@ def all_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a cheap bounded count proves it small.
-
-    The check reads at most ``max_rows + 1`` rows; beyond that the plain
-    DataFrame is returned and Spark plans a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a global aggregate (exactly one row) to every row.
 

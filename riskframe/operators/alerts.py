@@ -6,9 +6,11 @@ The streaming form (keyed running counts across micro-batches) lives in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.ranks import occurrence_number
+
 # fixed values: alert thresholds by severity (others: 99)
 THRESHOLDS = {"CRITICAL": 1, "HIGH": 3, "MEDIUM": 10}
 DEFAULT_THRESHOLD = 99
@@ -22,6 +24,22 @@ PLAYBOOK = {
 }
 DEFAULT_ACTION = "Log and monitor"
 
+# fixed values: release criteria with the artifact that meets each (None: the model gate)
+RELEASE_CRITERIA = [
+    ("All datasets validated", "dataset_catalog.json"),
+    ("EDA completed", "eda_report.html"),
+    ("Best model selected", None),
+    ("SHAP completed", "shap_report.html"),
+    ("LIME completed", "lime_report.html"),
+    ("Security review passed", "guardrail_report.json"),
+]
+# fixed values: recommendation by verdict
+RELEASE_TEXTS = {
+    "REJECTED": "REJECTED — Data leakage detected. Re-run Agent 3 then Agent 6.",
+    "APPROVED": "APPROVED FOR DEPLOYMENT",
+    "CONDITIONAL": "CONDITIONAL — Review flagged items before deployment",
+}
+
 
 def threshold_of(severity) -> "F.Column":
     s = F.col(severity) if isinstance(severity, str) else severity
@@ -37,18 +55,13 @@ def playbook_of(event_type) -> "F.Column":
     return F.coalesce(F.try_element_at(m, e), F.lit(DEFAULT_ACTION))
 
 
-def alert_threshold(events: DataFrame, severity: str, event_type: str, order: list[str]) -> DataFrame:
+def alert_threshold(events: DataFrame, severity: str, event_type: str, order: str) -> DataFrame:
     """Per event: its occurrence number within (severity, event type) in
-    ``order``; alert once the count reaches the severity threshold (every
-    event from then on) with the playbook action.
-
-    The running count is a window per (severity, type) key; keys are few, so
-    for very large streams the streaming job keeps the count as keyed state
-    instead of sorting a key's history.
+    ``order`` (unique); alert once the count reaches the severity threshold
+    (every event from then on) with the playbook action. A key of any size
+    is counted in ranges of the order, not in one task.
     """
-    w = Window.partitionBy(severity, event_type).orderBy(*order)
-    occ = F.row_number().over(w)
-    d = events.withColumn("occurrence", occ).withColumn("threshold", threshold_of(severity))
+    d = occurrence_number(events, [severity, event_type], order).withColumn("threshold", threshold_of(severity))
     return (d.withColumn("alert_triggered", F.col("occurrence") >= F.col("threshold"))
             .withColumn("response", F.when(F.col("alert_triggered"), playbook_of(event_type))))
 
@@ -60,34 +73,41 @@ def alert_totals(events: DataFrame, severity: str, event_type: str) -> DataFrame
 
 
 def quarantine_state(log: DataFrame, artifact: str, action: str, seq: str) -> DataFrame:
-    """Latest state per artifact from a QUARANTINE / APPROVE log.
+    """Latest state per artifact from a log of QUARANTINE / APPROVE and neutral actions.
 
     A re-quarantine resets approval; an artifact is safe when it was never
-    quarantined or its latest action is APPROVE.
+    quarantined or its latest QUARANTINE / APPROVE action is APPROVE. Other
+    actions change nothing.
     """
-    last = log.groupBy(artifact).agg(F.max_by(action, seq).alias("last_action"),
-                                     F.count_if(F.col(action) == "QUARANTINE").alias("quarantines"))
-    return last.withColumn("approved", F.col("last_action") == "APPROVE").withColumn(
-        "safe_to_deploy", (F.col("quarantines") == 0) | (F.col("last_action") == "APPROVE"))
-
-
-def release_verdict(spark: SparkSession, gate: DataFrame, artifacts: DataFrame, guard: DataFrame) -> DataFrame:
-    """Release verdict from the model gate (one row: passed, leakage), the
-    artifact inventory (exists per artifact) and the guard report (status
-    per source): leakage -> REJECTED; all artifacts present and gate passed
-    -> APPROVED; else CONDITIONAL. ``criteria`` counts the checks met of 6.
+    decides = F.col(action).isin("QUARANTINE", "APPROVE")
+    last = log.groupBy(artifact).agg(
+        F.max_by(action, F.when(decides, F.col(seq))).alias("last_action"),
+        F.count_if(F.col(action) == "QUARANTINE").alias("quarantines"))
+    return last.withColumn("approved", F.coalesce(F.col("last_action") == "APPROVE", F.lit(False))).withColumn(
+        "safe_to_deploy", (F.col("quarantines") == 0) | F.col("approved"))
+
+
+def release_verdict(gate: DataFrame, artifacts: DataFrame, criteria: list[tuple[str, str | None]],
+                    recommendations: dict[str, str]) -> DataFrame:
+    """Release verdict from the model gate (one row: passed, leakage) and the
+    artifact inventory (artifact, exists).
+
+    ``criteria`` are (name, artifact): met if that artifact exists, or, with
+    no artifact, if the gate is passed. Leakage -> REJECTED; all artifacts
+    present and the gate passed -> APPROVED; else CONDITIONAL.
     """
-    a = artifacts.agg(F.count(F.lit(1)).alias("artifacts"), F.count_if(F.col("exists")).alias("present"))
-    g = guard.agg(F.count_if(F.col("status") == "FAIL").alias("guard_fail"))
-    s = gate.join(a, how="cross").join(g, how="cross")  # three one-row aggregates
-    crit = (F.col("passed").cast("int") + (~F.col("leakage")).cast("int")
-            + (F.col("present") == F.col("artifacts")).cast("int") + (F.col("guard_fail") == 0).cast("int")
-            + (F.col("present") > 0).cast("int") + F.lit(1))
-    return s.select("passed", "leakage", "present", "artifacts", "guard_fail",
-                    crit.alias("criteria_met"), F.lit(6).alias("criteria_total"),
-                    F.when(F.col("leakage"), "REJECTED")
-                    .when(F.col("passed") & (F.col("present") == F.col("artifacts")), "APPROVED")
-                    .otherwise("CONDITIONAL").alias("verdict"))
+    a = artifacts.agg(F.count(F.lit(1)).alias("artifacts"), F.count_if(F.col("exists")).alias("present"),
+                      F.collect_set(F.when(F.col("exists") & F.col("artifact").isin([x for _, x in criteria if x]),
+                                           F.col("artifact"))).alias("_found"))  # at most one per criterion
+    s = gate.join(a, how="cross")  # two one-row tables
+    met = [F.when(F.col("passed") if x is None else F.array_contains("_found", x), F.lit(name)) for name, x in criteria]
+    status = (F.when(F.col("leakage"), "REJECTED")
+              .when(F.col("passed") & (F.col("present") == F.col("artifacts")), "APPROVED").otherwise("CONDITIONAL"))
+    texts = F.create_map(*[F.lit(v) for kv in recommendations.items() for v in kv])
+    out = s.withColumn("verdict", status).withColumn("met", F.array_compact(F.array(*met)))
+    return out.select("passed", "leakage", "present", "artifacts", "met", F.size("met").alias("criteria_met"),
+                      F.lit(len(criteria)).alias("criteria_total"), "verdict",
+                      texts[F.col("verdict")].alias("recommendation"))
 
 
 def score_router(score, critical=None) -> "F.Column":

@@ -11,22 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.columns import broadcast_if_small, nan_to_null, numeric_columns, sdiv
-from riskframe.operators.profile import value_counts
-from riskframe.operators.ranks import DEFAULT_BUCKETS, exact_quantiles
+from riskframe.functions.columns import dbl, nan_to_null, numeric_columns, sdiv, unpivot_numeric
+from riskframe.operators.profile import null_shares, value_counts
+from riskframe.operators.ranks import cumulative_before, exact_quantiles
 
 
 # ---------------------------------------------------------------- missing values
 
-def null_shares(df: DataFrame) -> DataFrame:
-    """(column, rows, null_count, null_pct) in one pass."""
-    aggs = [F.count(F.lit(1)).alias("__rows")] + [F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
-    r = nan_to_null(df).agg(*aggs)
-    return (r.unpivot(["__rows"], df.columns, "column", "null_count")
-            .select("column", F.col("__rows").alias("rows"), "null_count",
-                    F.round(sdiv(F.col("null_count") * 100.0, "__rows"), 2).alias("null_pct")))
-
-
 def drop_sparse(df: DataFrame, threshold_pct: float = 60.0) -> tuple[DataFrame, list[str]]:
     """Drop columns whose null share is strictly above ``threshold_pct``."""
     shares = null_shares(df).where(F.col("null_count") * 100.0 > F.col("rows") * threshold_pct)
@@ -34,8 +25,7 @@ def drop_sparse(df: DataFrame, threshold_pct: float = 60.0) -> tuple[DataFrame,
     return df.drop(*dropped), dropped
 
 
-def impute_params(df: DataFrame, columns: list[str] | None = None,
-                  n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def impute_params(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, kind, fill) for columns with nulls: exact median for numeric
     columns, mode for the rest (ties -> smallest value)."""
     df = nan_to_null(df)
@@ -44,7 +34,7 @@ def impute_params(df: DataFrame, columns: list[str] | None = None,
     vc = value_counts(df, columns).where(F.col("sval").isNotNull())
     has_null = null_shares(df.select(*columns)).where(F.col("null_count") > 0).select("column")
     med = (exact_quantiles(vc.where(F.col("column").isin(*[c for c in columns if c in num]))
-                           .select("column", "dval", "n"), ["column"], "dval", "n", {"median": 0.5}, n_buckets)
+                           .select("column", "dval", "n"), ["column"], "dval", "n", {"median": 0.5})
            .select("column", F.lit("median").alias("kind"), F.col("median").cast("string").alias("fill")))
     mode = (vc.where(F.col("column").isin(*[c for c in columns if c not in num]))
             .groupBy("column").agg(F.min_by("sval", F.struct(-F.col("n"), F.col("sval"))).alias("fill"))
@@ -80,34 +70,32 @@ def dedupe_report(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- outliers
 
-def outlier_params(df: DataFrame, columns: list[str] | None = None, z: float = 3.0,
-                   n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def outlier_params(df: DataFrame, columns: list[str] | None = None, z: float = 3.0) -> DataFrame:
     """(column, outliers, lower, upper): count of |z| > ``z`` (population sigma,
     after median fill) and the exact p01 / p99 clip bounds. Constant columns
     have no outliers."""
     df = nan_to_null(df)
     columns = columns or numeric_columns(df)
+    moments = df.agg(F.count(F.lit(1)).alias("_N"), *[F.struct(
+        F.count(c).alias("nn"), F.avg(dbl(c)).alias("m"), F.var_pop(dbl(c)).alias("v")).alias(c) for c in columns])
+    per = moments.select("_N", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`.nn").alias("nn"),
+                                                           F.col(f"`{c}`.m").alias("m"), F.col(f"`{c}`.v").alias("v"))
+                                                  for c in columns])))
     vc = value_counts(df, columns).where(F.col("sval").isNotNull()).select("column", "dval", "n")
-    qs = exact_quantiles(vc, ["column"], "dval", "n", {"median": 0.5, "lower": 0.01, "upper": 0.99}, n_buckets)
-    tot = df.agg(F.count(F.lit(1)).alias("N"))
-    # median-filled moments from the value counts: nulls become the median
-    nulls = null_shares(df.select(*columns)).select("column", "null_count")
-    m = (vc.groupBy("column").agg(F.sum(F.col("dval") * F.col("n")).alias("s"),
-                                  F.sum("n").alias("nn"))
-         .join(qs, "column").join(nulls, "column").join(F.broadcast(tot), how="cross")
-         .withColumn("mean", (F.col("s") + F.col("median") * F.col("null_count")) / F.col("N")))
-    ss = (vc.join(F.broadcast(m.select("column", "mean")), "column")
-          .groupBy("column").agg(F.sum(F.pow(F.col("dval") - F.col("mean"), 2) * F.col("n")).alias("ss")))
-    m = m.join(ss, "column").withColumn(
-        "sd", F.sqrt((F.col("ss") + F.col("null_count") * F.pow(F.col("median") - F.col("mean"), 2)) / F.col("N")))
-    cnt = (vc.join(F.broadcast(m.select("column", "mean", "sd", "median", "null_count")), "column")
-           .groupBy("column").agg(
-               F.sum(F.when((F.col("sd") > 0) & (F.abs(F.col("dval") - F.col("mean")) > z * F.col("sd")),
-                            F.col("n")).otherwise(0)).alias("o"),
-               F.first(F.when((F.col("sd") > 0) & (F.abs(F.col("median") - F.col("mean")) > z * F.col("sd")),
-                              F.col("null_count")).otherwise(0)).alias("o_null")))
-    return (m.join(cnt, "column")
-            .select("column", (F.col("o") + F.col("o_null")).cast("long").alias("outliers"), "lower", "upper"))
+    qs = exact_quantiles(vc, ["column"], "dval", "n", {"median": 0.5, "lower": 0.01, "upper": 0.99})
+    nulls = F.col("_N") - F.col("nn")
+    m = per.join(qs, "column").withColumn("mean", (F.col("m") * F.col("nn") + F.col("median") * nulls) / F.col("_N"))
+    m = m.withColumn("sd", F.sqrt((F.col("v") * F.col("nn") + F.col("nn") * F.pow(F.col("m") - F.col("mean"), 2)
+                                   + nulls * F.pow(F.col("median") - F.col("mean"), 2)) / F.col("_N")))
+
+    def far(x):
+        return (F.col("sd") > 0) & (F.abs(x - F.col("mean")) > z * F.col("sd"))
+
+    # One counting pass over the rows; the parameters are one row per column.
+    long = unpivot_numeric(df.select(*columns), [], columns, "column", "value").where(F.col("value").isNotNull())
+    cnt = long.join(m.select("column", "mean", "sd"), "column").groupBy("column").agg(F.count_if(far(F.col("value"))).alias("o"))
+    o_null = F.when(far(F.col("median")), nulls).otherwise(0)
+    return m.join(cnt, "column").select("column", (F.col("o") + o_null).cast("long").alias("outliers"), "lower", "upper")
 
 
 def winsorize(df: DataFrame, params: DataFrame, exclude=()) -> DataFrame:
@@ -207,21 +195,17 @@ def binary_text_columns(df: DataFrame, columns: list[str] | None = None) -> Data
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, code): 0-based index in the sorted distinct strings."""
     vc = value_counts(df, columns).where(F.col("sval").isNotNull()).select("column", "sval").distinct()
-    # codes per column: a window per column over its distinct values only
-    from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy("sval")
-    return vc.select("column", F.col("sval").alias("value"), (F.row_number().over(w) - 1).alias("code"))
+    one = vc.withColumn("_one", F.lit(1).cast("long"))
+    return cumulative_before(one, ["column"], "sval", "_one", "_code").select(
+        "column", F.col("sval").alias("value"), F.col("_code").cast("int").alias("code"))
 
 
-def label_encode(df: DataFrame, columns: list[str], codes: DataFrame | None = None,
-                 max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def label_encode(df: DataFrame, columns: list[str], codes: DataFrame | None = None) -> DataFrame:
     """Replace each string column by its sorted-distinct code (NULL stays NULL).
 
-    The code table is joined per column; it is broadcast only when a bounded
-    count proves it small, else a shuffle join is planned.
+    The code table is joined per column; Spark picks the join from its size.
     """
     codes = codes if codes is not None else label_codes(df, columns)
-    codes = broadcast_if_small(codes, max_broadcast_rows)
     out = df
     for c in columns:
         cc = (codes.where(F.col("column") == c)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from riskframe.functions.columns import attach_scalars, dbl, unpivot_numeric
-from riskframe.operators.ranks import DEFAULT_BUCKETS, exact_quantiles
+from riskframe.operators.ranks import exact_quantiles
 
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -27,14 +27,14 @@ def rate_by_group(df: DataFrame, group: str, target: str) -> DataFrame:
                                  F.round(F.avg(dbl(target)) * 100.0, 1).alias("rate_pct"))
 
 
-def describe(df: DataFrame, columns: list[str], n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (exact), max per column, 3 dp."""
     long = unpivot_numeric(df.select(*columns), [], columns).where(F.col("value").isNotNull())
     m = long.groupBy("feature").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
                                     F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
                                     F.max("value").alias("max"))
     vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    q = exact_quantiles(vc, ["feature"], "value", "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, n_buckets)
+    q = exact_quantiles(vc, ["feature"], "value", "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     j = m.join(q, "feature")
     return j.select("feature", F.col("count").cast("long"),
                     *[F.round(c, 3).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
@@ -61,13 +61,13 @@ def histogram_by_class(df: DataFrame, target: str, features: list[str], bins: in
                     F.col("n").cast("long"))
 
 
-def box_by_class(df: DataFrame, target: str, features: list[str], n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def box_by_class(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """(feature, class, min, q1, median, q3, max) exact, per class."""
     long = (unpivot_numeric(df.select(target, *features), [target], features)
             .where(F.col("value").isNotNull()).withColumnRenamed(target, "class"))
     vc = long.groupBy("feature", "class", "value").agg(F.count(F.lit(1)).alias("n"))
     return exact_quantiles(vc, ["feature", "class"], "value", "n",
-                           {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}, n_buckets)
+                           {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0})
 
 
 def _top_k_partition(groups: list[str], keys: list[str], k: int):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import attach_scalars, dbl, numeric_columns, unpivot_numeric
 from riskframe.operators.profile import value_counts
-from riskframe.operators.ranks import DEFAULT_BUCKETS, exact_quantiles
+from riskframe.operators.ranks import exact_quantiles
 
 
 def feature_diff(df: DataFrame, a: str = "ap_hi", b: str = "ap_lo", name: str = "pulse_pressure") -> DataFrame:
@@ -125,10 +125,10 @@ def robust_columns(columns: list[str], parts=ROBUST_PARTS) -> list[str]:
     return [c for c in columns if any(p in c.lower() for p in parts)]
 
 
-def robust_params(df: DataFrame, columns: list[str], n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def robust_params(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, center = exact median, scale = IQR, 0 -> 1)."""
     vc = value_counts(df, columns).where(F.col("dval").isNotNull()).select("column", "dval", "n")
-    q = exact_quantiles(vc, ["column"], "dval", "n", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, n_buckets)
+    q = exact_quantiles(vc, ["column"], "dval", "n", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     iqr = F.col("q75") - F.col("q25")
     return q.select("column", F.col("q50").alias("center"),
                     F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale"))
@@ -150,10 +150,17 @@ def apply_scaling(df: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def one_hot_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null levels per column (bounded by the column domains)."""
-    vc = value_counts(df, columns).where(F.col("sval").isNotNull()).select("column", "sval")
+    """Sorted distinct non-null levels per column.
+
+    Levels become columns, so their number is bounded as in a pivot: more
+    than ``spark.sql.pivotMaxValues`` in all raise ValueError.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    rows = value_counts(df, columns).where(F.col("sval").isNotNull()).select("column", "sval").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} levels: use a sparse encoding")
     levels: dict[str, list[str]] = {c: [] for c in columns}
-    for r in vc.collect():
+    for r in rows:
         levels[r["column"]].append(r["sval"])
     return {c: sorted(v) for c, v in levels.items()}
 

@@ -36,62 +36,74 @@ def _codes(coding: Column) -> Column:
 
 
 def fhir_vitals(bundles: DataFrame, id_col: str, json_col: str, as_of: str) -> DataFrame:
-    """One vitals row per bundle (defaults for absent observations).
-
-    Patient: birthDate -> age in years as of ``as_of`` (days / 365.25),
-    gender male 2 / female 1 (last Patient wins). Observations, last wins:
-    BP panel (codes 85354-9 / 55284-4, or any observation with components)
-    -> systolic 8480-6 / diastolic 8462-4 components; cholesterol 2093-3
-    (>= 240 -> 3, >= 200 -> 2, else 1); glucose 2339-0 (>= 126 -> 3, >= 100
-    -> 2, else 1); height 8302-2; weight 29463-7; smoking 72166-2 -> 1 when
-    the text says smoker/current (a 'non-smoker' text does not count: fixed);
-    an 'active' code sets active from valueInteger.
+    """One vitals row per bundle (defaults for absent observations), with the
+    patient's id and the observations' ids in order.
+
+    Patient (the last one): birthDate -> age in years as of ``as_of`` (whole
+    days / 365.25), gender male 2 / female 1. Each observation is read by the
+    first rule that applies: BP panel (85354-9 / 55284-4, or any components)
+    -> systolic 8480-6 / else diastolic 8462-4 components; cholesterol 2093-3
+    (>= 240 -> 3, >= 200 -> 2, else 1; no value counts as 150); glucose
+    2339-0 (>= 126 -> 3, >= 100 -> 2, else 1; no value counts as 90); height
+    8302-2; weight 29463-7; smoking 72166-2 -> 1 when the text says
+    smoker/current (a 'non-smoker' text does not count: fixed); an 'active'
+    code sets active from valueInteger. Later observations win; one without
+    a value keeps the value before it.
     """
     e = fhir_flatten(bundles, id_col, json_col)
     r = F.col("resource")
-    codes = _codes(r["code"]["coding"])
+    codes = F.coalesce(_codes(r["code"]["coding"]), F.array().cast("array<string>"))
     is_obs = r["resourceType"] == "Observation"
-    is_bp = is_obs & (F.array_contains(codes, "85354-9") | F.array_contains(codes, "55284-4")
-                      | (F.coalesce(F.size(r["component"]), F.lit(0)) > 0))
+    panel = (F.array_contains(codes, "85354-9") | F.array_contains(codes, "55284-4")
+             | (F.coalesce(F.size(r["component"]), F.lit(0)) > 0))
+    rule = F.when(is_obs, F.when(panel, "bp").when(F.array_contains(codes, "2093-3"), "chol")
+                  .when(F.array_contains(codes, "2339-0"), "glu").when(F.array_contains(codes, "8302-2"), "ht")
+                  .when(F.array_contains(codes, "29463-7"), "wt").when(F.array_contains(codes, "72166-2"), "smoke")
+                  .when(F.lower(F.array_join(codes, ",")).contains("active"), "active"))
     comps = F.coalesce(r["component"], F.array())
 
-    def comp_value(code: str, word: str) -> Column:
-        hits = F.filter(comps, lambda c: F.array_contains(_codes(c["code"]["coding"]), code)
-                        | F.lower(F.array_join(_codes(c["code"]["coding"]), ",")).contains(word))
+    def named(c, code: str, word: str) -> Column:
+        own = F.coalesce(_codes(c["code"]["coding"]), F.array().cast("array<string>"))
+        return F.array_contains(own, code) | F.lower(F.array_join(own, ",")).contains(word)
+
+    def comp_value(test) -> Column:
+        hits = F.filter(comps, lambda c: test(c) & c["valueQuantity"]["value"].isNotNull())
         return F.element_at(F.transform(hits, lambda c: c["valueQuantity"]["value"]), -1)
 
-    def is_code(c: str) -> Column:
-        return is_obs & ~is_bp & F.array_contains(codes, c)
+    def systolic(c) -> Column:
+        return named(c, "8480-6", "systolic")
+
+    def diastolic(c) -> Column:
+        return ~named(c, "8480-6", "systolic") & named(c, "8462-4", "diastolic")
 
     val = r["valueQuantity"]["value"]
     smoke_text = F.lower(F.coalesce(r["valueCodeableConcept"]["text"], F.lit("")))
     smoker = (smoke_text.contains("smoker") | smoke_text.contains("current")) & ~smoke_text.contains("non-smoker") \
         & ~smoke_text.contains("non smoker")
-    x = e.select(
+    x = e.withColumn("rule", rule).select(
         "bundle_id", "pos",
-        F.when(r["resourceType"] == "Patient", r["birthDate"]).alias("birth"),
-        F.when(r["resourceType"] == "Patient",
-               F.when(r["gender"] == "male", 2).when(r["gender"] == "female", 1)).alias("g"),
-        F.when(is_bp, comp_value("8480-6", "systolic")).alias("hi"),
-        F.when(is_bp, comp_value("8462-4", "diastolic")).alias("lo"),
-        F.when(is_code("2093-3"), F.coalesce(val, F.lit(150.0))).alias("chol"),
-        F.when(is_code("2339-0"), F.coalesce(val, F.lit(90.0))).alias("glu"),
-        F.when(is_code("8302-2"), val).alias("ht"),
-        F.when(is_code("29463-7"), val).alias("wt"),
-        F.when(is_code("72166-2") & smoker, F.lit(1)).alias("sm"),
-        F.when(is_obs & ~is_bp & F.lower(F.array_join(codes, ",")).contains("active"),
-               F.coalesce(r["valueInteger"], F.lit(1))).alias("act"))
+        F.when(r["resourceType"] == "Patient", F.struct(r["id"].alias("id"), r["birthDate"].alias("birth"),
+                                                        r["gender"].alias("gender"))).alias("patient"),
+        F.when(is_obs, F.coalesce(r["id"], F.lit("unknown"))).alias("obs_id"),
+        F.when(F.col("rule") == "bp", comp_value(systolic)).alias("hi"),
+        F.when(F.col("rule") == "bp", comp_value(diastolic)).alias("lo"),
+        F.when(F.col("rule") == "chol", F.coalesce(val, F.lit(150.0))).alias("chol"),
+        F.when(F.col("rule") == "glu", F.coalesce(val, F.lit(90.0))).alias("glu"),
+        F.when(F.col("rule") == "ht", val).alias("ht"), F.when(F.col("rule") == "wt", val).alias("wt"),
+        F.when((F.col("rule") == "smoke") & smoker, F.lit(1)).alias("sm"),
+        F.when(F.col("rule") == "active", F.coalesce(r["valueInteger"], F.lit(1))).alias("act"))
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("pos")))
-    g = x.groupBy("bundle_id").agg(*[last(c).alias(c) for c in ["birth", "g", "hi", "lo", "chol", "glu", "ht",
-                                                                   "wt", "act"]],
-                                   F.max("sm").alias("sm"))
-    bd = F.try_to_date(F.col("birth"), "yyyy-MM-dd")
+    seen = F.array_sort(F.collect_list(F.when(F.col("obs_id").isNotNull(), F.struct("pos", "obs_id"))))  # one bundle's own
+    g = x.groupBy("bundle_id").agg(*[last(c).alias(c) for c in ["patient", "hi", "lo", "chol", "glu", "ht", "wt", "act"]],
+                                   F.max("sm").alias("sm"), seen.alias("seen"))
+    bd = F.try_to_date(F.col("patient.birth"), "yyyy-MM-dd")
     age = F.datediff(F.to_date(F.lit(as_of)), bd) / 365.25
+    sex = F.when(F.col("patient.gender") == "male", 2).when(F.col("patient.gender") == "female", 1)
     d = DEFAULTS
     return g.select(
         "bundle_id",
         F.coalesce(F.round(age, 4), F.lit(d["age"])).alias("age"),
-        F.coalesce(F.col("g"), F.lit(d["gender"])).alias("gender"),
+        F.coalesce(sex, F.lit(d["gender"])).alias("gender"),
         F.coalesce(F.col("ht"), F.lit(d["height"])).alias("height"),
         F.coalesce(F.col("wt"), F.lit(d["weight"])).alias("weight"),
         F.coalesce(F.col("hi"), F.lit(d["ap_hi"])).alias("ap_hi"),
@@ -102,19 +114,37 @@ def fhir_vitals(bundles: DataFrame, id_col: str, json_col: str, as_of: str) -> D
                    F.lit(d["gluc"])).alias("gluc"),
         F.coalesce(F.col("sm"), F.lit(d["smoke"])).alias("smoke"),
         F.lit(d["alco"]).alias("alco"),
-        F.coalesce(F.col("act"), F.lit(d["active"])).alias("active"))
+        F.coalesce(F.col("act"), F.lit(d["active"])).alias("active"),
+        F.coalesce(F.col("patient.id"), F.lit("unknown")).alias("patient_ref"),
+        F.transform("seen", lambda x: x["obs_id"]).alias("observations"))
+
+
+def fhir_risk_assessment(scored: DataFrame, occurred: str, id_col: str = "bundle_id") -> DataFrame:
+    """(id, risk_assessment): the RiskAssessment resource (JSON) of each scored
+    row, with a request id derived from the bundle id and the time ``occurred``."""
+    request = F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(occurred)), 256), 1, 8)
+    factors = F.array_join(F.transform("top_risk_factors", lambda f: F.concat(f["factor"], F.lit(" ("), f["value"], F.lit(")"))), ", ")
 
+    def note(prefix: str, value: Column) -> Column:
+        return F.struct(F.concat(F.lit(prefix), value).alias("text"))
 
-def fhir_risk_assessment(scored: DataFrame, id_col: str = "bundle_id") -> DataFrame:
-    """Nested RiskAssessment document (JSON) per scored row."""
+    level = F.col("risk_level")
     doc = F.struct(
-        F.lit("RiskAssessment").alias("resourceType"), F.lit("final").alias("status"),
-        F.struct(F.concat(F.lit("Patient/"), F.col(id_col).cast("string")).alias("reference")).alias("subject"),
+        F.lit("RiskAssessment").alias("resourceType"), request.alias("id"), F.lit("final").alias("status"),
+        F.struct(F.concat(F.lit("Patient/"), "patient_ref").alias("reference")).alias("subject"),
+        F.lit(occurred).alias("occurrenceDateTime"),
+        F.transform("observations", lambda o: F.struct(F.concat(F.lit("Observation/"), o).alias("reference"))).alias("basis"),
         F.array(F.struct(
-            F.struct(F.col("risk_level").alias("text")).alias("qualitativeRisk"),
-            F.col("probability").alias("probabilityDecimal"))).alias("prediction"),
-        F.col("recommendation").alias("mitigation"),
-        F.array(F.struct(F.lit("Observation").alias("reference"))).alias("basis"))
+            F.struct(F.lit("Cardiovascular Disease (10-year risk)").alias("text")).alias("outcome"),
+            F.round("probability", 4).alias("probabilityDecimal"),
+            F.struct(F.array(F.struct(
+                F.lit("http://hl7.org/fhir/risk-probability").alias("system"), level.alias("code"),
+                F.concat(level, F.lit(" risk of CVD")).alias("display"))).alias("coding")).alias("qualitativeRisk"),
+            F.struct(F.struct(F.lit(10).alias("value"), F.lit("years").alias("unit"),
+                              F.lit("http://unitsofmeasure.org").alias("system"), F.lit("a").alias("code")).alias("high"))
+            .alias("whenRange"))).alias("prediction"),
+        F.array(note("Top risk factors: ", factors), note("Clinical recommendation: ", F.col("recommendation")),
+                note("Model explanation confidence: ", F.col("confidence"))).alias("note"))
     return scored.select(id_col, F.to_json(doc).alias("risk_assessment"))
 
 

@@ -2,29 +2,35 @@
 assembly (R-5, R-6) and spec coverage (J-8).
 
 The graph is two DataFrames: nodes(id, type, description) and
-edges(source, target, relationship). Lookups are equi-joins against them;
-both are small, fixed-size tables and are broadcast.
+edges(source, target, relationship). A text resolves to a node by one
+expression; neighbours are one equi-join with a table made from the graph.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: clinical nodes by type, in the reference's order
+# fixed values: clinical nodes (name, type, description), in their stated order
 NODES = [
-    ("Age", "demographic"), ("Gender", "demographic"),
-    ("Systolic_BP", "vital"), ("Diastolic_BP", "vital"),
-    ("Pulse_Pressure", "derived_vital"),
-    ("Cholesterol", "lab"), ("Glucose", "lab"),
-    ("BMI", "derived_demographic"),
-    ("Smoking", "lifestyle"), ("Alcohol", "lifestyle"), ("Active_Lifestyle", "lifestyle"),
-    ("CVD_Risk", "clinical_outcome"),
-    ("Hypertension", "diagnosis"), ("Hypercholesterolemia", "diagnosis"),
-    ("Arterial_Stiffness", "pathology"),
+    ("Age", "demographic", "Patient age in years"),
+    ("Gender", "demographic", "Patient physiological gender"),
+    ("Systolic_BP", "vital", "Systolic blood pressure (ap_hi)"),
+    ("Diastolic_BP", "vital", "Diastolic blood pressure (ap_lo)"),
+    ("Pulse_Pressure", "derived_vital", "Difference between systolic and diastolic BP"),
+    ("Cholesterol", "lab", "Total blood cholesterol level"),
+    ("Glucose", "lab", "Blood glucose level"),
+    ("BMI", "derived_demographic", "Body Mass Index calculated from weight and height"),
+    ("Smoking", "lifestyle", "Active tobacco smoking status"),
+    ("Alcohol", "lifestyle", "Alcohol consumption status"),
+    ("Active_Lifestyle", "lifestyle", "Level of physical activity status"),
+    ("CVD_Risk", "clinical_outcome", "10-year risk of cardiovascular disease event"),
+    ("Hypertension", "diagnosis", "High blood pressure condition (BP >= 140/90)"),
+    ("Arterial_Stiffness", "pathology", "Loss of arterial compliance and elasticity"),
+    ("Hypercholesterolemia", "diagnosis", "Abnormally high levels of cholesterol in the blood"),
 ]
 
-# fixed values: directed labelled edges, in the reference's order
+# fixed values: directed labelled edges, in their stated order
 EDGES = [
     ("Age", "Systolic_BP", "increases_with"),
     ("Age", "Arterial_Stiffness", "causes_gradual"),
@@ -58,7 +64,7 @@ KEYWORDS = [
 
 
 def clinical_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    nodes = spark.createDataFrame([(i, n, t, n.replace("_", " ")) for i, (n, t) in enumerate(NODES)],
+    nodes = spark.createDataFrame([(i, *n) for i, n in enumerate(NODES)],
                                   "pos int, id string, type string, description string")
     edges = spark.createDataFrame([(i, s, t, r) for i, (s, t, r) in enumerate(EDGES)],
                                   "pos int, source string, target string, relationship string")
@@ -78,51 +84,46 @@ def graph_from_table(df: DataFrame, source_col: str, target_col: str, relationsh
 
 
 def graph_export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node-link summary: counts per node type and edge relationship, one row each."""
-    n = nodes.groupBy(F.lit("node").alias("kind"), F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    e = edges.groupBy(F.lit("edge").alias("kind"), F.col("relationship").alias("name")).agg(
-        F.count(F.lit(1)).alias("n"))
+    """Node-link entries, one row each: (kind, id, type, description, source, target, relationship)."""
+    null = F.lit(None).cast("string")
+    n = nodes.select(F.lit("node").alias("kind"), "id", "type", "description", null.alias("source"),
+                     null.alias("target"), null.alias("relationship"))
+    e = edges.select(F.lit("edge").alias("kind"), null.alias("id"), null.alias("type"), null.alias("description"),
+                     "source", "target", "relationship")
     return n.unionByName(e)
 
 
-def keyword_link(spark: SparkSession, texts: DataFrame, text: str, nodes: DataFrame,
-                 keywords=KEYWORDS, keep: list[str] | None = None) -> DataFrame:
-    """Resolve each text to one node: first keyword (in list order) contained
-    in the lower-cased text, else the first node whose name (lower, '_' -> ' ')
-    is contained, else NULL.
+def keyword_node(text: str, keywords=KEYWORDS, names: list[str] | None = None) -> Column:
+    """The node a text resolves to: that of the first keyword (in list order)
+    contained in the lower-cased text, else the first node whose lower-cased
+    name is contained as it stands, else NULL. One expression per row."""
+    names = [n[0] for n in NODES] if names is None else names
+    t = F.lower(F.col(text))
+    cases = [F.when(t.contains(k), F.lit(n)) for k, n in keywords] + [F.when(t.contains(n.lower()), F.lit(n)) for n in names]
+    return F.coalesce(*cases)
 
-    The keyword and node lists are fixed, small tables, broadcast into a
-    nested-loop join, so the cost is linear in the number of texts.
-    """
-    kw = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(keywords)],
-                               "prio int, keyword string, node string")
-    by_name = (nodes.select(F.col("id").alias("node"), F.lower(F.regexp_replace("id", "_", " ")).alias("keyword"),
-                            (F.col("pos") + 1000).alias("prio")))
-    cands = kw.unionByName(by_name.select("prio", "keyword", "node"))
-    t = texts.withColumn("_lt", F.lower(F.col(text)))
-    hits = (t.join(F.broadcast(cands), F.instr(F.col("_lt"), F.col("keyword")) > 0, "left"))
-    key = keep or [c for c in texts.columns]
-    return hits.groupBy(*key).agg(F.min_by("node", "prio").alias("node"))
+
+def neighbor_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(subject, node, role, type, relationship, description, ord, epos): per node
+    itself, its successors (role 'target') and its predecessors ('source')."""
+    nd = nodes.select("id", "type", "description")
+    null = F.lit(None).cast("string")
+    me = nd.select(F.col("id").alias("subject"), F.col("id").alias("node"), F.lit("subject").alias("role"), "type",
+                   null.alias("relationship"), "description", F.lit(0).alias("ord"), F.lit(0).alias("epos"))
+
+    def side(of: str, to: str, role: str, place: int) -> DataFrame:
+        return edges.join(nd, F.col(to) == F.col("id")).select(
+            F.col(of).alias("subject"), F.col(to).alias("node"), F.lit(role).alias("role"), null.alias("type"),
+            "relationship", "description", F.lit(place).alias("ord"), F.col("pos").alias("epos"))
+
+    return me.unionByName(side("source", "target", "target", 1)).unionByName(side("target", "source", "source", 2))
 
 
 def graph_neighbors(subjects: DataFrame, node_col: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each subject node: itself, its successors (role 'target') and its
-    predecessors (role 'source'), with relationship and description, in that
-    order (``ord``)."""
-    nd = F.broadcast(nodes.select(F.col("id"), F.col("description"), F.col("type"), F.col("pos").alias("npos")))
-    ed = F.broadcast(edges)
-    s = subjects.select(F.col(node_col).alias("subject"), *[c for c in subjects.columns if c != node_col])
-    me = (s.join(nd, s["subject"] == nd["id"])
-          .select(*s.columns, F.col("id").alias("node"), F.lit("subject").alias("role"),
-                  F.lit(None).cast("string").alias("relationship"), "description", F.lit(0).alias("ord"),
-                  F.lit(0).alias("epos")))
-    succ = (s.join(ed, s["subject"] == ed["source"]).join(nd, F.col("target") == nd["id"])
-            .select(*s.columns, F.col("target").alias("node"), F.lit("target").alias("role"), "relationship",
-                    "description", F.lit(1).alias("ord"), F.col("pos").alias("epos")))
-    pred = (s.join(ed, s["subject"] == ed["target"]).join(nd, F.col("source") == nd["id"])
-            .select(*s.columns, F.col("source").alias("node"), F.lit("source").alias("role"), "relationship",
-                    "description", F.lit(2).alias("ord"), F.col("pos").alias("epos")))
-    return me.unionByName(succ).unionByName(pred)
+    """For each subject row its node, successors and predecessors, in the order
+    (``ord``, ``epos``). The subjects are read once and joined once."""
+    near = neighbor_table(nodes, edges)
+    return subjects.withColumnRenamed(node_col, "subject").join(near, "subject")
 
 
 def spec_coverage(specs: DataFrame, spec_id: str, spec_text: str, impl: DataFrame, impl_id: str,

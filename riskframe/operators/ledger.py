@@ -8,8 +8,9 @@ the sorted rows, holding only the last signature per chain — a long chain
 is processed in one task (its order is inherently serial) but never loaded
 whole.
 
-Verification is fully parallel: each row is paired with the previous row's
-*reported* signature by ``lag`` and its HMAC recomputed as a column
+Verification is parallel within a chain too: the table is cut into ranges of
+(chain, sequence), each row is paired with the previous row's *reported*
+signature (carried over range borders) and its HMAC recomputed as a column
 expression (nested SHA-256 over the ipad/opad key blocks).
 """
 
@@ -19,10 +20,12 @@ import hashlib
 import hmac as _hmac
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from riskframe.operators.ranks import previous_value
+
 
 def _pads(key: bytes) -> tuple[bytes, bytes]:
     k = hashlib.sha256(key).digest() if len(key) > 64 else key
@@ -43,23 +46,28 @@ def _sign_partitions(key: bytes, chain: str, seq: str, payload: str):
         last_chain, last_sig = object(), ""
         for pdf in it:
             sigs = []
-            for c, p in zip(pdf[chain].tolist(), pdf[payload].tolist()):
+            for c, p, start in zip(pdf[chain].tolist(), pdf[payload].tolist(), pdf["_start"].tolist()):
                 if c != last_chain:
-                    last_chain, last_sig = c, ""
+                    last_chain, last_sig = c, start
                 last_sig = _hmac.new(key, (p + last_sig).encode("utf-8"), hashlib.sha256).hexdigest()
                 sigs.append(last_sig)
             yield pd.DataFrame({chain: pdf[chain], seq: pdf[seq], "signature": sigs})
     return fn
 
 
-def ledger_sign(df: DataFrame, key: bytes, chain: str, seq: str, payload: str,
+def ledger_sign(df: DataFrame, key: bytes, chain: str, seq: str, payload: str, start: str | None = None,
                 num_partitions: int | None = None) -> DataFrame:
-    """(chain, seq, signature) for every row, chained in ``seq`` order per chain."""
+    """(chain, seq, signature) for every row, chained in ``seq`` order per chain.
+
+    ``start`` names a column with the signature that a chain goes on from
+    ("" or no column: a new chain).
+    """
     fields = {f.name: f for f in df.schema.fields}
     schema = StructType([StructField(chain, fields[chain].dataType), StructField(seq, fields[seq].dataType),
                          StructField("signature", StringType())])
     n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    parts = (df.select(chain, seq, payload).repartition(int(n), chain).sortWithinPartitions(chain, seq))
+    first = F.coalesce(F.col(start), F.lit("")) if start else F.lit("")
+    parts = (df.select(chain, seq, payload, first.alias("_start")).repartition(int(n), chain).sortWithinPartitions(chain, seq))
     return parts.mapInPandas(_sign_partitions(key, chain, seq, payload), schema)
 
 
@@ -70,10 +78,9 @@ def ledger_verify(signed: DataFrame, key: bytes, chain: str, seq: str, payload:
     Unsigned rows (NULL signature) are skipped; a changed payload flags only
     its own row, a changed signature flags its row and the next.
     """
-    s = signed.where(F.col(signature).isNotNull())
-    w = Window.partitionBy(chain).orderBy(seq)
-    prev = F.coalesce(F.lag(signature).over(w), F.lit(""))
-    v = s.withColumn("_prev", prev).withColumn("expected", hmac_sha256(key, F.concat(F.col(payload), F.col("_prev"))))
+    s = previous_value(signed.where(F.col(signature).isNotNull()), [chain], seq, signature, "_prev")
+    message = F.concat(F.col(payload), F.coalesce(F.col("_prev"), F.lit("")))
+    v = s.withColumn("expected", hmac_sha256(key, message))
     return v.withColumn("valid", F.col("expected") == F.col(signature)).drop("_prev")
 
 

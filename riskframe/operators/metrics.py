@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import dbl
-from riskframe.operators.ranks import DEFAULT_BUCKETS, cumulative_before, mid_ranks
+from riskframe.operators.ranks import cumulative_before, mid_ranks
 
 
 def _z(c):
@@ -54,32 +54,28 @@ def _score_counts(preds: DataFrame, model: str, label: str, score: str) -> DataF
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n_pos")))
 
 
-def roc_auc(preds: DataFrame, model: str = "model", label: str = "label", score: str = "prob",
-            n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def roc_auc(preds: DataFrame, model: str = "model", label: str = "label", score: str = "prob") -> DataFrame:
     """Tie-aware ROC-AUC = U / (n1 n0) per model, 4 dp."""
-    r = mid_ranks(_score_counts(preds, model, label, score), ["model"], "score", "n", n_buckets)
+    r = mid_ranks(_score_counts(preds, model, label, score), ["model"], "score", "n")
     s = r.groupBy("model").agg(F.sum("n_pos").alias("n1"), F.sum(F.col("n") - F.col("n_pos")).alias("n0"),
                                F.sum(F.col("mid_rank") * F.col("n_pos")).alias("r1"))
     u = F.col("r1") - dbl("n1") * (dbl("n1") + 1.0) / 2.0
     return s.select(F.col("model").alias(model), F.round(F.try_divide(u, dbl("n1") * dbl("n0")), 4).alias("roc_auc"))
 
 
-def _desc_cumulative(preds: DataFrame, model: str, label: str, score: str, n_buckets: int) -> DataFrame:
+def _desc_cumulative(preds: DataFrame, model: str, label: str, score: str) -> DataFrame:
     """(model, score, n, n_pos, tp, fp): counts with score >= threshold (descending sweep)."""
     c = _score_counts(preds, model, label, score).withColumn("neg_score", -F.col("score"))
     c = c.withColumn("n_neg", F.col("n") - F.col("n_pos"))
-    a = cumulative_before(c, ["model"], "neg_score", "n_pos", n_buckets, "pos_before")
-    b = cumulative_before(c, ["model"], "neg_score", "n_neg", n_buckets, "neg_before")
-    j = a.join(b.select("model", "score", "neg_before"), ["model", "score"])
+    j = cumulative_before(c, ["model"], "neg_score", {"pos_before": "n_pos", "neg_before": "n_neg"})
     return j.select("model", "score", "n", "n_pos",
                     (F.col("pos_before") + F.col("n_pos")).alias("tp"),
                     (F.col("neg_before") + F.col("n_neg")).alias("fp"))
 
 
-def roc_curve(preds: DataFrame, model: str = "model", label: str = "label", score: str = "prob",
-              n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def roc_curve(preds: DataFrame, model: str = "model", label: str = "label", score: str = "prob") -> DataFrame:
     """(model, threshold, tpr, fpr, precision) at every distinct score, 6 dp."""
-    d = _desc_cumulative(preds, model, label, score, n_buckets)
+    d = _desc_cumulative(preds, model, label, score)
     tot = d.groupBy("model").agg(F.sum("n_pos").alias("tot_pos"),
                                  F.sum(F.col("n") - F.col("n_pos")).alias("tot_neg"))
     j = d.join(F.broadcast(tot), "model")  # one row per model
@@ -90,7 +86,7 @@ def roc_curve(preds: DataFrame, model: str = "model", label: str = "label", scor
 
 
 def probability_metrics(preds: DataFrame, model: str = "model", label: str = "label", score: str = "prob",
-                        pred: str = "pred", n_buckets: int = DEFAULT_BUCKETS, eps: float = 1e-15) -> DataFrame:
+                        pred: str = "pred", eps: float = 1e-15) -> DataFrame:
     """Brier score, log loss (p clipped to [eps, 1 - eps]), Cohen's kappa and
     PR-AUC as average precision (sum over thresholds of recall gain x precision)."""
     y, p = dbl(label), F.least(F.greatest(dbl(score), F.lit(eps)), F.lit(1.0 - eps))
@@ -103,7 +99,7 @@ def probability_metrics(preds: DataFrame, model: str = "model", label: str = "la
     po = (tp + tn) / n
     pe = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
     kappa = c.select("model", F.try_divide(po - pe, 1.0 - pe).alias("kappa"))
-    d = _desc_cumulative(preds, model, label, score, n_buckets)
+    d = _desc_cumulative(preds, model, label, score)
     ap = (d.groupBy("model").agg(
         F.try_divide(F.sum(F.col("n_pos") * F.try_divide(dbl("tp"), dbl("tp") + dbl("fp"))),
                      F.sum("n_pos")).alias("pr_auc")))

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from riskframe.functions.columns import nan_to_null, numeric_columns
-from riskframe.operators.ranks import DEFAULT_BUCKETS, exact_quantiles
+from riskframe.functions.columns import nan_to_null, numeric_columns, sdiv
+from riskframe.operators.ranks import exact_quantiles
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -78,8 +78,16 @@ def first_values(df: DataFrame, key_cols: list[str], columns: list[str], k: int
                     F.transform("_s", lambda x: x["_v"]).alias("values")))
 
 
-def profile_columns(df: DataFrame, key_cols: list[str] | None = None, samples: int = 5,
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def null_shares(df: DataFrame) -> DataFrame:
+    """(column, rows, null_count, null_pct) in one pass."""
+    aggs = [F.count(F.lit(1)).alias("__rows")] + [F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
+    r = nan_to_null(df).agg(*aggs)
+    return (r.unpivot(["__rows"], df.columns, "column", "null_count")
+            .select("column", F.col("__rows").alias("rows"), "null_count",
+                    F.round(sdiv(F.col("null_count") * 100.0, "__rows"), 2).alias("null_pct")))
+
+
+def profile_columns(df: DataFrame, key_cols: list[str] | None = None, samples: int = 5) -> DataFrame:
     """Per-column profile, one row per column.
 
     dtype, non_null, null_count, null_pct (2 dp), n_unique (nulls excluded),
@@ -106,7 +114,7 @@ def profile_columns(df: DataFrame, key_cols: list[str] | None = None, samples: i
           .join(F.broadcast(base.select("column", "_mean")), "column")
           .groupBy("column").agg(F.sum(F.pow(F.col("dval") - F.col("_mean"), 2) * F.col("n")).alias("_ss")))
     qs = exact_quantiles(nn.where(F.col("dval").isNotNull()).select("column", "dval", "n"),
-                         ["column"], "dval", "n", {"q25": 0.25, "q75": 0.75}, n_buckets)
+                         ["column"], "dval", "n", {"q25": 0.25, "q75": 0.75})
     dt = df.sparkSession.createDataFrame([(c, dtypes[c]) for c in cols], "column string, dtype string")
     out = (F.broadcast(dt).join(base, "column", "left").join(ss, "column", "left").join(qs, "column", "left")
            .select("column", "dtype",
@@ -128,17 +136,17 @@ def profile_columns(df: DataFrame, key_cols: list[str] | None = None, samples: i
     return out
 
 
-def missing_summary(profile: DataFrame, drop_above_pct: float = 60.0) -> DataFrame:
-    """Columns with nulls: null_count, null_pct and the cleaning action.
+def missing_summary(df: DataFrame, drop_above_pct: float = 60.0) -> DataFrame:
+    """Columns with nulls: null_count, null_pct and the cleaning action, from one aggregate.
 
     DROPPED above ``drop_above_pct`` (strict), IMPUTED_MEDIAN for numeric,
     IMPUTED_MODE otherwise; the fill values come from ``impute_params``.
     """
-    is_num = F.col("min").isNotNull() | F.col("dtype").rlike("^(int|bigint|smallint|tinyint|double|float|decimal)")
-    return (profile.where(F.col("null_count") > 0)
+    return (null_shares(df).where(F.col("null_count") > 0)
             .select("column", "null_count", "null_pct",
                     F.when(F.col("null_pct") > drop_above_pct, "DROPPED")
-                    .when(is_num, "IMPUTED_MEDIAN").otherwise("IMPUTED_MODE").alias("action")))
+                    .when(F.col("column").isin(*numeric_columns(df)), "IMPUTED_MEDIAN").otherwise("IMPUTED_MODE")
+                    .alias("action")))
 
 
 def missingness_notes(profile: DataFrame) -> DataFrame:

@@ -1,79 +1,99 @@
-"""Tie-aware mid-ranks over pre-aggregated values, without a global sort.
+"""Running totals, mid-ranks and quantiles over ordered groups, without a global sort.
 
-Mann-Whitney U, Kruskal-Wallis H, ROC-AUC and the Wilcoxon test all need the
+Mann-Whitney U, Kruskal-Wallis H, ROC-AUC and the Wilcoxon test need the
 average rank of every value inside a group (a feature, a model, ...). A
-``Window.partitionBy(group).orderBy(value)`` would put a whole group in one
-task, so the rank is computed in two levels instead:
+window over the whole group would put it in one task, so:
 
-1. split each group's value range into ``n_buckets`` ranges at approximate
-   quantiles (one small row per group, broadcast);
-2. cumulative counts inside ``(group, bucket)`` by a window — tasks are
-   bounded by the bucket size;
-3. bucket offsets from the per-bucket totals (groups x buckets rows, broadcast).
+1. the table is range-partitioned by (group, value) and written once to the
+   shared checkpoint folder with each row's partition number, so a group of
+   any size spreads over as many tasks as its rows need;
+2. running totals are taken inside (partition, group);
+3. the totals of a group's earlier partitions, one row per partition, are
+   added.
 
-The input must already be aggregated to one row per ``(group, value)`` with a
-count column, so a value that holds a third of the rows is still one row.
+Where a value holds many rows the caller aggregates to one row per
+``(group, value)`` with a count first.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+from riskframe.session import checkpoint_path
+
+PART = "_range_part"
+
 
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` range-partitioned by ``order``, with its partition number, as a written table."""
+    path = checkpoint_path(df.sparkSession, f"ranged-{uuid.uuid4().hex}")
+    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn(PART, F.spark_partition_id())
+    parts.write.parquet(path)
+    return df.sparkSession.read.schema(parts.schema).parquet(path)
 
-def cumulative_before(counts: DataFrame, keys: list[str], value: str, weight: str = "n",
-                      n_buckets: int = DEFAULT_BUCKETS, out: str = "cum_before") -> DataFrame:
-    """Add ``out`` = total ``weight`` of rows with a smaller ``value`` in the same group.
 
-    ``counts`` has one row per (keys, value). Two-level: approximate-quantile
-    buckets per group, a window inside each (group, bucket), and broadcast
-    bucket offsets, so no task ever holds a whole group.
+def cumulative_before(counts: DataFrame, keys: list[str], value: str, weight: str | dict[str, str] = "n",
+                      out: str = "cum_before") -> DataFrame:
+    """Add the total ``weight`` of the rows with a smaller ``value`` in the same group as ``out``.
+
+    ``weight`` may map several output names to their weight columns, which
+    are then taken in one pass. Values are distinct within a group.
     """
-    fractions = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = (counts.groupBy(*keys)
-              .agg(F.percentile_approx(value, fractions, 10000).alias("_bounds")))
-    # one row per group: size is bounded by the number of groups (features/models)
-    c = (counts.join(F.broadcast(bounds), keys)
-         .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
-         .drop("_bounds"))
-    totals = c.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_bn"))
-    w_off = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket",
-                            F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_offset"))
-    w_in = (Window.partitionBy(*keys, "_bucket").orderBy(value)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("_before", F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
-    # offsets: groups x n_buckets rows, a bound fixed by parameters
-    c = c.join(F.broadcast(offsets), keys + ["_bucket"])
-    return (c.withColumn(out, F.col("_offset") + F.col("_before"))
-            .drop("_bucket", "_before", "_offset"))
-
-
-def mid_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "n",
-              n_buckets: int = DEFAULT_BUCKETS, out: str = "mid_rank") -> DataFrame:
+    weights = weight if isinstance(weight, dict) else {out: weight}
+    c = ranged(counts, [*keys, value])
+    totals = c.groupBy(*keys, PART).agg(*[F.sum(w).alias(f"_t_{o}") for o, w in weights.items()])
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = totals.select(*keys, PART, *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}")
+                                           for o in weights])
+    inside = Window.partitionBy(PART, *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumns({f"_i_{o}": F.coalesce(F.sum(w).over(inside), F.lit(0)) for o, w in weights.items()})
+    c = c.join(offsets, [*keys, PART]).withColumns({o: F.col(f"_o_{o}") + F.col(f"_i_{o}") for o in weights})
+    return c.drop(PART, *[f"{p}_{o}" for o in weights for p in ("_o", "_i")])
+
+
+def occurrence_number(df: DataFrame, keys: list[str], order: str, out: str = "occurrence") -> DataFrame:
+    """Add each row's 1-based place in its group by ``order`` (unique within a group)."""
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    return (cumulative_before(one, keys, order, {"_before": "_one"})
+            .withColumn(out, F.col("_before") + 1).drop("_before", "_one"))
+
+
+def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Add ``value`` of the row before in the group (NULL for the first), carried over partition borders."""
+    c = ranged(df, [*keys, order])
+    inside = Window.partitionBy(PART, *keys).orderBy(order)
+    c = c.withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag(value).over(inside)})
+    last = c.groupBy(*keys, PART).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_last"))
+    border = last.select(*keys, PART, F.lag("_last").over(Window.partitionBy(*keys).orderBy(PART)).alias("_carried"))
+    return (c.join(border, [*keys, PART])
+            .withColumn(out, F.when(F.col("_first"), F.col("_carried.v")).otherwise(F.col("_lag")))
+            .drop("_first", "_lag", "_carried", PART))
+
+
+def mid_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "n", out: str = "mid_rank") -> DataFrame:
     """Add ``out`` = average 1-based rank of ``value`` within ``keys``.
 
     ``counts`` has one row per (keys, value) and a non-negative ``weight``.
     Equal values share the mean of the ranks they span.
     """
-    c = cumulative_before(counts, keys, value, weight, n_buckets, "_cb")
+    c = cumulative_before(counts, keys, value, weight, "_cb")
     return (c.withColumn(out, F.col("_cb").cast("double") + (F.col(weight).cast("double") + 1.0) / 2.0)
             .drop("_cb"))
 
 
-def exact_quantiles(counts: DataFrame, keys: list[str], value: str, weight: str,
-                    qs: dict[str, float], n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def exact_quantiles(counts: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / quantile_cont rule).
 
     For N values in order, q sits at position h = q (N - 1) (0-based); the
     result is v[floor h] + (h - floor h) (v[ceil h] - v[floor h]). Works on
     the aggregated (keys, value, weight) table; returns one row per group.
     """
-    c = cumulative_before(counts, keys, value, weight, n_buckets, "_cb")
-    tot = counts.groupBy(*keys).agg(F.sum(weight).alias("_N"))
-    c = c.join(F.broadcast(tot), keys)  # one row per group
+    c = cumulative_before(counts, keys, value, weight, "_cb")
+    tot = c.groupBy(*keys).agg(F.sum(weight).alias("_N"))
+    c = c.join(tot, keys)
     lo_end = F.col("_cb")
     hi_end = F.col("_cb") + F.col(weight)
     aggs = []

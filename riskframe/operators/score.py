@@ -69,12 +69,14 @@ def band_confidence(prob) -> Column:
             .otherwise("High — model is confident in low-risk classification"))
 
 
-def dashboard_bands(prob) -> tuple[Column, Column]:
-    """(colour, class) with the dashboard cuts: colour .65/.45, class .55/.40."""
+def dashboard_bands(prob) -> tuple[Column, Column, Column]:
+    """(colour, label, class) of the dashboard; fixed values."""
     p = _c(prob)
-    colour = F.when(p >= 0.65, "red").when(p >= 0.45, "orange").otherwise("green")
+    colour = F.when(p >= 0.65, "#e74c3c").when(p >= 0.45, "#e67e22").otherwise("#27ae60")
+    label = (F.when(p >= 0.75, "HIGH RISK").when(p >= 0.55, "MODERATE-HIGH").when(p >= 0.40, "MODERATE")
+             .otherwise("LOW RISK"))
     klass = F.when(p >= 0.55, "high").when(p >= 0.40, "moderate").otherwise("low")
-    return colour, klass
+    return colour, label, klass
 
 
 def bmi_of(weight="weight", height="height") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import pvalues
 from riskframe.functions.columns import attach_scalars, dbl, sdiv, unpivot_numeric, unpivot_string
-from riskframe.operators.ranks import DEFAULT_BUCKETS, mid_ranks
+from riskframe.operators.ranks import mid_ranks
 
 
 def _value_counts(df: DataFrame, label: str, features: list[str], positive=1, negative=0) -> DataFrame:
@@ -25,18 +25,16 @@ def _value_counts(df: DataFrame, label: str, features: list[str], positive=1, ne
                  F.sum(F.when(F.col(label) == positive, 1).otherwise(0)).alias("n_pos")))
 
 
-def two_sample_tests(df: DataFrame, label: str, features: list[str], positive=1, negative=0,
-                     n_buckets: int = DEFAULT_BUCKETS, with_p: bool = False) -> DataFrame:
-    """Mann-Whitney U and the equal-variance two-sample t statistic per feature.
+def mann_whitney(df: DataFrame, label: str, features: list[str], positive=1, negative=0,
+                 with_p: bool = False) -> DataFrame:
+    """Mann-Whitney U of the positive class per feature, with mid-ranks for ties.
 
     Output (one row per feature): n_pos, n_neg, mean_pos, mean_neg (4 dp),
-    u_stat = U of the positive class (mid-ranks for ties), u_z = tie- and
-    continuity-corrected normal score of max(U1, U2), t_stat (pooled
-    variance, n_pos + n_neg - 2 degrees of freedom) and dof; with
-    ``with_p`` also u_p and t_p (two-sided).
+    u_stat and u_z, the tie- and continuity-corrected normal score of
+    max(U1, U2); with ``with_p`` also u_p (two-sided).
     """
     counts = _value_counts(df, label, features, positive, negative)
-    ranked = mid_ranks(counts, ["feature"], "value", "n", n_buckets)
+    ranked = mid_ranks(counts, ["feature"], "value", "n")
     n_neg = F.col("n") - F.col("n_pos")
     per = (ranked.groupBy("feature").agg(
         F.sum("n_pos").alias("n1"),
@@ -45,37 +43,44 @@ def two_sample_tests(df: DataFrame, label: str, features: list[str], positive=1,
         F.sum(F.pow(dbl("n"), 3) - dbl("n")).alias("ties"),
         F.sum(F.col("value") * F.col("n_pos")).alias("s1"),
         F.sum(F.col("value") * n_neg).alias("s0")))
-    # second pass for centred sums of squares: one row per feature, broadcast
-    means = per.select("feature", sdiv("s1", "n1").alias("m1"), sdiv("s0", "n0").alias("m0"))
-    ss = (counts.join(F.broadcast(means), "feature").groupBy("feature").agg(
-        F.sum(F.pow(F.col("value") - F.col("m1"), 2) * F.col("n_pos")).alias("ss1"),
-        F.sum(F.pow(F.col("value") - F.col("m0"), 2) * (F.col("n") - F.col("n_pos"))).alias("ss0")))
-    r = per.join(ss, "feature").join(means, "feature")
     n1, n0 = dbl("n1"), dbl("n0")
     n = n1 + n0
     u1 = F.col("r1") - n1 * (n1 + 1.0) / 2.0
     mu = n1 * n0 / 2.0
     sigma = F.sqrt(n1 * n0 / 12.0 * ((n + 1.0) - F.try_divide(F.col("ties"), n * (n - 1.0))))
-    umax = F.greatest(u1, n1 * n0 - u1)
-    dof = n - 2.0
-    sp2 = F.try_divide(F.col("ss1") + F.col("ss0"), dof)
-    t = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(sp2 * (1.0 / n1 + 1.0 / n0)))
-    out = r.select(
-        "feature",
-        F.col("n1").cast("long").alias("n_pos"),
-        F.col("n0").cast("long").alias("n_neg"),
-        F.round("m1", 4).alias("mean_pos"),
-        F.round("m0", 4).alias("mean_neg"),
-        F.round(u1, 4).alias("u_stat"),
-        F.round(F.try_divide(umax - mu - 0.5, sigma), 4).alias("u_z"),
-        F.round(t, 4).alias("t_stat"),
-        dof.cast("long").alias("dof"),
-        F.try_divide(umax - mu - 0.5, sigma).alias("_z"),
-        t.alias("_t"))
+    z = F.try_divide(F.greatest(u1, n1 * n0 - u1) - mu - 0.5, sigma)
+    out = per.select("feature", F.col("n1").cast("long").alias("n_pos"), F.col("n0").cast("long").alias("n_neg"),
+                     F.round(sdiv("s1", "n1"), 4).alias("mean_pos"), F.round(sdiv("s0", "n0"), 4).alias("mean_neg"),
+                     F.round(u1, 4).alias("u_stat"), F.round(z, 4).alias("u_z"), z.alias("_z"))
     if with_p:
-        out = (out.withColumn("u_p", F.round(pvalues.normal_p(F.greatest(F.col("_z"), F.lit(0.0))), 6))
-               .withColumn("t_p", F.round(pvalues.t_p(F.abs(F.col("_t")), F.col("dof")), 6)))
-    return out.drop("_z", "_t")
+        out = out.withColumn("u_p", F.round(pvalues.normal_p(F.greatest(F.col("_z"), F.lit(0.0))), 6))
+    return out.drop("_z")
+
+
+def t_test(df: DataFrame, label: str, features: list[str], positive=1, negative=0, with_p: bool = False) -> DataFrame:
+    """Equal-variance two-sample t per feature: one partial aggregate per (feature, class).
+
+    Output (one row per feature): n_pos, n_neg, mean_pos, mean_neg (4 dp),
+    t_stat (4 dp), dof = n_pos + n_neg - 2; with ``with_p`` also t_p.
+    """
+    long = (unpivot_numeric(df.select(label, *features), [label], features)
+            .where(F.col("value").isNotNull() & F.col(label).isin(positive, negative)))
+
+    def of(cls, name: str):
+        v = F.when(F.col(label) == cls, F.col("value"))
+        return [F.count(v).alias(f"n{name}"), F.avg(v).alias(f"m{name}"), F.var_pop(v).alias(f"v{name}")]
+
+    r = long.groupBy("feature").agg(*of(positive, "1"), *of(negative, "0"))
+    n1, n0 = dbl("n1"), dbl("n0")
+    dof = n1 + n0 - 2.0
+    pooled = F.try_divide(F.col("v1") * n1 + F.col("v0") * n0, dof)
+    t = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(pooled * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0))))
+    out = r.select("feature", F.col("n1").alias("n_pos"), F.col("n0").alias("n_neg"), F.round("m1", 4).alias("mean_pos"),
+                   F.round("m0", 4).alias("mean_neg"), F.round(t, 4).alias("t_stat"), dof.cast("long").alias("dof"),
+                   t.alias("_t"))
+    if with_p:
+        out = out.withColumn("t_p", F.round(pvalues.t_p(F.abs(F.col("_t")), F.col("dof")), 6))
+    return out.drop("_t")
 
 
 def chi_square(df: DataFrame, label: str, features: list[str], with_p: bool = False) -> DataFrame:
@@ -83,29 +88,32 @@ def chi_square(df: DataFrame, label: str, features: list[str], with_p: bool = Fa
 
     Contingency cells are counts per (feature, value, label) over rows where
     both are non-null; expected = row total x column total / n. With one
-    degree of freedom the Yates correction min(0.5, |O-E|) is applied, as the
-    reference's contingency test does. Output: feature, chi2 (4 dp), dof.
+    degree of freedom the Yates correction min(0.5, |O-E|) is applied. Output: feature, chi2 (4 dp), dof.
     """
     long = (unpivot_string(df.select(label, *features), [label], features)
             .where(F.col("value").isNotNull() & F.col(label).isNotNull())
             .withColumn("lab", F.col(label).cast("string")))
     cells = long.groupBy("feature", "value", "lab").agg(F.count(F.lit(1)).alias("o"))
+    # Row and column totals are joined to the cells that occur; empty cells need no row:
+    # sum((o - e)^2 / e) = n (sum(o^2 / (rt ct)) - 1).
     rows = cells.groupBy("feature", "value").agg(F.sum("o").alias("rt"))
     cols = cells.groupBy("feature", "lab").agg(F.sum("o").alias("ct"))
-    dims = (cells.groupBy("feature").agg(F.sum("o").alias("nt"),
-                                         F.count_distinct("value").alias("nr"),
-                                         F.count_distinct("lab").alias("nc")))
-    # the full grid includes cells with zero observations
-    grid = (rows.join(cols, "feature").join(dims, "feature")
-            .join(cells, ["feature", "value", "lab"], "left")
-            .withColumn("o", F.coalesce(F.col("o"), F.lit(0)))
-            .withColumn("e", dbl("rt") * dbl("ct") / dbl("nt"))
-            .withColumn("dof", (F.col("nr") - 1) * (F.col("nc") - 1)))
-    diff = F.abs(F.col("o") - F.col("e"))
-    diff = F.when(F.col("dof") == 1, F.greatest(diff - F.least(F.lit(0.5), diff), F.lit(0.0))).otherwise(diff)
-    res = (grid.groupBy("feature").agg(F.sum(F.try_divide(diff * diff, F.col("e"))).alias("_chi2"),
-                                       F.first("dof").alias("dof"))
-           .select("feature", F.round("_chi2", 4).alias("chi2"), F.col("dof").cast("long").alias("dof"), "_chi2"))
+    nr = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("nr"))
+    nc = cols.groupBy("feature").agg(F.count(F.lit(1)).alias("nc"), F.sum("ct").alias("nt"))
+    s = (cells.join(rows, ["feature", "value"]).join(cols, ["feature", "lab"]).groupBy("feature")
+         .agg(F.sum(dbl("o") * dbl("o") / (dbl("rt") * dbl("ct"))).alias("q"),
+              F.max(F.struct(F.col("o"), F.col("rt"), F.col("ct"))).alias("_cell"))
+         .join(nr, "feature").join(nc, "feature"))
+    dof = (F.col("nr") - 1) * (F.col("nc") - 1)
+    # In a 2 x 2 table every cell is equally far from its expectation, so one cell gives the corrected sum:
+    # (|o - e| - min(0.5, |o - e|))^2 (1/e11 + ... + 1/e22) = d^2 n^3 / (r1 r2 c1 c2).
+    n, o, rt, ct = dbl("nt"), dbl("_cell.o"), dbl("_cell.rt"), dbl("_cell.ct")
+    far = F.abs(o - rt * ct / n)
+    d = F.greatest(far - 0.5, F.lit(0.0))
+    yates = F.try_divide(d * d * n * n * n, rt * (n - rt) * ct * (n - ct))
+    plain = F.greatest(n * (F.col("q") - 1.0), F.lit(0.0))
+    chi2 = F.when(dof == 1, yates).otherwise(plain)
+    res = s.select("feature", F.round(chi2, 4).alias("chi2"), dof.cast("long").alias("dof"), chi2.alias("_chi2"))
     if with_p:
         res = res.withColumn("p_value", F.round(pvalues.chi2_p(F.col("_chi2"), F.col("dof")), 6))
     return res.drop("_chi2")
@@ -139,7 +147,7 @@ def anova_f(df: DataFrame, group: str, features: list[str], with_p: bool = False
     return out.drop("_f")
 
 
-def kruskal_wallis(df: DataFrame, group: str, features: list[str], n_buckets: int = DEFAULT_BUCKETS,
+def kruskal_wallis(df: DataFrame, group: str, features: list[str],
                    with_p: bool = False) -> DataFrame:
     """Kruskal-Wallis H with tie correction, per feature, across ``group``.
 
@@ -150,7 +158,7 @@ def kruskal_wallis(df: DataFrame, group: str, features: list[str], n_buckets: in
             .where(F.col("value").isNotNull() & F.col(group).isNotNull()))
     cells = long.groupBy("feature", "value", group).agg(F.count(F.lit(1)).alias("ng"))
     counts = cells.groupBy("feature", "value").agg(F.sum("ng").alias("n"))
-    ranked = mid_ranks(counts, ["feature"], "value", "n", n_buckets)
+    ranked = mid_ranks(counts, ["feature"], "value", "n")
     ties = ranked.groupBy("feature").agg(F.sum("n").alias("nt"),
                                          F.sum(F.pow(dbl("n"), 3) - dbl("n")).alias("tt"))
     rg = (cells.join(ranked.select("feature", "value", "mid_rank"), ["feature", "value"])
@@ -187,7 +195,7 @@ def mcnemar(pairs: DataFrame, a: str, b: str, label: str, with_p: bool = False)
     return out.drop("_s")
 
 
-def wilcoxon_signed_rank(pairs: DataFrame, group: str, x: str, y: str, n_buckets: int = DEFAULT_BUCKETS,
+def wilcoxon_signed_rank(pairs: DataFrame, group: str, x: str, y: str,
                          with_p: bool = False) -> DataFrame:
     """Wilcoxon signed-rank per ``group`` for paired columns x, y.
 
@@ -199,7 +207,7 @@ def wilcoxon_signed_rank(pairs: DataFrame, group: str, x: str, y: str, n_buckets
     d = (pairs.select(group, (dbl(x) - dbl(y)).alias("d")).where(F.col("d").isNotNull() & (F.col("d") != 0)))
     counts = (d.groupBy(group, F.abs("d").alias("value"))
               .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("n_plus")))
-    ranked = mid_ranks(counts, [group], "value", "n", n_buckets)
+    ranked = mid_ranks(counts, [group], "value", "n")
     s = ranked.groupBy(group).agg(
         F.sum("n").alias("nn"),
         F.sum(F.col("mid_rank") * F.col("n_plus")).alias("wp"),
@@ -250,6 +258,11 @@ def friedman(long: DataFrame, block: str, treatment: str, value: str, with_p: bo
     return out.drop("_q")
 
 
+def rank_by_p(results: DataFrame, p: str, out: str = "p_rank") -> DataFrame:
+    """Add the rank by ascending p-value, then feature name (one row per feature)."""
+    return results.withColumn(out, F.row_number().over(Window.orderBy(F.col(p).asc_nulls_last(), "feature")))
+
+
 def significance_label(p) -> "F.Column":
     """p < .01 highly significant, p < .05 significant, else not significant."""
     p = F.col(p) if isinstance(p, str) else p

@@ -11,10 +11,12 @@ query.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.columns import broadcast_if_small
+from riskframe.session import checkpoint_path
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
@@ -168,19 +170,33 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
 
 
 def tfidf_search(corpus: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str,
-                 top_k: int = 3, min_score: float = 0.05, stop_words=None,
-                 max_broadcast_terms: int = 2_000_000) -> DataFrame:
+                 top_k: int = 3, min_score: float = 0.05, stop_words=None) -> DataFrame:
     """(query_id, rank, doc_id, score 4 dp) for the top ``top_k`` documents per query.
 
     Cosine = sum over shared terms of query weight x document weight. Ranks
     by score (rounded to 9 dp) desc, then higher document id (as the
     reference's reversed argsort does); keeps score > ``min_score``.
+
+    The corpus is tokenised once: its term counts are written to the shared
+    folder and read for the vocabulary, the document norms and the postings
+    of the query terms. A term of very many documents is split by Spark's
+    skew join.
     """
-    weights, vocab = tfidf_fit(corpus, doc_id, text, stop_words)
+    spark = corpus.sparkSession
+    path = checkpoint_path(spark, f"tfidf-{uuid.uuid4().hex}")
+    written = term_counts(corpus, doc_id, text, stop_words)
+    written.write.parquet(path)
+    tf = spark.read.schema(written.schema).parquet(path)
+    n = corpus.select(doc_id).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+             .join(F.broadcast(n), how="cross")  # n: one global row
+             .select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+    w = F.col("tf") * F.col("idf")
+    norm = tf.join(vocab, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("_norm"))
     q = tfidf_transform(queries, query_id, query_text, vocab, stop_words)
-    q = broadcast_if_small(q, max_broadcast_terms)
-    sims = (weights.join(q, "term")
-            .groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score")))
+    hits = tf.join(q.join(vocab, "term"), "term")
+    dots = hits.groupBy("query_id", "doc_id").agg(F.sum(w * F.col("qweight")).alias("dot"))
+    sims = dots.join(norm, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("_norm")).alias("score"))
     top = top_k_per_group(sims, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id").desc()], top_k,
                           salt_col="doc_id")
     return (top.where(F.col("score") > min_score)

@@ -58,7 +58,7 @@ ORACLE_MISSING = (f"WITH {_DIRTY_CLEAN}, p(\"column\", num, rows, nulls) AS (\n"
 @register("missing_summary", ORACLE_MISSING)
 def q_missing(spark, sf_dir):
     """Columns with nulls in the dirty fixture and the cleaning action for each."""
-    return profile.missing_summary(profile.profile_columns(_dirty(spark, sf_dir)))
+    return profile.missing_summary(_dirty(spark, sf_dir))
 
 
 ORACLE_NOTES = (f"WITH {_DIRTY_CLEAN}, p(\"column\", dtype, null_pct, n_unique) AS (\n"

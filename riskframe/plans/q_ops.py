@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import alerts, fhir, ledger, score
 from riskframe.plans import fixtures_sql as fx
+from riskframe.plans import q_metrics
 from riskframe.plans.registry import fixture, register, views
 
 # test-only ledger key: a parameter of the operators, never a library constant
@@ -165,21 +166,23 @@ SELECT event_id, severity, event_type, occurrence, threshold, occurrence >= thre
 def q_alerts(spark, sf_dir):
     """Occurrence counts and threshold alerts per (severity, event type), in event order."""
     s = fixture(spark, sf_dir, SEVERITY_EVENTS, "events")
-    return alerts.alert_threshold(s, "severity", "event_type", ["event_id"]).select(
+    return alerts.alert_threshold(s, "severity", "event_type", "event_id").select(
         "event_id", "severity", "event_type", F.col("occurrence").cast("long"), "threshold", "alert_triggered",
         "response")
 
 
 QUARANTINE_LOG = """
 SELECT event_id AS seq, concat('model_', CAST(user_id % 20 AS STRING), '.pkl') AS artifact,
-       CASE WHEN event_type = 'error' THEN 'QUARANTINE' ELSE 'APPROVE' END AS action
-FROM events WHERE event_type IN ('error', 'purchase')
+       CASE event_type WHEN 'error' THEN 'QUARANTINE' WHEN 'purchase' THEN 'APPROVE' ELSE 'NOTE' END AS action
+FROM events
 """
 
 ORACLE_QUARANTINE = f"""WITH q AS ({QUARANTINE_LOG})
-SELECT artifact, arg_max(action, seq) AS last_action, count(*) FILTER (WHERE action = 'QUARANTINE') AS quarantines,
-       arg_max(action, seq) = 'APPROVE' AS approved,
-       count(*) FILTER (WHERE action = 'QUARANTINE') = 0 OR arg_max(action, seq) = 'APPROVE' AS safe_to_deploy
+SELECT artifact, arg_max(action, seq) FILTER (WHERE action IN ('QUARANTINE', 'APPROVE')) AS last_action,
+       count(*) FILTER (WHERE action = 'QUARANTINE') AS quarantines,
+       coalesce(arg_max(action, seq) FILTER (WHERE action IN ('QUARANTINE', 'APPROVE')) = 'APPROVE', false) AS approved,
+       count(*) FILTER (WHERE action = 'QUARANTINE') = 0
+         OR arg_max(action, seq) FILTER (WHERE action IN ('QUARANTINE', 'APPROVE')) = 'APPROVE' AS safe_to_deploy
 FROM q GROUP BY artifact"""
 
 
@@ -215,7 +218,9 @@ _PROB_SQL = "least(greatest((c_acctbal + 1000.0) / 11000.0, 0.0), 1.0)"
 ORACLE_RISK_BAND = f"""WITH v AS ({fx.VITALS}), p AS (SELECT patient_id, {_PROB_SQL} AS prob FROM v)
 SELECT patient_id, prob, CASE WHEN prob >= 0.75 THEN 'HIGH' WHEN prob >= 0.55 THEN 'MODERATE-HIGH'
        WHEN prob >= 0.40 THEN 'MODERATE' ELSE 'LOW' END AS risk_level,
-       CASE WHEN prob >= 0.65 THEN 'red' WHEN prob >= 0.45 THEN 'orange' ELSE 'green' END AS colour,
+       CASE WHEN prob >= 0.65 THEN '#e74c3c' WHEN prob >= 0.45 THEN '#e67e22' ELSE '#27ae60' END AS colour,
+       CASE WHEN prob >= 0.75 THEN 'HIGH RISK' WHEN prob >= 0.55 THEN 'MODERATE-HIGH' WHEN prob >= 0.40 THEN 'MODERATE'
+            ELSE 'LOW RISK' END AS label,
        CASE WHEN prob >= 0.55 THEN 'high' WHEN prob >= 0.40 THEN 'moderate' ELSE 'low' END AS class FROM p"""
 
 
@@ -227,9 +232,9 @@ def _prob():
 def q_risk_band(spark, sf_dir):
     """Service bands and dashboard colour / class bands of a probability column."""
     v = _vitals(spark, sf_dir).withColumn("prob", _prob())
-    colour, klass = score.dashboard_bands("prob")
+    colour, label, klass = score.dashboard_bands("prob")
     return v.select("patient_id", "prob", score.risk_band("prob").alias("risk_level"), colour.alias("colour"),
-                    klass.alias("class"))
+                    label.alias("label"), klass.alias("class"))
 
 
 _BMI = "(weight / ((height / 100.0) * (height / 100.0)))"
@@ -350,27 +355,84 @@ FROM customer
 """
 
 
-@register("fhir_vitals")
+# What the rendered bundles say, straight from the customer columns.
+ORACLE_FHIR = """SELECT c_custkey AS bundle_id,
+  round(date_diff('day', make_date(CAST(1940 + c_custkey % 50 AS INTEGER), 6, 15), DATE '2025-01-01') / 365.25, 4) AS age,
+  CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS gender, 168.0 AS height, 72.0 AS weight,
+  CAST(100 + (c_custkey * 7) % 90 AS DOUBLE) AS ap_hi, CAST(60 + (c_custkey * 3) % 50 AS DOUBLE) AS ap_lo,
+  CASE WHEN 150 + c_custkey % 120 >= 240 THEN 3 WHEN 150 + c_custkey % 120 >= 200 THEN 2 ELSE 1 END AS cholesterol,
+  1 AS gluc, CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 0 END AS smoke, 0 AS alco, 1 AS active FROM customer"""
+
+
+@register("fhir_vitals", ORACLE_FHIR)
 def q_fhir(spark, sf_dir):
-    """One vitals row per FHIR bundle (bundles rendered from customer rows; rows-only check)."""
+    """One vitals row per FHIR bundle (bundles rendered from customer rows)."""
     b = fixture(spark, sf_dir, FHIR_BUNDLES, "customer")
-    return fhir.fhir_vitals(b, "bundle_id", "bundle", as_of="2025-01-01")
+    return fhir.fhir_vitals(b, "bundle_id", "bundle", as_of="2025-01-01").drop("patient_ref", "observations")
+
 
+ORACLE_FHIR_RA = f"""WITH v AS ({ORACLE_FHIR}), p AS (SELECT *, round({_SCORE_SQL}, 4) AS prob, {_SCORE_SQL} AS raw FROM v)
+SELECT bundle_id, 'RiskAssessment' AS resource_type, 'final' AS status, 'Patient/' || bundle_id AS subject,
+  '2025-01-01T00:00:00+00:00' AS occurred, 'Cardiovascular Disease (10-year risk)' AS outcome, prob AS probability,
+  CASE WHEN raw >= 0.75 THEN 'HIGH' WHEN raw >= 0.55 THEN 'MODERATE-HIGH' WHEN raw >= 0.40 THEN 'MODERATE' ELSE 'LOW' END
+    || ' risk of CVD' AS display, 10 AS years, 3 AS observations,
+  'Observation/unknown' AS basis, 3 AS notes FROM p"""
 
-@register("fhir_risk_assessment")
+
+@register("fhir_risk_assessment", ORACLE_FHIR_RA)
 def q_fhir_ra(spark, sf_dir):
-    """FHIR bundles -> vitals -> closed-form score -> RiskAssessment JSON (rows-only)."""
-    v = q_fhir(spark, sf_dir)
-    s = score.batch_score(v)
-    return fhir.fhir_risk_assessment(s)
+    """FHIR bundles -> vitals -> closed-form score -> RiskAssessment JSON, read back field by field."""
+    b = fixture(spark, sf_dir, FHIR_BUNDLES, "customer")
+    s = score.batch_score(fhir.fhir_vitals(b, "bundle_id", "bundle", as_of="2025-01-01"))
+    doc = fhir.fhir_risk_assessment(s, "2025-01-01T00:00:00+00:00")
+    get = lambda path: F.get_json_object("risk_assessment", path)
+    one = "$.prediction[0]"
+    return doc.select(
+        "bundle_id", get("$.resourceType").alias("resource_type"), get("$.status").alias("status"),
+        get("$.subject.reference").alias("subject"), get("$.occurrenceDateTime").alias("occurred"),
+        get(f"{one}.outcome.text").alias("outcome"), get(f"{one}.probabilityDecimal").cast("double").alias("probability"),
+        get(f"{one}.qualitativeRisk.coding[0].display").alias("display"),
+        get(f"{one}.whenRange.high.value").cast("int").alias("years"),
+        F.json_array_length(get("$.basis")).alias("observations"), get("$.basis[0].reference").alias("basis"),
+        F.json_array_length(get("$.note")).alias("notes"))
+
+
+ORACLE_PATIENTS = """SELECT c_custkey AS source_key, CASE WHEN c_custkey % 4 = 0
+  THEN substr(sha256('{"resourceType":"Patient","name":"' || c_name || '"}'), 1, 8) ELSE 'p' || c_custkey END AS patient_id FROM customer"""
+
+
+@register("patient_ingest", ORACLE_PATIENTS)
+def q_patients(spark, sf_dir):
+    """Patient ids of customer-derived Patient resources: the given id, or one derived from the document."""
+    d = fixture(spark, sf_dir, """SELECT c_custkey AS source_key, CASE WHEN c_custkey % 4 <> 0 THEN concat('p', CAST(c_custkey AS STRING)) END AS id,
+        concat('{"resourceType":"Patient","name":"', c_name, '"}') AS raw FROM customer""", "customer")
+    return d.select("source_key", fhir.patient_id("id", "raw").alias("patient_id"))
+
+
+# Artifact files of a run, as an event log names them: an artifact exists if its event was seen, with that many bytes.
+ARTIFACTS = """
+SELECT e.artifact, s.size_bytes FROM VALUES ('dataset_catalog.json', 'view'), ('eda_report.html', 'click'),
+  ('shap_report.html', 'purchase'), ('lime_report.html', 'signup'), ('guardrail_report.json', 'error'),
+  ('model_card.json', 'no such event') AS e(artifact, event_type)
+LEFT JOIN (SELECT event_type, sum(length(props)) AS size_bytes FROM events GROUP BY event_type) s ON s.event_type = e.event_type
+"""
 
+_ARTIFACTS_DUCK = ARTIFACTS.replace("FROM VALUES", "FROM (VALUES").replace("'no such event') AS e", "'no such event')) AS e")
 
-@register("artifact_inventory")
-def q_inventory(spark, sf_dir):
-    """Expected artifacts (the table files plus one absent model file) x the directory listing."""
+ORACLE_INVENTORY = f"""SELECT artifact, size_bytes IS NOT NULL AS "exists", coalesce(CAST(size_bytes AS BIGINT), 0) AS size_bytes
+FROM ({_ARTIFACTS_DUCK}) a"""
+
+
+def _inventory(spark, sf_dir):
     from riskframe.sources import files
-    from riskframe.sources.tables import TABLES
-    return files.artifact_inventory(spark, sf_dir, [f"{t}.parquet" for t in TABLES] + ["model.pkl"])
+    made = fixture(spark, sf_dir, ARTIFACTS, "events")
+    return files.inventory_of(made.select("artifact"), made.where("size_bytes IS NOT NULL"))
+
+
+@register("artifact_inventory", ORACLE_INVENTORY)
+def q_inventory(spark, sf_dir):
+    """Expected artifacts against those that the event log has made: existence and size."""
+    return _inventory(spark, sf_dir)
 
 
 @register("file_sha256")
@@ -380,11 +442,25 @@ def q_file_sha(spark, sf_dir):
     return files.file_sha256(spark, sf_dir, "*.parquet")
 
 
-@register("release_verdict")
+ORACLE_RELEASE = f"""WITH g AS ({{gate}}), i AS ({ORACLE_INVENTORY}),
+x AS (SELECT count(*) AS artifacts, count(*) FILTER (WHERE "exists") AS present FROM i),
+m AS (SELECT passed, leakage, present, artifacts, list_filter([
+    CASE WHEN (SELECT "exists" FROM i WHERE artifact = 'dataset_catalog.json') THEN 'All datasets validated' END,
+    CASE WHEN (SELECT "exists" FROM i WHERE artifact = 'eda_report.html') THEN 'EDA completed' END,
+    CASE WHEN passed THEN 'Best model selected' END,
+    CASE WHEN (SELECT "exists" FROM i WHERE artifact = 'shap_report.html') THEN 'SHAP completed' END,
+    CASE WHEN (SELECT "exists" FROM i WHERE artifact = 'lime_report.html') THEN 'LIME completed' END,
+    CASE WHEN (SELECT "exists" FROM i WHERE artifact = 'guardrail_report.json') THEN 'Security review passed' END],
+    lambda c: c IS NOT NULL) AS met FROM g, x),
+v AS (SELECT *, CASE WHEN leakage THEN 'REJECTED' WHEN passed AND present = artifacts THEN 'APPROVED' ELSE 'CONDITIONAL' END AS verdict FROM m)
+SELECT passed, leakage, present, artifacts, met, len(met) AS criteria_met, 6 AS criteria_total, verdict,
+  CASE verdict WHEN 'REJECTED' THEN 'REJECTED — Data leakage detected. Re-run Agent 3 then Agent 6.'
+    WHEN 'APPROVED' THEN 'APPROVED FOR DEPLOYMENT' ELSE 'CONDITIONAL — Review flagged items before deployment' END AS recommendation
+FROM v""".replace("{gate}", q_metrics.ORACLE_GATE)
+
+
+@register("release_verdict", ORACLE_RELEASE)
 def q_release(spark, sf_dir):
-    """Release verdict from the model gate, artifact inventory and guard report (rows-only)."""
-    from riskframe.plans import q_metrics, q_text
-    gate = q_metrics.q_gate(spark, sf_dir)
-    inv = q_inventory(spark, sf_dir)
-    guard_rep = q_text.q_corpus(spark, sf_dir)
-    return alerts.release_verdict(spark, gate, inv, guard_rep)
+    """Release verdict from the model gate and the artifact inventory."""
+    return alerts.release_verdict(q_metrics.q_gate(spark, sf_dir), _inventory(spark, sf_dir), alerts.RELEASE_CRITERIA,
+                                  alerts.RELEASE_TEXTS)

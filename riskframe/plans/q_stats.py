@@ -57,15 +57,19 @@ def _li(spark, sf_dir):
 @register("mann_whitney", ORACLE_MANN_WHITNEY)
 def q_mann_whitney(spark, sf_dir):
     """Mann-Whitney U of returned ('R') vs other line items for four measures."""
-    r = stats.two_sample_tests(_li(spark, sf_dir), "label", LI_FEATURES)
-    return r.select("feature", "n_pos", "n_neg", "mean_pos", "mean_neg", "u_stat", "u_z")
+    return stats.mann_whitney(_li(spark, sf_dir), "label", LI_FEATURES)
 
 
 @register("t_test", ORACLE_T_TEST)
 def q_t_test(spark, sf_dir):
     """Pooled-variance two-sample t of returned vs other line items."""
-    r = stats.two_sample_tests(_li(spark, sf_dir), "label", LI_FEATURES)
-    return r.select("feature", "n_pos", "n_neg", "mean_pos", "mean_neg", "t_stat", "dof")
+    return stats.t_test(_li(spark, sf_dir), "label", LI_FEATURES)
+
+
+def _significance(spark, sf_dir):
+    u = stats.mann_whitney(_li(spark, sf_dir), "label", LI_FEATURES, with_p=True).select("feature", "u_stat", "u_p")
+    t = stats.t_test(_li(spark, sf_dir), "label", LI_FEATURES, with_p=True).select("feature", "t_stat", "t_p")
+    return stats.rank_by_p(u.join(t, "feature"), "u_p")
 
 
 @register("significance")
@@ -73,14 +77,18 @@ def q_significance(spark, sf_dir):
     """p-values, significance labels and p-rank of both tests (rows-only check).
 
     u_p uses the normal approximation with tie and continuity correction; t_p
-    the Student t distribution; both exact special functions in a pandas UDF
-    over one row per feature.
+    the Student t distribution; both in a pandas UDF over one row per feature.
     """
-    r = stats.two_sample_tests(_li(spark, sf_dir), "label", LI_FEATURES, with_p=True)
-    return (r.select("feature", "u_stat", "u_p", "t_stat", "t_p",
-                     stats.significance_label("u_p").alias("u_label"),
-                     (F.col("u_p") < 0.05).alias("u_significant"),
-                     (F.col("t_p") < 0.05).alias("t_significant")))
+    return _significance(spark, sf_dir).select(
+        "feature", "u_stat", "u_p", "p_rank", "t_stat", "t_p", stats.significance_label("u_p").alias("u_label"),
+        (F.col("u_p") < 0.05).alias("u_significant"), (F.col("t_p") < 0.05).alias("t_significant"))
+
+
+@register("significant_count")
+def q_significant_count(spark, sf_dir):
+    """Number of features with p < .05 by either test (rows-only check)."""
+    return _significance(spark, sf_dir).agg(
+        F.count_if(F.col("u_p") < 0.05).alias("u_significant"), F.count_if(F.col("t_p") < 0.05).alias("t_significant"))
 
 
 ORACLE_CHI_SQUARE = f"""

@@ -170,59 +170,89 @@ def q_index_stats(spark, sf_dir):
     return text.index_stats(text.chunk_documents(spark.table("documents"), "doc_id", "text", "source"), "doc_id")
 
 
-def _kw_sql() -> str:
-    kws = ", ".join(f"({i}, {_sql_str(k)}, {_sql_str(n)})" for i, (k, n) in enumerate(graph.KEYWORDS))
-    names = ", ".join(f"({1000 + i}, {_sql_str(n.lower().replace('_', ' '))}, {_sql_str(n)})"
-                      for i, (n, _) in enumerate(graph.NODES))
-    return f"(VALUES {kws}, {names}) k(prio, keyword, node)"
-
-
-ORACLE_KEYWORD_LINK = f"""SELECT doc_id, min_by(node, prio) AS node
-FROM ({fx.DOCUMENTS_PLANTED}) d LEFT JOIN {_kw_sql()} ON instr(lower(text), keyword) > 0 GROUP BY doc_id"""
+# Expected values, written out apart from the operator's own lists.
+ORACLE_KEYWORD_LINK = f"""SELECT doc_id, CASE
+  WHEN contains(t, 'bp') OR contains(t, 'blood pressure') OR contains(t, 'systolic') THEN 'Systolic_BP'
+  WHEN contains(t, 'diastolic') THEN 'Diastolic_BP'
+  WHEN contains(t, 'cholesterol') OR contains(t, 'lipid') THEN 'Cholesterol'
+  WHEN contains(t, 'glucose') OR contains(t, 'sugar') THEN 'Glucose'
+  WHEN contains(t, 'smoking') OR contains(t, 'smoke') THEN 'Smoking'
+  WHEN contains(t, 'active') OR contains(t, 'exercise') THEN 'Active_Lifestyle'
+  WHEN contains(t, 'age') THEN 'Age'
+  WHEN contains(t, 'weight') OR contains(t, 'bmi') THEN 'BMI'
+  WHEN contains(t, 'gender') THEN 'Gender'
+  WHEN contains(t, 'pulse_pressure') THEN 'Pulse_Pressure'
+  WHEN contains(t, 'alcohol') THEN 'Alcohol'
+  WHEN contains(t, 'cvd_risk') THEN 'CVD_Risk'
+  WHEN contains(t, 'hypertension') THEN 'Hypertension'
+  WHEN contains(t, 'arterial_stiffness') THEN 'Arterial_Stiffness'
+  WHEN contains(t, 'hypercholesterolemia') THEN 'Hypercholesterolemia' END AS node
+FROM (SELECT doc_id, lower(text) AS t FROM ({fx.DOCUMENTS_PLANTED}) d) x"""
 
 
 @register("keyword_link", ORACLE_KEYWORD_LINK)
 def q_keyword_link(spark, sf_dir):
     """Graph node each document resolves to (first keyword in priority order, whole texts)."""
-    nodes, _ = graph.clinical_graph(spark)
-    return graph.keyword_link(spark, _docs(spark, sf_dir).select("doc_id", "text"), "text", nodes,
-                              keep=["doc_id"])
-
-
-def _edges_sql() -> str:
-    return "(VALUES " + ", ".join(f"({i}, {_sql_str(s)}, {_sql_str(t)}, {_sql_str(r)})"
-                                  for i, (s, t, r) in enumerate(graph.EDGES)) + ") e(epos, source, target, relationship)"
+    return _docs(spark, sf_dir).select("doc_id", graph.keyword_node("text").alias("node"))
 
 
 ORACLE_NEIGHBORS = f"""WITH l AS ({ORACLE_KEYWORD_LINK}), s AS (SELECT doc_id, node AS subject FROM l WHERE node IS NOT NULL),
-e AS (SELECT * FROM {_edges_sql()})
-SELECT doc_id, subject AS node, 'subject' AS role, CAST(NULL AS VARCHAR) AS relationship, replace(subject, '_', ' ') AS description, 0 AS ord, 0 AS epos FROM s
-UNION ALL SELECT doc_id, target, 'target', relationship, replace(target, '_', ' '), 1, epos FROM s JOIN e ON s.subject = e.source
-UNION ALL SELECT doc_id, source, 'source', relationship, replace(source, '_', ' '), 2, epos FROM s JOIN e ON s.subject = e.target"""
+n AS (SELECT * FROM (VALUES
+  ('Age', 'demographic', 'Patient age in years'),
+  ('Gender', 'demographic', 'Patient physiological gender'),
+  ('Systolic_BP', 'vital', 'Systolic blood pressure (ap_hi)'),
+  ('Diastolic_BP', 'vital', 'Diastolic blood pressure (ap_lo)'),
+  ('Pulse_Pressure', 'derived_vital', 'Difference between systolic and diastolic BP'),
+  ('Cholesterol', 'lab', 'Total blood cholesterol level'),
+  ('Glucose', 'lab', 'Blood glucose level'),
+  ('BMI', 'derived_demographic', 'Body Mass Index calculated from weight and height'),
+  ('Smoking', 'lifestyle', 'Active tobacco smoking status'),
+  ('Alcohol', 'lifestyle', 'Alcohol consumption status'),
+  ('Active_Lifestyle', 'lifestyle', 'Level of physical activity status'),
+  ('CVD_Risk', 'clinical_outcome', '10-year risk of cardiovascular disease event'),
+  ('Hypertension', 'diagnosis', 'High blood pressure condition (BP >= 140/90)'),
+  ('Arterial_Stiffness', 'pathology', 'Loss of arterial compliance and elasticity'),
+  ('Hypercholesterolemia', 'diagnosis', 'Abnormally high levels of cholesterol in the blood')) v(id, type, description)),
+e AS (SELECT * FROM (VALUES
+  (0, 'Age', 'Systolic_BP', 'increases_with'), (1, 'Age', 'Arterial_Stiffness', 'causes_gradual'),
+  (2, 'Smoking', 'Arterial_Stiffness', 'accelerates'), (3, 'Smoking', 'CVD_Risk', 'directly_increases'),
+  (4, 'Arterial_Stiffness', 'Systolic_BP', 'increases'), (5, 'Systolic_BP', 'Pulse_Pressure', 'increases'),
+  (6, 'Diastolic_BP', 'Pulse_Pressure', 'decreases'), (7, 'Systolic_BP', 'Hypertension', 'defines'),
+  (8, 'Diastolic_BP', 'Hypertension', 'defines'), (9, 'Cholesterol', 'Hypercholesterolemia', 'defines'),
+  (10, 'Hypercholesterolemia', 'Arterial_Stiffness', 'promotes_plaque'),
+  (11, 'Glucose', 'CVD_Risk', 'induces_endothelial_damage'), (12, 'Hypertension', 'CVD_Risk', 'increases_strain'),
+  (13, 'Active_Lifestyle', 'CVD_Risk', 'reduces_risk'), (14, 'Active_Lifestyle', 'Systolic_BP', 'lowers'),
+  (15, 'Alcohol', 'Systolic_BP', 'increases_if_excessive')) v(epos, source, target, relationship))
+SELECT doc_id, subject AS node, 'subject' AS role, type, CAST(NULL AS VARCHAR) AS relationship, description, 0 AS ord, 0 AS epos
+FROM s JOIN n ON n.id = subject
+UNION ALL SELECT doc_id, target, 'target', NULL, relationship, description, 1, epos
+FROM s JOIN e ON s.subject = e.source JOIN n ON n.id = target
+UNION ALL SELECT doc_id, source, 'source', NULL, relationship, description, 2, epos
+FROM s JOIN e ON s.subject = e.target JOIN n ON n.id = source"""
 
 
 @register("graph_neighbors", ORACLE_NEIGHBORS)
 def q_neighbors(spark, sf_dir):
     """Subject node, successors and predecessors for each linked document."""
     nodes, edges = graph.clinical_graph(spark)
-    linked = q_keyword_link(spark, sf_dir).where(F.col("node").isNotNull()).select("doc_id", "node")
+    linked = q_keyword_link(spark, sf_dir).where(F.col("node").isNotNull())
     r = graph.graph_neighbors(linked, "node", nodes, edges)
-    return r.select("doc_id", "node", "role", "relationship", "description", "ord", "epos")
+    return r.select("doc_id", "node", "role", "type", "relationship", "description", "ord", "epos")
 
 
-ORACLE_GRAPH_EXPORT = """WITH e AS (SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS source, CAST(n_regionkey AS VARCHAR) AS target
-                                  FROM nation),
-n AS (SELECT DISTINCT id, type FROM (SELECT source AS id, 'nation' AS type FROM e UNION ALL SELECT target, 'region' FROM e) x)
-SELECT 'node' AS kind, type AS name, count(*) AS n FROM n GROUP BY type
-UNION ALL SELECT 'edge', 'in_region', count(*) FROM e"""
+ORACLE_GRAPH_EXPORT = """WITH e AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS source, CAST(s_nationkey AS VARCHAR) AS target FROM supplier),
+n AS (SELECT DISTINCT id, type FROM (SELECT source AS id, 'supplier' AS type FROM e UNION ALL SELECT target, 'nation' FROM e) x)
+SELECT 'node' AS kind, id, type, id AS description, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target,
+       CAST(NULL AS VARCHAR) AS relationship FROM n
+UNION ALL SELECT 'edge', NULL, NULL, NULL, source, target, 'in_nation' FROM e"""
 
 
 @register("graph_export", ORACLE_GRAPH_EXPORT)
 def q_graph_export(spark, sf_dir):
-    """Node/edge counts of the nation -> region graph derived from the tables."""
-    views(spark, sf_dir, "nation")
-    nodes, edges = graph.graph_from_table(spark.table("nation"), "n_nationkey", "n_regionkey", "in_region",
-                                          "nation", "region")
+    """Node-link entries of the supplier -> nation graph derived from the tables."""
+    views(spark, sf_dir, "supplier")
+    nodes, edges = graph.graph_from_table(spark.table("supplier"), "s_suppkey", "s_nationkey", "in_nation",
+                                          "supplier", "nation")
     return graph.graph_export(nodes, edges)
 
 

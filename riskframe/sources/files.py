@@ -51,13 +51,19 @@ def pick_primary(files: DataFrame, override: str | None = None) -> DataFrame:
     return files.orderBy(hit.desc(), F.col("rows").desc(), F.col("seq")).limit(1)
 
 
+def inventory_of(expected: DataFrame, listing: DataFrame) -> DataFrame:
+    """Expected artifacts (artifact) against a listing (artifact, size_bytes): exists and size (0 when missing)."""
+    found = listing.groupBy("artifact").agg(F.max("size_bytes").alias("_size"))
+    return (expected.join(found, "artifact", "left")
+            .select("artifact", F.col("_size").isNotNull().alias("exists"),
+                    F.coalesce(F.col("_size"), F.lit(0)).cast("long").alias("size_bytes")))
+
+
 def artifact_inventory(spark: SparkSession, root: str, manifest: list[str]) -> DataFrame:
-    """Expected artifacts x listing: exists and size_kb (0 when missing)."""
-    m = spark.createDataFrame([(i, n) for i, n in enumerate(manifest)], "pos int, name string")
+    """Expected file names against the files under ``root``."""
+    names = spark.createDataFrame([(n,) for n in manifest], "artifact string")
     listing = discover_files(spark, root, suffixes=tuple({"." + n.rsplit(".", 1)[-1].lower() for n in manifest}))
-    return (m.join(listing.select("name", "size_kb"), "name", "left")
-            .select("pos", "name", F.col("size_kb").isNotNull().alias("exists"),
-                    F.coalesce(F.col("size_kb"), F.lit(0.0)).alias("size_kb")))
+    return inventory_of(names, listing.select(F.col("name").alias("artifact"), (F.col("size_kb") * 1024).alias("size_bytes")))
 
 
 def jsonl_scan(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

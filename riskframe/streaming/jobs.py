@@ -1,98 +1,109 @@
 """Structured Streaming forms of alerting (T-1), the ledger (T-3) and scoring (T-2).
 
-The keyed jobs need no event time, so they set no watermark; state per key
-is small and fixed (a running count, or the last signature and sequence).
-Rows inside a micro-batch are processed in sequence order. Sinks are file
-sinks with a checkpoint folder, so a restarted query resumes exactly where
-it stopped (executor loss only re-runs the lost tasks).
+The keyed jobs hand every micro-batch to the batch operator together with
+the state that earlier batches left (a count, or the last signature and
+sequence, one row per key). Output and state of a batch are folders named by
+the batch number in the shared checkpoint folder and are overwritten when a
+batch is run again, so a restarted query goes on exactly where it stopped.
+No key's rows are gathered in one task, except that a ledger chain is signed
+in order, streaming, which its definition asks for. The jobs need no event
+time and set no watermark.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac as _hmac
 import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from riskframe.operators import alerts, score
+from riskframe.operators import alerts, ledger, score
+from riskframe.operators.ranks import occurrence_number
 from riskframe.session import checkpoint_path
 
 
-def _alert_state_fn(order_col: str):
-    def fn(key, pdfs, state):
-        count = state.get[0] if state.exists else 0
-        out = []
-        for pdf in pdfs:
-            out.append(pdf)
-        if not out:
-            return
-        pdf = pd.concat(out).sort_values(order_col, kind="mergesort")
-        occ = range(count + 1, count + 1 + len(pdf))
-        state.update((count + len(pdf),))
-        yield pd.DataFrame({order_col: pdf[order_col].values, "severity": key[0], "event_type": key[1],
-                            "occurrence": list(occ)})
-    return fn
+def run_stateful(spark: SparkSession, stream: DataFrame, name: str, state_schema: str,
+                 step: Callable[[DataFrame, DataFrame], DataFrame],
+                 next_state: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Drain the available input batch by batch and return the written output.
 
+    ``step(batch, state)`` gives a batch's output; ``next_state(state,
+    output)`` the state after it.
+    """
+    base = checkpoint_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
 
-def alert_stream(events: DataFrame, severity: str, event_type: str, order_col: str) -> DataFrame:
-    """Streaming threshold alerts: keyed running count per (severity, event type).
+    def each(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        state = (session.read.schema(state_schema).parquet(f"{base}/state/{number - 1}") if number
+                 else session.createDataFrame([], state_schema))
+        step(batch, state).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        out = session.read.parquet(f"{base}/out/batch={number}")
+        next_state(state, out).write.mode("overwrite").parquet(f"{base}/state/{number}")
 
-    Emits one row per event with its occurrence number (continuing across
-    micro-batches), the threshold, ``alert_triggered`` and the playbook action.
-    """
-    base = events.select(F.col(order_col), F.col(severity).alias("severity"), F.col(event_type).alias("event_type"))
-    counted = base.groupBy("severity", "event_type").applyInPandasWithState(
-        _alert_state_fn(order_col),
-        outputStructType=f"{order_col} long, severity string, event_type string, occurrence long",
-        stateStructType="count long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-    return (counted.withColumn("threshold", alerts.threshold_of("severity"))
-            .withColumn("alert_triggered", F.col("occurrence") >= F.col("threshold"))
-            .withColumn("response", F.when(F.col("alert_triggered"), alerts.playbook_of("event_type"))))
-
-
-def _ledger_state_fn(key_bytes: bytes, seq: str, payload: str):
-    def fn(key, pdfs, state):
-        last_sig, last_seq = (state.get[0], state.get[1]) if state.exists else ("", None)
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(seq, kind="mergesort")
-        sigs, late = [], []
-        for s, p in zip(pdf[seq].tolist(), pdf[payload].tolist()):
-            if last_seq is not None and s <= last_seq:
-                sigs.append(None)
-                late.append(True)
-                continue
-            last_sig = _hmac.new(key_bytes, (p + last_sig).encode("utf-8"), hashlib.sha256).hexdigest()
-            last_seq = s
-            sigs.append(last_sig)
-            late.append(False)
-        state.update((last_sig, int(last_seq) if last_seq is not None else None))
-        yield pd.DataFrame({"chain": key[0], seq: pdf[seq].values, "signature": sigs, "late": late})
-    return fn
-
-
-def ledger_stream(events: DataFrame, key: bytes, chain: str, seq: str, payload: str) -> DataFrame:
-    """Streaming ledger: per chain, sign rows in sequence order continuing
-    from the stored last signature; a row whose sequence is not above the
-    stored one is marked ``late`` (unsigned) instead of signed out of order."""
-    base = events.select(F.col(chain).alias("chain"), F.col(seq), F.col(payload))
-    return base.groupBy("chain").applyInPandasWithState(
-        _ledger_state_fn(key, seq, payload),
-        outputStructType=f"chain long, {seq} long, signature string, late boolean",
-        stateStructType="last_sig string, last_seq long", outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
+    q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+def alert_stream(spark: SparkSession, events: DataFrame, severity: str, event_type: str, order: str) -> DataFrame:
+    """Threshold alerts over a stream: a row per event with its occurrence number
+    per (severity, event type), which goes on across batches, the threshold,
+    ``alert_triggered`` and the playbook action. Inside a batch events count
+    in ``order``; batches count as they come."""
+    keys = ["severity", "event_type"]
+    base = events.select(F.col(order), F.col(severity).alias("severity"), F.col(event_type).alias("event_type"))
+
+    def step(batch: DataFrame, state: DataFrame) -> DataFrame:
+        counted = occurrence_number(batch, keys, order).join(state, keys, "left")
+        d = counted.withColumn("occurrence", F.col("occurrence") + F.coalesce("count", F.lit(0))).drop("count")
+        d = d.withColumn("threshold", alerts.threshold_of("severity"))
+        d = d.withColumn("alert_triggered", F.col("occurrence") >= F.col("threshold"))
+        return d.withColumn("response", F.when(F.col("alert_triggered"), alerts.playbook_of("event_type")))
+
+    def next_state(state: DataFrame, out: DataFrame) -> DataFrame:
+        seen = out.select(*keys, F.col("occurrence").alias("count"))
+        return state.unionByName(seen).groupBy(*keys).agg(F.max("count").alias("count"))
+
+    return run_stateful(spark, base, "alerts", "severity string, event_type string, count long", step, next_state)
+
+
+def ledger_stream(spark: SparkSession, events: DataFrame, key: bytes, chain: str, seq: str, payload: str) -> DataFrame:
+    """(chain, seq, payload, signature, late) over a stream: rows of a batch are
+    signed in sequence order from the chain's last signature; a row whose
+    sequence is not above the last signed one is late and stays unsigned."""
+    base = events.select(F.col(chain).alias("chain"), F.col(seq).cast("long").alias("seq"), F.col(payload).alias("payload"))
+
+    def step(batch: DataFrame, state: DataFrame) -> DataFrame:
+        rows = batch.join(state, "chain", "left").withColumn("late", F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False)))
+        signed = ledger.ledger_sign(rows.where("NOT late"), key, "chain", "seq", "payload", start="last_sig")
+        return rows.select("chain", "seq", "payload", "late").join(signed, ["chain", "seq"], "left").select(
+            "chain", "seq", "payload", F.when(~F.col("late"), F.col("signature")).alias("signature"), "late")
+
+    def next_state(state: DataFrame, out: DataFrame) -> DataFrame:
+        new = out.where("NOT late").select("chain", F.col("signature").alias("last_sig"), F.col("seq").alias("last_seq"))
+        return state.unionByName(new).groupBy("chain").agg(F.max_by("last_sig", "last_seq").alias("last_sig"),
+                                                           F.max("last_seq").alias("last_seq"))
+
+    return run_stateful(spark, base, "ledger", "chain long, last_sig string, last_seq long", step, next_state)
 
 
 def scoring_stream(records: DataFrame) -> DataFrame:
-    """Stateless streaming scoring: validate -> score -> band -> factors."""
+    """Stateless streaming scoring: validate -> score -> band -> factors; rejected
+    rows keep their violations (see ``accepted`` and ``rejected``)."""
     return score.batch_score(records)
 
 
+def accepted(scored: DataFrame) -> DataFrame:
+    return scored.where(F.col("valid")).drop("violations")
+
+
+def rejected(scored: DataFrame) -> DataFrame:
+    """The reject sink's rows: the record and the rules it breaks."""
+    return scored.where(~F.col("valid"))
+
+
 def run_available_now(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Drain every available input file into a parquet sink under the shared
     checkpoint folder (one new folder per run) and return the written table."""
@@ -105,7 +116,7 @@ def run_available_now(spark: SparkSession, stream: DataFrame, name: str) -> Data
 
 
 def file_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parquet",
-                max_files: int = 1) -> DataFrame:
-    """Parquet file source over ``directory`` (files matching ``glob``), one file per trigger."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", glob).parquet(directory))
+                max_files: int | None = None) -> DataFrame:
+    """Parquet file source over ``directory`` (files matching ``glob``); ``max_files`` per trigger, or all that wait."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(directory)

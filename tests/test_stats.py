@@ -18,11 +18,14 @@ def test_mann_whitney_ties_tiny(spark):
     # pos = [1, 2, 2], neg = [2, 3]; mid-ranks 1, 3, 3 | 3, 5 -> R1 = 7, U1 = 7 - 6 = 1
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 2.0), (0, 2.0), (0, 3.0), (2, 9.0), (1, None)],
                                "label int, x double")
-    r = stats.two_sample_tests(df, "label", ["x"], with_p=True).collect()[0]
+    r = stats.mann_whitney(df, "label", ["x"], with_p=True).collect()[0]
+    t = stats.t_test(df, "label", ["x"], with_p=True).collect()[0]
     assert r["n_pos"] == 3 and r["n_neg"] == 2
     assert r["u_stat"] == 1.0
     assert abs(r["mean_pos"] - 5 / 3) < 1e-4 and r["mean_neg"] == 2.5
-    assert 0 <= r["u_p"] <= 1 and 0 <= r["t_p"] <= 1
+    assert 0 <= r["u_p"] <= 1 and 0 <= t["t_p"] <= 1 and t["dof"] == 3
+    # ss = 2/3 + 1/2, pooled variance 0.38889, t = -0.83333 / 0.56928
+    assert abs(t["t_stat"] + 1.4639) < 1e-4
 
 
 def test_chi_square_yates(spark):
