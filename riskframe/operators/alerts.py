@@ -110,6 +110,15 @@ def release_verdict(gate: DataFrame, artifacts: DataFrame, criteria: list[tuple[
                       texts[F.col("verdict")].alias("recommendation"))
 
 
+def quality_gate(prepared: DataFrame, strategy: str, report: DataFrame) -> DataFrame:
+    """One row: shape of the prepared table, imbalance strategy, whether the quality report has rows."""
+    shape = prepared.agg(F.count(F.lit(1)).alias("output_rows"))
+    exists = report.agg((F.count(F.lit(1)) > 0).alias("quality_report_exists"))
+    return shape.join(exists, how="cross").select(  # two one-row tables
+        "output_rows", F.lit(len(prepared.columns)).alias("output_columns"), F.lit(strategy).alias("imbalance_strategy"),
+        "quality_report_exists")
+
+
 def score_router(score, critical=None) -> "F.Column":
     """>= .90 approved, >= .70 conditional, else rejected; blocked when critical > 0."""
     s = F.col(score) if isinstance(score, str) else score

@@ -215,10 +215,14 @@ def label_encode(df: DataFrame, columns: list[str], codes: DataFrame | None = No
     return out.select(*df.columns)
 
 
-def binary_cast(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Cast two-valued columns to TINYINT; values that do not parse become NULL."""
-    return df.select(*[F.col(c).cast("string").try_cast("tinyint").alias(c) if c in columns else F.col(c)
-                       for c in df.columns])
+def binary_cast(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """(df with two-valued columns as TINYINT, the columns left as they are
+    because a value would not survive the cast)."""
+    lost = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).cast("string").try_cast("tinyint").isNull()).alias(c)
+                    for c in columns]).first()  # one row
+    kept = [c for c in columns if lost[c]]
+    return df.select(*[F.col(c).cast("string").try_cast("tinyint").alias(c) if c in columns and c not in kept else F.col(c)
+                       for c in df.columns]), kept
 
 
 def coerce_age(df: DataFrame, token: str = "age") -> DataFrame:

@@ -50,7 +50,43 @@ def age_group(age) -> "F.Column":
     return F.concat((F.floor(dbl(a) / 10.0) * 10).cast("int").cast("string"), F.lit("s"))
 
 
-# fixed values: leak blocklist of the reference's preparation step
+# fixed values: the two model schemas; a name maps to a constant or to what it is made from
+SURVEY_MARKERS = ("sbp_avg", "dbp_avg", "sex")
+SURVEY_GLUCOSE = {1: 95.0, 2: 125.0, 3: 180.0}
+SURVEY_CONSTANTS = {"patient_id": 0.0, "education": 1.0, "marital_status": 1.0, "occupation": 1.0, "village": 1.0,
+                    "areas": 1.0, "bplt": 0.0, "lltt": 0.0, "aptt": 0.0}
+DAYS_PER_YEAR = 365.25
+
+
+def feature_row(records: DataFrame, features: list[str], key: str, scaling: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(key, *features): input records mapped to a fitted model's feature columns.
+
+    The survey schema is used if the features name one of its columns, else
+    the vitals schema (age in days). Features that neither knows are 0.0.
+    ``scaling`` (feature -> centre, scale) is applied as in training.
+    """
+    bmi = dbl("weight") / F.pow(dbl("height") / 100.0, 2)
+    decade = F.floor(dbl("age") / 10.0).cast("double")
+    pulse = dbl("ap_hi") - dbl("ap_lo")
+    if any(f in SURVEY_MARKERS for f in features):
+        glucose = F.when(F.col("gluc") == 1, SURVEY_GLUCOSE[1]).when(F.col("gluc") == 2, SURVEY_GLUCOSE[2]).otherwise(SURVEY_GLUCOSE[3])
+        known = {"age": dbl("age"), "sex": F.when(F.col("gender") == 2, 1.0).otherwise(0.0), "sbp_avg": dbl("ap_hi"),
+                 "dbp_avg": dbl("ap_lo"), "bg_mgdl": glucose, "bmi": bmi, "smoking": dbl("smoke"), "pulse_pressure": pulse,
+                 "age_decade": decade} | {k: F.lit(v) for k, v in SURVEY_CONSTANTS.items()}
+    else:
+        same = ("gender", "height", "weight", "ap_hi", "ap_lo", "cholesterol", "gluc", "smoke", "alco", "active")
+        known = {c: dbl(c) for c in same} | {"id": F.lit(0.0), "age": dbl("age") * DAYS_PER_YEAR, "pulse_pressure": pulse,
+                                             "bmi": bmi, "age_decade": decade}
+    out = []
+    for f in features:
+        value = known.get(f, F.lit(0.0))
+        if scaling and f in scaling:
+            value = (value - F.lit(scaling[f][0])) / F.lit(scaling[f][1])
+        out.append(value.alias(f))
+    return records.select(key, *out)
+
+
+# fixed values: leak blocklist of the preparation step
 LEAK_NAMES = ["cvdrisk", "patient_id"]
 LEAK_SUBSTRINGS = ["risk_score", "risk_label", "risk_prob", "prediction"]
 

@@ -140,6 +140,13 @@ def prediction_summary(df: DataFrame, event_type: str, high: str) -> DataFrame:
                  F.count_if(~F.col(high)).alias("low"))
 
 
+def batch_summary(scored: DataFrame, batch: str, prediction: str, error: str) -> DataFrame:
+    """Per batch: size, high-risk count and rows with an error."""
+    return scored.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("batch_size"), F.count_if(F.col(prediction) == 1).alias("high_risk_count"),
+        F.count_if(F.col(error).isNotNull()).alias("errors"))
+
+
 def event_display(df: DataFrame, ts: str, keep: list[str], rest: list[str], width: int = 100) -> DataFrame:
     """Display projection: timestamp text (first 19 chars, T -> space) and the
     remaining fields as one JSON string cut to ``width`` characters."""

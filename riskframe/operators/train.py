@@ -98,6 +98,40 @@ def top_contributions(attr: DataFrame, key: str, k: int = 5) -> DataFrame:
                       F.when(F.col("x.phi") > 0, "increases").otherwise("decreases").alias("direction"))
 
 
+def local_narrative(top: DataFrame, key: str) -> DataFrame:
+    """(key, narrative): a line per top contribution, in rank order.
+
+    Above .1 in size 'strongly', above .05 'moderately', else 'slightly'.
+    """
+    size = F.abs("phi")
+    mag = F.when(size > 0.1, "strongly").when(size > 0.05, "moderately").otherwise("slightly")
+    sign = F.when(F.round("phi", 4) < 0, "").otherwise("+")
+    line = F.concat(F.lit("- **"), "feature", F.lit("** "), mag, F.lit(" "), "direction", F.lit(" CVD risk (SHAP="), sign,
+                    F.format_string("%.4f", "phi"), F.lit(")"))
+    return (top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_l"))
+            .select(key, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("narrative")))
+
+
+def noise_stability(records: DataFrame, features: list[str], key: str, predict, sigma: float = 0.01,
+                    stable_above: float = 0.95, seed: int = 42) -> DataFrame:
+    """One row: rows, share of equal 0/1 predictions with and without noise, status.
+
+    Noise is normal with deviation ``sigma``, made from hashes of key, feature
+    and seed (Box-Muller), so a repeated run gives the same row. ``predict``
+    maps {feature: column} to a 0/1 column.
+    """
+    def uniform(c: str, part: str):
+        h = F.xxhash64(F.col(key).cast("string"), F.lit(c), F.lit(part), F.lit(seed))
+        return (F.shiftrightunsigned(h, 11).cast("double") + 1.0) / F.lit(float(1 << 53) + 1.0)
+
+    def noisy(c: str):
+        return dbl(c) + sigma * F.sqrt(-2.0 * F.log(uniform(c, "r"))) * F.cos(2.0 * F.pi() * uniform(c, "a"))
+
+    same = predict({c: dbl(c) for c in features}) == predict({c: noisy(c) for c in features})
+    r = records.agg(F.count(F.lit(1)).alias("rows"), F.avg(same.cast("int")).alias("agreement"))
+    return r.withColumn("status", F.when(F.col("agreement") > stable_above, "STABLE").otherwise("UNSTABLE"))
+
+
 def global_importance(attr: DataFrame, top: int = 20) -> DataFrame:
     """Mean |phi| per feature, largest first (a top-n report)."""
     return (attr.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))

@@ -1,6 +1,7 @@
 """Imports every query module so the registry is complete."""
 
-from riskframe.plans import q_clean, q_features, q_metrics, q_ops, q_stats, q_stream, q_text, q_train  # noqa: F401
+from riskframe.plans import (q_clean, q_features, q_metrics, q_more, q_ops, q_stats, q_stream, q_text,  # noqa: F401
+                             q_train)
 from riskframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

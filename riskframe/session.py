@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings every riskframe job relies on. ANSI mode stays on: operators use
@@ -44,13 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``, read from the session.
 
     Streams, sinks and written intermediate tables go there, so every
-    executor must see it. Raises when the setting is missing: a machine-local
-    stand-in would lose data on a cluster.
+    executor must see it. Where it is unset, a single-machine session
+    (``local[...]``, as in tests) gets a folder of its own; any other raises,
+    because a machine-local folder would lose data on a cluster.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return current
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskframe-"))
+    return sc.getCheckpointDir()
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:

@@ -66,17 +66,40 @@ def artifact_inventory(spark: SparkSession, root: str, manifest: list[str]) -> D
     return inventory_of(names, listing.select(F.col("name").alias("artifact"), (F.col("size_kb") * 1024).alias("size_bytes")))
 
 
-def jsonl_scan(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Tolerant JSON-lines read: (good rows parsed with ``schema``, rejected raw lines).
+def jsonl_lines(lines: DataFrame, line_col: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Tolerant JSON-lines parse of a table of lines: (rows parsed with
+    ``schema``, rejected lines), each with the other columns of ``lines``.
 
-    Blank lines are skipped; lines that do not parse go to the reject table.
+    Blank lines are skipped; lines that are no JSON object are rejected.
     """
-    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    parsed = raw.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"),
-                        F.try_parse_json("value").alias("_v"))
-    good = parsed.where(F.col("_v").isNotNull()).select("r.*")
-    bad = parsed.where(F.col("_v").isNull()).select(F.col("value").alias("raw"))
-    return good, bad
+    others = [c for c in lines.columns if c != line_col]
+    filled = lines.where(F.length(F.trim(line_col)) > 0)
+    parsed = filled.select(*others, F.col(line_col).alias("raw"), F.from_json(line_col, schema, {"mode": "PERMISSIVE"}).alias("r"),
+                           F.schema_of_variant(F.try_parse_json(line_col)).startswith("OBJECT").alias("_ok"))
+    ok = F.coalesce("_ok", F.lit(False))
+    return parsed.where(ok).select(*others, "r.*"), parsed.where(~ok).select(*others, "raw")
+
+
+def jsonl_scan(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """``jsonl_lines`` of the text files under ``path``."""
+    return jsonl_lines(spark.read.text(path), "value", schema)
+
+
+def log_validity(lines: DataFrame, line_col: str, required: list[list[str]]) -> DataFrame:
+    """``lines`` with ``is_json`` and ``valid``: a JSON object that holds at least
+    one key of each group in ``required``. Blank lines are left out."""
+    keys = F.json_object_keys(F.when(F.try_parse_json(line_col).isNotNull(), F.col(line_col)))
+    v = lines.where(F.length(F.trim(line_col)) > 0).withColumn("_k", keys)
+    has = [F.arrays_overlap("_k", F.array(*[F.lit(k) for k in group])) for group in required]
+    ok = F.lit(True)
+    for h in has:
+        ok = ok & F.coalesce(h, F.lit(False))
+    return v.withColumn("is_json", F.try_parse_json(line_col).isNotNull()).withColumn("valid", F.col("is_json") & ok).drop("_k")
+
+
+def json_documents(df: DataFrame, key: str) -> DataFrame:
+    """(key, document): each row's other columns as one JSON document."""
+    return df.select(key, F.to_json(F.struct(*[F.col(c) for c in df.columns if c != key])).alias("document"))
 
 
 def whole_text_scan(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
