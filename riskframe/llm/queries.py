@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (chat_format, decontaminate, langid, quality_classifier, quality_rules, secret_scan,
+from riskframe.llm import (chat_format, decontaminate, langid, oracles, quality_classifier, quality_rules, secret_scan,
                            sentencepiece_codec, simhash, token_counts, warc)
 from riskframe.sources.tables import table
 
@@ -19,42 +19,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(oracle: str | None = None):
+    def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+    return register
 
 
-@query
+@query()
 def op5_sentencepiece(spark, sf_dir):
     """Piece ids of every whole document and whether they decode to the text again."""
     return sentencepiece_codec.encoded_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
-@query
+@query()
 def op6_quality_rules(spark, sf_dir):
     """Base counts, likelihood ratio and verdict of every whole document."""
     return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query
+@query()
 def op7_token_counts(spark, sf_dir):
     """Number of pieces of every whole document."""
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
-@query
+@query()
 def op4_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate group of every whole document."""
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-@query
+@query(oracles.DECONTAMINATE)
 def op1_decontaminate(spark, sf_dir):
     """Overlap of every whole document with the benchmark items."""
     return decontaminate.overlap_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query
+@query(oracles.SECRET_SCAN)
 def op3_secret_scan(spark, sf_dir):
     """Secrets of every whole document, with corpus-wide ownership; a source stands for an owner."""
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
@@ -65,15 +69,16 @@ SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assi
 AS t(conv_id, turn, role, text)"""
 
 
-@query
+@query(oracles.CHAT_FORMAT)
 def op2_chat_format(spark, sf_dir):
     """Every conversation, and one whose texts are control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.sql(CONTROL_CONVERSATION))
-    return chat_format.format_conversations(rows, CHAT_TOKENIZER).drop("text", "ids", "loss_mask")
+    return chat_format.format_conversations(rows, CHAT_TOKENIZER).drop(
+        "text", "ids", "loss_mask", "n_tokens", "n_loss_tokens")
 
 
-@query
+@query(oracles.WARC)
 def op8_warc(spark, sf_dir):
     """Every page written as a WARC record and read back from the archives."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), spark)
@@ -84,20 +89,20 @@ def fold(id_col: str, n: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % n
 
 
-@query
+@query()
 def op9_langid(spark, sf_dir):
     """Language of every whole document, learned on four of five folds."""
     return langid.language_report(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0)
 
 
-@query
+@query()
 def op10_quality_classifier(spark, sf_dir):
     """Quality score of every whole document, learned on three of four folds of the labels."""
     return quality_classifier.quality_scores(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
 
 
-@query
+@query()
 def pipeline(spark, sf_dir):
     """The stages of ``corpus_pipeline`` over all documents."""
     return corpus_pipeline.run(spark, sf_dir)

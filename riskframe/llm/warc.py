@@ -51,8 +51,8 @@ def record_uri(page_id: int) -> str:
 
 
 def _field(value: str) -> str:
-    """A header value: printable ASCII as it is, all else percent-encoded."""
-    return quote(value, safe="!\"#$&'()*+,/:;<=>?@[]^_`{|}~ -.").strip()
+    """A header value: printable ASCII but blank and percent as it is, all else percent-encoded."""
+    return quote(value, safe="!\"#$&'()*+,/:;<=>?@[]^_`{|}~-.")
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
