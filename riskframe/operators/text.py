@@ -11,8 +11,13 @@ query.
 
 from __future__ import annotations
 
+import re
 import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +25,6 @@ from riskframe.session import checkpoint_path
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
-WORDS_SPLIT = r"[\s\p{Z}]+"
 
 
 # Spark ML's default English stop list, in its own order.
@@ -50,49 +54,23 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(TOKEN_RE), 0)
 
 
-def _word_count(s: Column) -> Column:
-    t = F.trim(s)
-    return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, WORDS_SPLIT)))
+def chunk_spans(counts: list[int], chunk_size: int, overlap: int) -> list[tuple[int, int]]:
+    """Sentence ranges of the chunks, from the sentences' word counts.
 
-
-def chunk_bounds(sents: Column, lens: Column, prefix: Column, chunk_size: int = 400,
-                 overlap: int = 100) -> Column:
-    """STRUCT<starts, ends> of 1-based sentence index ranges, one per chunk.
-
-    A SQL fold over sentence indexes: sentences are packed greedily while
-    the word count stays <= ``chunk_size``; when the next sentence would
-    overflow, the chunk is emitted and the next one starts from the longest
-    run of trailing sentences totalling <= ``overlap`` words (a sentence
-    longer than ``chunk_size`` stays whole). ``prefix`` holds prefix sums of
-    ``lens`` so any run's word count is O(1). The arguments must be plain
-    column references (materialised before the fold), so the fold does not
-    re-evaluate them per step.
+    Sentences are packed while they hold at most ``chunk_size`` words; the
+    next chunk starts with the longest run of the last sentences that holds
+    at most ``overlap`` words. A longer sentence stays whole. One pass: the
+    start of a run is found by bisection in the running totals.
     """
-    n = F.size(sents)
-
-    def run(i: Column, j: Column) -> Column:
-        return F.element_at(prefix, i) - F.element_at(prefix, j)  # words in sentences j..i-1
-
-    init = F.struct(F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"),
-                    F.lit(1).alias("cs"), F.lit(0).alias("len"))
-
-    def step(acc, i):
-        w = F.element_at(lens, i)
-        full = (acc["len"] + w > chunk_size) & (i > acc["cs"])
-        j = F.array_min(F.filter(F.sequence(acc["cs"], i), lambda k: run(i, k) <= overlap))
-        return F.when(full, F.struct(
-            F.concat(acc["starts"], F.array(acc["cs"])).alias("starts"),
-            F.concat(acc["ends"], F.array(i - 1)).alias("ends"),
-            j.alias("cs"), (run(i, j) + w).alias("len"))).otherwise(F.struct(
-                acc["starts"].alias("starts"), acc["ends"].alias("ends"), acc["cs"].alias("cs"),
-                (acc["len"] + w).alias("len")))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init,
-                         lambda acc, i: F.when(i <= n, step(acc, i)).otherwise(acc))
-    tail = n >= folded["cs"]
-    return F.struct(F.when(tail, F.concat(folded["starts"], F.array(folded["cs"]))).otherwise(folded["starts"])
-                    .alias("starts"),
-                    F.when(tail, F.concat(folded["ends"], F.array(n))).otherwise(folded["ends"]).alias("ends"))
+    total = list(accumulate(counts, initial=0))
+    start, out = 0, []
+    for i in range(len(counts)):
+        if i > start and total[i + 1] - total[start] > chunk_size:
+            out.append((start, i))
+            start = bisect_left(total, total[i] - overlap, start, i)
+    if counts:
+        out.append((start, len(counts)))
+    return out
 
 
 def chunk_documents(df: DataFrame, doc_id: str, text: str, source: str | None = None,
@@ -100,23 +78,25 @@ def chunk_documents(df: DataFrame, doc_id: str, text: str, source: str | None =
     """(doc_id, [source,] chunk_no, text, word_count): one row per chunk.
 
     Sentences split after . ! ? + whitespace (blank ones skipped); see
-    ``chunk_bounds`` for the packing rule. Each document is folded
-    independently, so the work is parallel by document; the sentence array,
-    word counts and prefix sums are materialised as columns before the fold.
+    ``chunk_spans`` for the packing rule. Each document is cut on its own in
+    one linear pass of an Arrow batch function; no shuffle.
     """
+    split = re.compile(SENTENCE_SPLIT)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for value in batch:
+                sents = [x for x in (y.strip() for y in split.split(value.as_py() or "")) if x]
+                counts = [len(x.split()) for x in sents]
+                rows.append([{"text": " ".join(sents[a:b]), "word_count": sum(counts[a:b])}
+                             for a, b in chunk_spans(counts, chunk_size, overlap)])
+            yield pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("word_count", pa.int32())])))
+
     cols = [doc_id] + ([source] if source else [])
-    t = F.col(text)
-    sents = F.filter(F.transform(F.split(t, SENTENCE_SPLIT), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
-    a = df.select(*cols, sents.alias("_s"))
-    a = a.select(*cols, "_s", F.transform("_s", lambda s: _word_count(s)).alias("_l"))
-    a = a.select(*cols, "_s", "_l",
-                 F.aggregate("_l", F.array(F.lit(0)),
-                             lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))).alias("_p"))
-    a = a.select(*cols, "_s", chunk_bounds(F.col("_s"), F.col("_l"), F.col("_p"), chunk_size, overlap).alias("_b"))
-    chunks = F.transform(F.arrays_zip(F.col("_b.starts").alias("a"), F.col("_b.ends").alias("b")),
-                         lambda z: F.array_join(F.slice(F.col("_s"), z["a"], z["b"] - z["a"] + 1), " "))
-    return (a.select(*cols, F.posexplode(chunks).alias("chunk_no", "text"))
-            .withColumn("word_count", _word_count(F.col("text"))))
+    chunks = F.arrow_udf(run, "array<struct<text string, word_count int>>")(F.col(text))
+    c = df.select(*cols, chunks.alias("_c")).select(*cols, F.posexplode("_c").alias("chunk_no", "_x"))
+    return c.select(*cols, "chunk_no", F.col("_x.text").alias("text"), F.col("_x.word_count").alias("word_count"))
 
 
 def term_counts(df: DataFrame, doc_id: str, text: str, stop_words=None) -> DataFrame:
