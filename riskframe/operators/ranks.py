@@ -17,22 +17,17 @@ Where a value holds many rows the caller aggregates to one row per
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.session import checkpoint_path
+from riskframe.session import written
 
 PART = "_range_part"
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` range-partitioned by ``order``, with its partition number, as a written table."""
-    path = checkpoint_path(df.sparkSession, f"ranged-{uuid.uuid4().hex}")
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn(PART, F.spark_partition_id())
-    parts.write.parquet(path)
-    return df.sparkSession.read.schema(parts.schema).parquet(path)
+    return written(df.repartitionByRange(*[F.col(c) for c in order]).withColumn(PART, F.spark_partition_id()), "ranged")
 
 
 def cumulative_before(counts: DataFrame, keys: list[str], value: str, weight: str | dict[str, str] = "n",

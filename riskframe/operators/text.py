@@ -12,7 +12,6 @@ query.
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.session import checkpoint_path
+from riskframe.session import written
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
@@ -162,11 +161,7 @@ def tfidf_search(corpus: DataFrame, doc_id: str, text: str, queries: DataFrame,
     of the query terms. A term of very many documents is split by Spark's
     skew join.
     """
-    spark = corpus.sparkSession
-    path = checkpoint_path(spark, f"tfidf-{uuid.uuid4().hex}")
-    written = term_counts(corpus, doc_id, text, stop_words)
-    written.write.parquet(path)
-    tf = spark.read.schema(written.schema).parquet(path)
+    tf = written(term_counts(corpus, doc_id, text, stop_words), "tfidf")
     n = corpus.select(doc_id).distinct().agg(F.count(F.lit(1)).alias("_n"))
     vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
              .join(F.broadcast(n), how="cross")  # n: one global row

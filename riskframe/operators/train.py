@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import dbl
 from riskframe.operators.ranks import cumulative_before
+from riskframe.session import written
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -57,7 +58,8 @@ def benchmark(split: DataFrame, label: str, features: list[str], key: str, seed:
     pos, status, error)). A model that fails to fit has a status row with
     its error; the others continue.
     """
-    data = split.select(key, dbl(label).alias("label"), "is_test", *[dbl(c).alias(c) for c in features])
+    # The models read the rows again and again: written once, so the split is not made anew each time.
+    data = written(split.select(key, dbl(label).alias("label"), "is_test", *[dbl(c).alias(c) for c in features]), "split")
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
     spark = split.sparkSession

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every riskframe job relies on. ANSI mode stays on: operators use
 # try_divide / try_cast / nullif wherever a value can be undefined.
@@ -62,3 +63,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate table."""
     return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: cuts the
+    lineage and fixes generated values; a lost executor costs a re-read."""
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
