@@ -186,33 +186,27 @@ TARGET_CANDIDATES = ["target", "cvd", "cardio", "heart_disease", "cardiovascular
                      "highrisk", "cvdrisk", "risk", "outcome", "label", "class", "diagnosis"]
 
 
-def infer_target(columns: list[str], n_unique: dict[str, int] | None = None, override: str | None = None,
-                 fallback: str = "first_binary") -> str | None:
-    """Pick the label column.
+def infer_target(df: DataFrame, override: str | None = None, fallback: str = "first_binary") -> DataFrame:
+    """One row: ``target``, the label column of ``df`` (NULL if none is found).
 
     1. ``override`` if present; 2. the first column whose lower/stripped name
     without underscores equals a candidate (candidates normalised the same
     way, so ``heart_disease`` can match); 3. fallback: ``first_binary``
-    (first column with <= 2 distinct), ``last``, ``last_if_binary``, or
-    ``first_binary_else_last``. Distinct counts come from ``profile_columns``.
+    (first column with <= 2 distinct values), ``last``, ``last_if_binary``,
+    or ``first_binary_else_last``.
     """
-    if override and override in columns:
-        return override
-    cands = {c.replace("_", "") for c in TARGET_CANDIDATES}
-    for c in columns:
-        if c.lower().strip().replace("_", "") in cands:
-            return c
-    n_unique = n_unique or {}
-    binary = [c for c in columns if n_unique.get(c, 3) <= 2]
-    if fallback == "first_binary":
-        return binary[0] if binary else None
-    if fallback == "last":
-        return columns[-1] if columns else None
-    if fallback == "last_if_binary":
-        return columns[-1] if columns and n_unique.get(columns[-1], 3) <= 2 else None
-    if fallback == "first_binary_else_last":
-        return binary[0] if binary else (columns[-1] if columns else None)
-    raise ValueError(fallback)
+    if fallback not in ("first_binary", "last", "last_if_binary", "first_binary_else_last"):
+        raise ValueError(fallback)
+    distinct = value_counts(df).groupBy("column").agg(F.count_if(F.col("sval").isNotNull()).alias("n_unique"))
+    places = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "pos int, column string")  # the schema
+    c = places.join(distinct, "column", "left").withColumn("binary", F.coalesce("n_unique", F.lit(0)) <= 2)
+    names = [x.replace("_", "") for x in TARGET_CANDIDATES]
+    named = F.replace(F.lower(F.trim("column")), F.lit("_"), F.lit("")).isin(names)
+    first = lambda test: F.min_by("column", F.when(test, F.col("pos")))
+    last = F.max_by("column", "pos")
+    rule = {"first_binary": first(F.col("binary")), "last": last, "last_if_binary": F.when(F.max_by("binary", "pos"), last),
+            "first_binary_else_last": F.coalesce(first(F.col("binary")), last)}[fallback]
+    return c.agg(F.coalesce(first(F.col("column") == F.lit(override or "")), first(named), rule).alias("target"))
 
 
 def select_dtypes(df: DataFrame, kind: str = "numeric", exclude=()) -> list[str]:

@@ -261,12 +261,8 @@ def q_infer_target(spark, sf_dir):
     back to its first column with at most two distinct values after the
     name rule fails (here: none, so the last column).
     """
-    rows = []
-    for name, sql, tbl, fb in [("orders_labelled", fx.ORDERS_LABELLED, "orders", "last"),
-                               ("orders_dirty", fx.ORDERS_DIRTY, "orders", "last"),
-                               ("lineitem_dupes", fx.LINEITEM_DUPES, "lineitem", "first_binary_else_last")]:
-        df = fixture(spark, sf_dir, sql, tbl)
-        prof = profile.profile_columns(df, samples=0).select("column", "n_unique").collect()  # one row per column
-        target = profile.infer_target(df.columns, {r["column"]: r["n_unique"] for r in prof}, fallback=fb)
-        rows.append((name, target))
-    return spark.createDataFrame(rows, "source string, target string")
+    found = [profile.infer_target(fixture(spark, sf_dir, sql, tbl), fallback=fb).select(F.lit(name).alias("source"), "target")
+             for name, sql, tbl, fb in [("orders_labelled", fx.ORDERS_LABELLED, "orders", "last"),
+                                        ("orders_dirty", fx.ORDERS_DIRTY, "orders", "last"),
+                                        ("lineitem_dupes", fx.LINEITEM_DUPES, "lineitem", "first_binary_else_last")]]
+    return found[0].unionByName(found[1]).unionByName(found[2])

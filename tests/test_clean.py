@@ -67,8 +67,15 @@ def test_profile_exact_quartiles(spark):
     assert r["sample_numbers"] == [1.0, 2.0, 4.0, 10.0]
 
 
-def test_infer_target_rules():
-    assert profile.infer_target(["feat1", "Heart_Disease", "x"]) == "Heart_Disease"
-    assert profile.infer_target(["feat1", "feat2", "label"]) == "label"
-    assert profile.infer_target(["a", "b"], {"a": 10, "b": 2}) == "b"
-    assert profile.infer_target(["a", "b"], {"a": 10, "b": 5}, fallback="last") == "b"
+def test_infer_target_rules(spark):
+    def target(columns, rows, **kw):
+        return profile.infer_target(spark.createDataFrame(rows, columns), **kw).first()["target"]
+
+    rows3 = [(1, 2, 3), (4, 5, 6), (7, 8, 9)]
+    assert target(["feat1", "Heart_Disease", "x"], rows3) == "Heart_Disease"
+    assert target(["feat1", "feat2", "label"], rows3) == "label"
+    assert target(["a", "b"], [(1, 0), (2, 1), (3, 0)]) == "b"
+    assert target(["a", "b"], [(1, 5), (2, 6), (3, 7)], fallback="last") == "b"
+    assert target(["a", "b"], [(1, 5), (2, 6), (3, 7)]) is None
+    assert target(["a", "b"], [(1, 5), (2, 6), (3, 7)], fallback="first_binary_else_last") == "b"
+    assert target(["a", "label"], [(1, 5)], override="a") == "a"
