@@ -14,7 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from riskframe.functions.columns import nan_to_null, numeric_columns, sdiv
 from riskframe.operators.ranks import exact_quantiles
@@ -32,50 +32,49 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             .groupBy("column", "sval", "dval").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _first_values_udf(key_cols: list[str], columns: list[str], k: int):
+def _first_values_udf(n_keys: int, numeric: list[bool], k: int):
     """Per-partition top-k smallest row keys per column (non-null values only)."""
     def fn(it):
-        best: dict[str, pd.DataFrame] = {}
+        keys = [f"_k{i}" for i in range(n_keys)]
+        best: dict[int, pd.DataFrame] = {}
         for pdf in it:
-            for c in columns:
-                sub = pdf.loc[pdf[c].notna(), key_cols + [c]]
-                if sub.empty:
-                    continue
-                sub = sub.rename(columns={c: "_v"})
-                prev = best.get(c)
-                cand = sub if prev is None else pd.concat([prev, sub])
-                best[c] = cand.sort_values(key_cols, kind="mergesort").head(k)
-        for c, b in best.items():
-            yield pd.DataFrame({"column": c, "_v": b["_v"].tolist(),
-                                **{f"_k{i}": b[kc].tolist() for i, kc in enumerate(key_cols)}})
+            for i in range(len(numeric)):
+                sub = pdf.loc[pdf[f"_v{i}"].notna(), [*keys, f"_v{i}"]].rename(columns={f"_v{i}": "_v"})
+                if not sub.empty:
+                    cand = pd.concat([best[i], sub]) if i in best else sub
+                    best[i] = cand.sort_values(keys, kind="mergesort").head(k)
+        for i, b in best.items():
+            v = b["_v"].tolist()
+            yield pd.DataFrame({"_i": i, "_d": v if numeric[i] else [None] * len(v), "_s": [None] * len(v) if numeric[i] else v,
+                                **{c: b[c].tolist() for c in keys}}).astype({"_d": "float64"})
     return fn
 
 
-def first_values(df: DataFrame, key_cols: list[str], columns: list[str], k: int = 5,
-                 value_type: str = "string") -> DataFrame:
-    """(column, values ARRAY<value_type>): the first ``k`` non-null values in key order.
+def first_values(df: DataFrame, key_cols: list[str], columns: list[str], k: int = 5) -> DataFrame:
+    """(column, sample_numbers, sample_values): the first ``k`` non-null values in
+    key order, as doubles for numeric columns and as text for others.
 
-    Each input partition keeps its own k smallest keys per column
-    (``mapInPandas``, no shuffle of the table), then a window per column
-    picks the global k among at most k x partitions candidates.
+    Each input partition keeps its own k smallest keys per column in one
+    ``mapInPandas`` pass (no shuffle of the table); the global k are taken
+    from at most k x partitions candidates per column.
     """
-    if not columns:
-        return df.sparkSession.createDataFrame([], f"column string, values array<{value_type}>")
-    key_fields = [df.schema[c] for c in key_cols]
-    vt = StringType() if value_type == "string" else DoubleType()
-    schema = StructType([StructField("column", StringType()), StructField("_v", vt)]
-                        + [StructField(f"_k{i}", f.dataType) for i, f in enumerate(key_fields)])
-    names = {c: f"__v{i}" for i, c in enumerate(columns)}
-    src = df.select(*key_cols, *[F.col(c).cast(value_type).alias(names[c]) for c in columns])
-    cand = src.mapInPandas(_first_values_udf(key_cols, list(names.values()), k), schema)
-    order = [F.col(f"_k{i}") for i in range(len(key_cols))]
-    w = Window.partitionBy("column").orderBy(*order)
+    num = numeric_columns(df)
+    is_num = [c in num for c in columns]
+    src = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key_cols)],
+                    *[F.col(c).cast("double" if n else "string").alias(f"_v{i}") for i, (c, n) in enumerate(zip(columns, is_num))])
+    schema = StructType([StructField("_i", IntegerType()), StructField("_d", DoubleType()), StructField("_s", StringType())]
+                        + [StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(key_cols)])
+    cand = src.mapInPandas(_first_values_udf(len(key_cols), is_num, k), schema)
+    w = Window.partitionBy("_i").orderBy(*[F.col(f"_k{i}") for i in range(len(key_cols))])
     top = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    back = F.create_map(*[x for c, n in names.items() for x in (F.lit(n), F.lit(c))])
-    return (top.groupBy("column")
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col("_v")))).alias("_s"))
-            .select(back[F.col("column")].alias("column"),
-                    F.transform("_s", lambda x: x["_v"]).alias("values")))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_i") + 1)
+
+    def values(of: str):
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col(of).isNotNull(), F.struct("_r", of)))), lambda x: x[of])
+
+    g = top.groupBy("_i").agg(values("_d").alias("_n"), values("_s").alias("_t"))
+    return g.select(name.alias("column"), F.when(F.size("_n") > 0, F.col("_n")).alias("sample_numbers"),
+                    F.when(F.size("_t") > 0, F.col("_t")).alias("sample_values"))
 
 
 def null_shares(df: DataFrame) -> DataFrame:
@@ -127,12 +126,7 @@ def profile_columns(df: DataFrame, key_cols: list[str] | None = None, samples: i
                    F.round(F.sqrt(F.try_divide(F.col("_ss"), F.col("non_null") - 1)), 4).alias("std"),
                    "q25", "q75"))
     if key_cols and samples:
-        nums = [c for c in cols if c in num]
-        txt = [c for c in cols if c not in num]
-        out = (out.join(first_values(df, key_cols, nums, samples, "double")
-                        .withColumnRenamed("values", "sample_numbers"), "column", "left")
-               .join(first_values(df, key_cols, txt, samples, "string")
-                     .withColumnRenamed("values", "sample_values"), "column", "left"))
+        out = out.join(first_values(df, key_cols, cols, samples), "column", "left")
     return out
 
 
