@@ -66,3 +66,21 @@ def test_stages_keep_the_columns(spark):
         for d in (docs, extra, docs.limit(0)):
             out = stage(spark, d, SMOKE)
             assert out.dtypes == d.dtypes, name
+
+
+def test_stages_on_odd_rows(spark):
+    clean = " ".join(f"wort{i}" for i in range(80))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, clean, "en", "s", 1), (2, clean, "en", "s", 1),
+            (None, clean.replace(" ", "\n"), None, None, None), (3, clean.upper() + " token=abcdefgh1", "en", None, 7), (4, "y " * 40_000, "en", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = stage(spark, docs, SMOKE).collect()
+    base_ok = [r for r in rows if not base_rules(r[1])[-1]]
+    assert all(tuple(r) in rows and not base_rules(r["text"])[-1] for r in out["quality_rules"]) and len(base_ok) == 4
+    # One of the two empty texts and one of the three copies (the smallest id) stay.
+    assert sorted((r["doc_id"] or 0) for r in out["simhash_dedup"]) == [1, 2, 3, 4]
+    assert len(out["decontaminate"]) == len(rows)
+    red = [r for r in out["secret_scan"] if r["text"] and r["text"].endswith("[SECRET]")]
+    assert len(out["secret_scan"]) == len(rows) and [(r["doc_id"], r["n_chars"]) for r in red] == [(3, len(red[0]["text"]))]
+    assert len(out["sentencepiece"]) == len(rows) and all(r["round_trip"] for r in out["sentencepiece"] if r["ids"] is not None)
