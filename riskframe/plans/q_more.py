@@ -3,6 +3,8 @@ mapping and small summaries (R-5, R-6, S-5, S-7, S-9, L-4, J-3, B-7, B-8, B-12,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskframe.operators import advisory, alerts, clean, features, graph, ledger, train
@@ -11,6 +13,7 @@ from riskframe.plans import fixtures_sql as fx
 from riskframe.plans.q_text import ORACLE_NEIGHBORS, ORACLE_TFIDF, ORACLE_VERDICT
 from riskframe.plans.q_train import _PHI_SQL, _attributions
 from riskframe.plans.registry import fixture, register, views
+from riskframe.session import checkpoint_path
 from riskframe.sources import files
 
 COMPILED = "2025-01-01 00:00:00 UTC"
@@ -242,3 +245,35 @@ def q_coerce_age(spark, sf_dir):
     """Text age columns read as numbers, bad values null; other text stays."""
     return clean.coerce_age(fixture(spark, sf_dir, """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE CAST(20 + c_custkey % 60 AS STRING) END AS age,
         concat('x', CAST(c_custkey AS STRING)) AS stage FROM customer""", "customer"))
+
+
+@register("table_sink", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def q_table_sink(spark, sf_dir):
+    """Orders written to the Parquet sink and read back by extension."""
+    views(spark, sf_dir, "orders")
+    path = checkpoint_path(spark, f"sinks-{uuid.uuid4().hex}/orders.parquet")
+    files.write_table(spark.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path)
+    return files.read_any(spark, path)
+
+
+@register("jsonl_sink", "SELECT event_id, user_id, event_type FROM events")
+def q_jsonl_sink(spark, sf_dir):
+    """Events appended to a JSON-lines log in two parts and scanned back."""
+    views(spark, sf_dir, "events")
+    path = checkpoint_path(spark, f"sinks-{uuid.uuid4().hex}/log")
+    e = spark.table("events").select("event_id", "user_id", "event_type")
+    files.append_jsonl(e.where("event_id % 2 = 0"), path)
+    files.append_jsonl(e.where("event_id % 2 = 1"), path)
+    return files.jsonl_scan(spark, path, "event_id long, user_id long, event_type string")[0]
+
+
+@register("whole_text_scan", """SELECT source, string_agg(line, chr(10) ORDER BY line) || chr(10) AS text
+FROM (SELECT 'priority=' || left(o_orderpriority, 1) AS source, 'order ' || o_orderkey AS line FROM orders WHERE o_orderkey % 10 = 0) x GROUP BY source""")
+def q_whole_text(spark, sf_dir):
+    """One text file per order priority, each read back whole."""
+    views(spark, sf_dir, "orders")
+    root = checkpoint_path(spark, f"sinks-{uuid.uuid4().hex}/texts")
+    lines = spark.table("orders").where("o_orderkey % 10 = 0").select(
+        F.left("o_orderpriority", F.lit(1)).alias("priority"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("line"))
+    lines.repartition("priority").sortWithinPartitions("priority", "line").write.partitionBy("priority").text(root)
+    return files.whole_text_scan(spark, f"{root}/priority=*", "*.txt", folder=True)

@@ -102,10 +102,11 @@ def json_documents(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.to_json(F.struct(*[F.col(c) for c in df.columns if c != key])).alias("document"))
 
 
-def whole_text_scan(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """One row per file: (source file name, text)."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(root)
-    return df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("source"), F.col("value").alias("text"))
+def whole_text_scan(spark: SparkSession, root: str, glob: str = "*.md", folder: bool = False) -> DataFrame:
+    """One row per file: (source, text); the source is the file's name, or its folder's."""
+    df = spark.read.text(root, wholetext=True, pathGlobFilter=glob)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$" if folder else r"([^/]+)$", 1)
+    return df.select(name.alias("source"), F.col("value").alias("text"))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
