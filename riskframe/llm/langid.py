@@ -46,7 +46,9 @@ CACHED_WORDS = 300_000
 
 
 def words_of(text: bytes) -> list[str]:
-    return WORD.findall(text.decode("utf-8", "replace").lower())
+    """The lower-cased words; signs that are numbers only (such as a superscript two) are none."""
+    words = WORD.findall(text.decode("utf-8", "replace").lower())
+    return words if text.isascii() else [w for w in words if not w.isnumeric()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -116,25 +118,38 @@ def _frequent(counts: DataFrame, keys: list[str], item: str, share: float) -> Da
 
 
 class LangModel:
-    """Per language the log frequencies of words and n-grams; unknown ones get the share below which none is kept."""
+    """Log frequencies: ``words`` and ``grams`` give the row of a word or n-gram in
+    a matrix with a column per language; a language that does not know the
+    item has the share below which none is kept."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
+    def __init__(self, langs: list[str], words: dict[str, int], word_rows: np.ndarray, grams: dict[str, int],
+                 gram_rows: np.ndarray):
+        self.langs, self.words, self.word_rows, self.grams, self.gram_rows = langs, words, word_rows, grams, gram_rows
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Log score of a word per language, backing off to shorter n-grams place by place."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        marked, total, places = f"{EDGE}{word}{EDGE}", np.zeros(len(self.langs)), 0
+    def backoff(self, word: str) -> list[int]:
+        """The n-gram of each place of a word: the longest known one that ends there; places without any are left out."""
+        get, marked, out = self.grams.get, f"{EDGE}{word}{EDGE}", []
         for i in range(1, len(marked) - 1):
-            for n in range(LONGEST_GRAM, 0, -1):
-                start = max(0, i - n + 1) if n > 1 else i
-                got = self.grams.get(marked[start:i + 1] if n > 1 else marked[i])
-                if got is not None:
-                    total, places = total + got, places + 1
+            for start in range(max(0, i - LONGEST_GRAM + 1), i + 1):
+                row = get(marked[start:i + 1])
+                if row is not None:
+                    out.append(row)
                     break
-        return total / places if places else total
+        return out
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log score per language of each word: its own, else the mean over its n-grams (0 without any)."""
+        out = np.zeros((len(words), len(self.langs)))
+        known = [(i, self.words[w]) for i, w in enumerate(words) if w in self.words]
+        if known:
+            at, rows = np.array(known).T
+            out[at] = self.word_rows[rows]
+        new = [(i, g) for i, w in enumerate(words) if w not in self.words and (g := self.backoff(w))]
+        if new:
+            size = np.array([len(g) for _, g in new])
+            rows = self.gram_rows[np.concatenate([g for _, g in new])]
+            out[[i for i, _ in new]] = np.add.reduceat(rows, np.cumsum(size) - size, axis=0) / size[:, None]
+        return out
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str) -> LangModel:
@@ -147,16 +162,20 @@ def fit(docs: DataFrame, text_col: str, lang_col: str) -> LangModel:
                    .select("lang").collect())  # at most 1 / LANG_SHARE
     kept_words = words.where(F.col("lang").isin(langs)) if langs else words.limit(0)
     grams = gram_counts(kept_words).withColumn("size", F.length("gram"))
-    return LangModel(langs, _table(_frequent(kept_words, ["lang"], "word", WORD_SHARE), "word", langs, WORD_SHARE),
-                     _table(_frequent(grams, ["lang", "size"], "gram", GRAM_SHARE), "gram", langs, GRAM_SHARE))
+    return LangModel(langs, *_table(_frequent(kept_words, ["lang"], "word", WORD_SHARE), "word", langs, WORD_SHARE),
+                     *_table(_frequent(grams, ["lang", "size"], "gram", GRAM_SHARE), "gram", langs, GRAM_SHARE))
 
 
-def _table(rows: DataFrame, item: str, langs: list[str], share: float) -> dict[str, np.ndarray]:
+def _table(rows: DataFrame, item: str, langs: list[str], share: float) -> tuple[dict[str, int], np.ndarray]:
     at = {lang: i for i, lang in enumerate(langs)}
-    out: dict[str, np.ndarray] = {}
+    number: dict[str, int] = {}
+    out: list[np.ndarray] = []
     for r in rows.toLocalIterator():
-        out.setdefault(r[item], np.full(len(langs), np.log(share / 2)))[at[r["lang"]]] = np.log(r["p"])
-    return out
+        i = number.setdefault(r[item], len(number))
+        if i == len(out):
+            out.append(np.full(len(langs), np.log(share / 2)))
+        out[i][at[r["lang"]]] = np.log(r["p"])
+    return number, np.array(out).reshape(len(out), len(langs))
 
 
 class TextScorer:
@@ -168,19 +187,16 @@ class TextScorer:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
         self.matrix = np.zeros((0, len(self.model.langs)))
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if len(self.number) > CACHED_WORDS:
             self.reset()
         split = [words_of(t) if t else [] for t in texts]
-        for w in set().union(*split):
-            if w not in self.number:
-                self.number[w] = len(self.rows)
-                self.rows.append(self.model.word_score(w))
-        if len(self.rows) > len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.array(self.rows[len(self.matrix):])])
+        new = [w for w in set().union(*split) if w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.matrix), len(self.matrix) + len(new)), strict=True))
+            self.matrix = np.concatenate([self.matrix, self.model.word_scores(new)])
         out = []
         for words in split:
             if not words or not self.model.langs:

@@ -8,11 +8,10 @@ SMALL = "/root/testdata/sf0.01"
 
 
 def test_backoff_goes_place_by_place():
-    grams = {"ab": np.array([-1.0, -2.0]), "a": np.array([-3.0, -3.0]), " ab ": np.array([-9.0, -8.0])}
-    model = langid.LangModel(["x", "y"], {"known": np.array([-5.0, -6.0])}, grams)
-    assert model.word_score("known").tolist() == [-5.0, -6.0]
-    assert model.word_score("ab").tolist() == [(-3.0 - 1.0) / 2, (-3.0 - 2.0) / 2]  # a, then ab
-    assert model.word_score("zz").tolist() == [0.0, 0.0]
+    rows = np.array([[-1.0, -2.0], [-3.0, -3.0], [-9.0, -8.0]])
+    model = langid.LangModel(["x", "y"], {"known": 0}, np.array([[-5.0, -6.0]]), {"ab": 0, "a": 1, " ab ": 2}, rows)
+    got = model.word_scores(["known", "ab", "zz", "ab"])
+    assert got.tolist() == [[-5.0, -6.0], [(-3.0 - 1.0) / 2, (-3.0 - 2.0) / 2], [0.0, 0.0], [(-3.0 - 1.0) / 2, (-3.0 - 2.0) / 2]]
 
 
 def test_held_out_accuracy(spark):
@@ -27,12 +26,12 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(spark):
     rows = [(1, "le chat et la souris", "fr"), (2, "the cat and the mouse", "en"), (3, None, "en"), (4, "", None), (5, "123 !?", "fr"),
-            (None, "the mouse", "en"), (6, "qqq " * 30_000, None), (7, "the", None), (7, "the", None), (8, "chaton", None)]
+            (None, "the mouse", "en"), (6, "qqq " * 30_000, None), (7, "the", None), (7, "the", None), (8, "chaton", None), (9, "² ½ 5", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_language", F.lit(1))
     got = {}
     for r in langid.language_report(docs, F.lit(False)).collect():
         got.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
-    assert [x for x, _ in got[3] + got[4] + got[5]] == ["und"] * 3 and got[3][0][1] == 0.0
+    assert [x for x, _ in got[3] + got[4] + got[5] + got[9]] == ["und"] * 4 and got[3][0][1] == 0.0
     assert got[1][0][0] == "fr" and got[2][0][0] == "en" and got[8][0][0] == "fr"
     assert len(got[7]) == 2 and got[7][0] == got[7][1]
     none = langid.language_report(docs, F.lit(True)).collect()
