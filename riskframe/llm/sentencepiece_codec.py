@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import blocks, col, free_name, utf8
 from riskframe.llm.unigram_vocab import UnigramVocab, load_vocab, unit_text, units_of
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 200_000
 RESULT = "ids array<int>, n_tokens long, ids_sha256 string, decoded string"
 
 
@@ -207,6 +207,21 @@ def _trie(path: str) -> DoubleArrayTrie:
     return DoubleArrayTrie(load_vocab(path).pieces)
 
 
+def result_of(ids: list[bytes | None], vocab: UnigramVocab | None) -> pa.StructArray:
+    """RESULT rows of encoded texts; they are decoded again if ``vocab`` is given."""
+    counts = np.array([0 if i is None else len(i) // 4 for i in ids], np.int64)
+    null = np.array([i is None for i in ids], bool)
+    flat = pa.Array.from_buffers(pa.int32(), int(counts.sum()), [None, pa.py_buffer(b"".join(i or b"" for i in ids))])
+    decoded = [None if i is None or vocab is None else decode_ids(np.frombuffer(i, "<i4"), vocab.texts, vocab.dummy_prefix)
+               for i in ids]
+    return pa.StructArray.from_arrays([
+        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat, mask=pa.array(null)),
+        pa.array(counts, mask=null),
+        pa.array([None if i is None else hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+        pa.array(decoded, pa.binary()).cast(pa.string()),
+    ], names=["ids", "n_tokens", "ids_sha256", "decoded"])
+
+
 def _codec_udf(spark, model_path: str, decode: bool):
     shared = spark.sparkContext.broadcast((tuple(load_vocab(model_path)), vars(_trie(model_path))))  # a vocabulary's size
 
@@ -216,25 +231,8 @@ def _codec_udf(spark, model_path: str, decode: bool):
         vars(trie).update(arrays)
         encoder = CachedEncoder(vocab, trie)
         for batch in batches:
-            ids: list[bytes | None] = []
-            decoded: list[bytes | None] = []
-            for block in blocks(v.as_py() for v in batch):
-                got = encoder.encode(block)
-                ids += got
-                if decode:
-                    decoded += [None if i is None else decode_ids(np.frombuffer(i, "<i4"), vocab.texts,
-                                                                  vocab.dummy_prefix) for i in got]
-                else:
-                    decoded += [None] * len(got)
-            counts = [0 if i is None else len(i) // 4 for i in ids]
-            flat = pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(i or b"" for i in ids))])
-            null = pa.array([i is None for i in ids], pa.bool_())
-            yield pa.StructArray.from_arrays([
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat, mask=null),
-                pa.array([None if i is None else len(i) // 4 for i in ids], pa.int64()),
-                pa.array([None if i is None else hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                pa.array(decoded, pa.binary()).cast(pa.string()),
-            ], names=["ids", "n_tokens", "ids_sha256", "decoded"])
+            for block in blocks(v.as_py() for v in batch):  # one block's results at a time
+                yield result_of(encoder.encode(block), vocab if decode else None)
 
     return F.arrow_udf(run, RESULT)
 
