@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -125,23 +126,26 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str =
         tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         names = [x.split()[0] for x in RESULT.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(),
-                 pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
         def formatted(conv_id: int | None, rows: list[tuple[str, str]]) -> tuple:
             r = render(rows)
             code = tokenizer.encode(r.text, add_special_tokens=False)
-            spans = np.array(code.offsets, np.int64).reshape(-1, 2)
+            offsets = code.offsets
+            spans = np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
             mask = token_mask(spans[:, 0], spans[:, 1], r.starts, r.ends)
-            back = "".join(f"{role}\n{text}\n" for role, text in parse(r.text))
+            turns = parse(r.text)
+            back = "".join(f"{role}\n{text}\n" for role, text in turns)
             loss = "".join(trained_texts(r, spans[:, 0], spans[:, 1], mask))
-            return (conv_id, len(parse(r.text)), hashlib.sha256(back.encode()).hexdigest(), len(loss),
-                    hashlib.sha256(loss.encode()).hexdigest(), len(r.text), len(code.ids), int(mask.sum()), r.text,
-                    code.ids, mask)
+            return (conv_id, len(turns), hashlib.sha256(back.encode()).hexdigest(), len(loss),
+                    hashlib.sha256(loss.encode()).hexdigest(), len(r.text), len(mask), int(mask.sum()), r.text,
+                    np.array(code.ids, np.int32), mask)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                              names=names)
+            *plain, ids, masks = zip(*rows, strict=True)
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (ids, masks)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(plain, kinds, strict=True)] + lists, names=names)
 
         current, held, done, size = None, [], [], 0
         for batch in batches:
