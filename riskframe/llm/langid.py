@@ -9,8 +9,10 @@ the highest mean score wins; ties go to the name that sorts first.
 
 Words known to a language are those that make up at least ``WORD_SHARE`` of
 its words, so one language has at most ``1 / WORD_SHARE`` of them whatever
-the corpus; n-grams likewise. The languages themselves are those of at least
-``LANG_SHARE`` of the training rows. That bounds what is broadcast.
+the corpus; n-grams likewise. Every language of the training rows is kept,
+however few rows it has: what is broadcast grows with the number of languages,
+not with the rows. Only the kept frequencies are stored; full rows, with a
+number per language, are made of ``CELLS`` numbers or of one text at a time.
 
 Words are runs of letters, lower-cased. A text that is null or has no letter
 is ``und`` with score 0; so is every text if there is no training row. The
@@ -23,6 +25,7 @@ whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,18 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import blocks, col, free_name, materialize, utf8
+from riskframe.llm.common import TEXT_BLOCK_BYTES, blocks, col, free_name, materialize, utf8
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 4
 EDGE = " "
 WORD_SHARE = 2e-5
 GRAM_SHARE = 2e-5
-LANG_SHARE = 1e-3
 SHARPNESS = 4.0
 UNDETERMINED = "und"
 FLUSH_WORDS = 300_000
 CACHED_WORDS = 300_000
+CELLS = 1 << 23
 
 
 def words_of(text: bytes) -> list[str]:
@@ -117,13 +120,27 @@ def _frequent(counts: DataFrame, keys: list[str], item: str, share: float) -> Da
     return counts.join(F.broadcast(total), keys).where(F.col("n") >= share * F.col("total")).select("lang", item, p)
 
 
+class SparseRows:
+    """A matrix with a column per language that stores only the languages that know an item; others have ``rest``."""
+
+    def __init__(self, begin: np.ndarray, lang: np.ndarray, value: np.ndarray, width: int, rest: float):
+        self.begin, self.lang, self.value, self.width, self.rest = begin, lang, value, width, rest
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        size = self.begin[rows + 1] - self.begin[rows]
+        out = np.full((len(rows), self.width), self.rest)
+        at = np.arange(size.sum()) + np.repeat(self.begin[rows] - (np.cumsum(size) - size), size)
+        out[np.repeat(np.arange(len(rows)), size), self.lang[at]] = self.value[at]
+        return out
+
+
 class LangModel:
     """Log frequencies: ``words`` and ``grams`` give the row of a word or n-gram in
     a matrix with a column per language; a language that does not know the
     item has the share below which none is kept."""
 
-    def __init__(self, langs: list[str], words: dict[str, int], word_rows: np.ndarray, grams: dict[str, int],
-                 gram_rows: np.ndarray):
+    def __init__(self, langs: list[str], words: dict[str, int], word_rows: SparseRows | np.ndarray, grams: dict[str, int],
+                 gram_rows: SparseRows | np.ndarray):
         self.langs, self.words, self.word_rows, self.grams, self.gram_rows = langs, words, word_rows, grams, gram_rows
 
     def backoff(self, word: str) -> list[int]:
@@ -145,10 +162,12 @@ class LangModel:
             at, rows = np.array(known).T
             out[at] = self.word_rows[rows]
         new = [(i, g) for i, w in enumerate(words) if w not in self.words and (g := self.backoff(w))]
-        if new:
-            size = np.array([len(g) for _, g in new])
-            rows = self.gram_rows[np.concatenate([g for _, g in new])]
-            out[[i for i, _ in new]] = np.add.reduceat(rows, np.cumsum(size) - size, axis=0) / size[:, None]
+        size = np.array([len(g) for _, g in new], np.int64)
+        part = np.cumsum(size) * len(self.langs) // CELLS
+        for k in np.unique(part):
+            at = np.flatnonzero(part == k)
+            rows = self.gram_rows[np.concatenate([new[i][1] for i in at])]
+            out[[new[i][0] for i in at]] = np.add.reduceat(rows, np.cumsum(size[at]) - size[at], axis=0) / size[at, None]
         return out
 
 
@@ -156,26 +175,24 @@ def fit(docs: DataFrame, text_col: str, lang_col: str) -> LangModel:
     """Fits on all rows of ``docs`` with a language. The driver gets the kept words and n-grams only."""
     rows = docs.where(col(lang_col).isNotNull())
     words = materialize(word_counts(rows, text_col, lang_col), "words")
-    shares = rows.groupBy(col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    total = shares.agg(F.sum("n").alias("total"))
-    langs = sorted(r["lang"] for r in shares.join(F.broadcast(total), F.col("n") >= LANG_SHARE * F.col("total"))
-                   .select("lang").collect())  # at most 1 / LANG_SHARE
-    kept_words = words.where(F.col("lang").isin(langs)) if langs else words.limit(0)
-    grams = gram_counts(kept_words).withColumn("size", F.length("gram"))
-    return LangModel(langs, *_table(_frequent(kept_words, ["lang"], "word", WORD_SHARE), "word", langs, WORD_SHARE),
+    langs = sorted(r["lang"] for r in rows.select(col(lang_col).cast("string").alias("lang")).distinct().collect())
+    grams = gram_counts(words).withColumn("size", F.length("gram"))
+    return LangModel(langs, *_table(_frequent(words, ["lang"], "word", WORD_SHARE), "word", langs, WORD_SHARE),
                      *_table(_frequent(grams, ["lang", "size"], "gram", GRAM_SHARE), "gram", langs, GRAM_SHARE))
 
 
-def _table(rows: DataFrame, item: str, langs: list[str], share: float) -> tuple[dict[str, int], np.ndarray]:
+def _table(rows: DataFrame, item: str, langs: list[str], share: float) -> tuple[dict[str, int], SparseRows]:
     at = {lang: i for i, lang in enumerate(langs)}
     number: dict[str, int] = {}
-    out: list[np.ndarray] = []
+    row, lang, p = array("q"), array("q"), array("d")
     for r in rows.toLocalIterator():
-        i = number.setdefault(r[item], len(number))
-        if i == len(out):
-            out.append(np.full(len(langs), np.log(share / 2)))
-        out[i][at[r["lang"]]] = np.log(r["p"])
-    return number, np.array(out).reshape(len(out), len(langs))
+        row.append(number.setdefault(r[item], len(number)))
+        lang.append(at[r["lang"]])
+        p.append(r["p"])
+    row = np.array(row, np.int64)
+    order = np.argsort(row, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(number)))])
+    return number, SparseRows(begin, np.array(lang, np.int32)[order], np.log(np.array(p))[order], len(langs), np.log(share / 2))
 
 
 class TextScorer:
@@ -190,7 +207,7 @@ class TextScorer:
         self.matrix = np.zeros((0, len(self.model.langs)))
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
-        if len(self.number) > CACHED_WORDS:
+        if len(self.number) > min(CACHED_WORDS, CELLS // max(len(self.model.langs), 1)):
             self.reset()
         split = [words_of(t) if t else [] for t in texts]
         new = [w for w in set().union(*split) if w not in self.number]
@@ -211,12 +228,14 @@ class TextScorer:
 
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """``docs`` with a struct ``out_col`` (lang, score). No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the shares kept
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the shares kept of each language
+
+    limit = min(TEXT_BLOCK_BYTES, CELLS // max(len(model.langs), 1))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = TextScorer(LangModel(**shared.value))
         for batch in batches:
-            rows = [r for block in blocks(v.as_py() for v in batch) for r in scorer.predict(block)]
+            rows = [r for block in blocks((v.as_py() for v in batch), limit) for r in scorer.predict(block)]
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()),
                                               pa.array([r[1] for r in rows], pa.float64())], names=["lang", "score"])
 

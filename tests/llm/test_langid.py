@@ -37,3 +37,26 @@ def test_odd_rows(spark):
     none = langid.language_report(docs, F.lit(True)).collect()
     assert len(none) == len(rows) and {r["lang_pred"] for r in none} == {"und"}
     assert langid.language_report(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_rare_language_is_kept(spark):
+    rows = [(i, "the cat and the mouse" if i % 2 else "le chat et la souris", "en" if i % 2 else "fr") for i in range(4000)]
+    rows += [(5000, "köttur hleypur eftir músinni", "is"), (5001, "köttur eftir músinni", None), (5002, "the cat", None), (5003, "le chat", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language_report(docs, F.lit(False)).collect()}
+    assert [got[i] for i in (5000, 5001, 5002, 5003)] == ["is", "is", "en", "fr"]
+
+
+def test_sparse_rows_in_small_parts_score_like_dense_ones(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = [chr(0x61 + i) for i in range(12)]
+    rows = [(i, " ".join("".join(rng.choice(letters, 3)) for _ in range(30)), f"l{i % 60:02}") for i in range(120)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang")
+    assert len(model.langs) == 60
+    dense = langid.LangModel(model.langs, model.words, model.word_rows[np.arange(len(model.words))],
+                             model.grams, model.gram_rows[np.arange(len(model.grams))])
+    words = ["".join(rng.choice(letters, n)) for n in (1, 2, 3, 4, 6, 9) for _ in range(40)]
+    whole = dense.word_scores(words)
+    assert any(w in model.words for w in words) and any(w not in model.words for w in words)
+    monkeypatch.setattr(langid, "CELLS", 1 << 10)
+    assert np.array_equal(model.word_scores(words), whole)
