@@ -18,9 +18,9 @@ from riskframe.sources import files
 
 COMPILED = "2025-01-01 00:00:00 UTC"
 
-# Questions of the benchmark, each with a topic word; documents are the guideline sections.
+# Whole texts of the benchmark, each with a topic word; documents are the guideline sections.
 QUESTIONS = """SELECT item_id, concat(CASE item_id % 4 WHEN 0 THEN 'Blood pressure: ' WHEN 1 THEN 'Lipid: ' WHEN 2 THEN 'Alcohol: '
-  ELSE '' END, substr(text, 1, 60)) AS question FROM benchmark"""
+  ELSE '' END, text) AS question FROM benchmark"""
 
 _EVIDENCE_SQL = """CASE
  WHEN contains(q, 'bp') OR contains(q, 'blood pressure') OR contains(q, 'hypertension') THEN

@@ -12,3 +12,16 @@ def test_whole_text_scan_has_every_order_in_bounded_files(spark):
     got = {r["source"]: r["text"] for r in q_more.q_whole_text(spark, SMOKE).collect()}
     assert got == {b: "\n".join(sorted(lines)) + "\n" for b, lines in exp.items()}
     assert len(got) > 1 and max(t.count("\n") for t in got.values()) <= 1000
+
+
+def test_questions_and_reports_hold_the_whole_text(spark, tmp_path):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu "
+    assert len(long) > 60
+    # Found, linked and reported by words after the first 60 characters alone.
+    spark.createDataFrame([(3, long + "needle cholesterol")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "needle haystack"), (2, "other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = q_more.q_advisory(spark, str(tmp_path)).collect()
+    assert f'"{long}needle cholesterol"' in row["report"] and "> **Section from doc-1:**" in row["report"]
+    assert "doc-2" not in row["report"] and "high-intensity statin" in row["report"]
+    (answer,) = q_more.q_guarded(spark, str(tmp_path)).collect()
+    assert row["report"] == answer["answer"] or not answer["safe"]
