@@ -75,10 +75,11 @@ def q_top_contributions(spark, sf_dir):
 
 @register("fitted_importance")
 def q_fitted_importance(spark, sf_dir):
-    """Global ranking of the attributions of a fitted logistic regression (rows-only)."""
-    from pyspark.ml.classification import LogisticRegression
+    """Global ranking of the attributions of a fitted logistic regression, with the
+    benchmark's settings (rows-only)."""
     from pyspark.ml.feature import VectorAssembler
     d = _acct_label(spark, sf_dir)
     va = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    lr = LogisticRegression(maxIter=100).fit(va.transform(d.withColumn("label", F.col("cardio").cast("double"))))
+    est = dict(train._models(d.count()))["LogisticRegression"]
+    lr = est.fit(va.transform(d.withColumn("label", F.col("cardio").cast("double"))))
     return train.global_importance(train.linear_attributions(d, FEATURES, lr.coefficients.toArray().tolist(), "patient_id"))

@@ -1,4 +1,4 @@
-from riskframe.plans import q_more
+from riskframe.plans import q_more, q_train
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -25,3 +25,15 @@ def test_questions_and_reports_hold_the_whole_text(spark, tmp_path):
     assert "doc-2" not in row["report"] and "high-intensity statin" in row["report"]
     (answer,) = q_more.q_guarded(spark, str(tmp_path)).collect()
     assert row["report"] == answer["answer"] or not answer["safe"]
+
+
+def test_fitted_importance_has_the_benchmark_settings(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    fitted, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, *a, **kw: fitted.append(self) or fit(self, *a, **kw))
+    got = q_train.q_fitted_importance(spark, SMOKE).collect()
+    rows = spark.read.parquet(f"{SMOKE}/customer.parquet").count()
+    (lr,) = fitted
+    assert lr.getMaxIter() == 1000 and lr.getRegParam() == 1.0 / rows and not lr.getStandardization()
+    assert {r["feature"] for r in got} == set(q_train.FEATURES)
