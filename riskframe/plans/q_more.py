@@ -132,11 +132,12 @@ def q_log_validity(spark, sf_dir):
     return files.log_validity(lines, "line", [["timestamp"], ["type", "event_type"]]).drop("line")
 
 
-@register("json_documents", """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS document FROM nation""")
+@register("json_documents", """SELECT o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS document
+FROM orders""")
 def q_json_documents(spark, sf_dir):
-    """Each nation as one JSON document."""
-    views(spark, sf_dir, "nation")
-    return files.json_documents(spark.table("nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+    """Each order as one JSON document."""
+    views(spark, sf_dir, "orders")
+    return files.json_documents(spark.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
 
 
 @register("verify_checksums", """SELECT o_orderkey AS artifact, CASE WHEN o_orderkey % 31 = 0 THEN 'MISSING' WHEN o_orderkey % 37 = 0 THEN 'UNEXPECTED'

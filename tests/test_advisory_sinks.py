@@ -1,3 +1,5 @@
+import json
+
 from riskframe.plans import q_more, q_train
 
 SMOKE = "/root/testdata/sf0.001"
@@ -37,3 +39,10 @@ def test_fitted_importance_has_the_benchmark_settings(spark, monkeypatch):
     (lr,) = fitted
     assert lr.getMaxIter() == 1000 and lr.getRegParam() == 1.0 / rows and not lr.getStandardization()
     assert {r["feature"] for r in got} == set(q_train.FEATURES)
+
+
+def test_json_documents_has_a_document_per_order(spark):
+    cols = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    exp = {r["o_orderkey"]: {c: r[c] for c in cols} for r in spark.read.parquet(f"{SMOKE}/orders.parquet").collect()}
+    got = {r["o_orderkey"]: json.loads(r["document"]) for r in q_more.q_json_documents(spark, SMOKE).collect()}
+    assert got == exp
