@@ -81,3 +81,28 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> last THEN last END AS refers_to, url
 FROM p JOIN l ON p.h = l.h"""
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """Every round as two CTEs: who is nearest to which centroid, and the floored means."""
+    out = []
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS best FROM ("
+                   f"SELECT rid, vec_id, v.v AS v, c, CAST(list_sum(list_transform(list_zip(v.v, c{n}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d "
+                   f"FROM v, c{n}) x GROUP BY rid)")
+        if n < rounds:
+            out.append(f"m{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM ("
+                       f"SELECT best.c AS c, p, sum(v[p]) AS s, count(*) AS n FROM a{n}, range(1, 65) r(p) GROUP BY best.c, p) x GROUP BY c)")
+            out.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} ON c{n}.c = m{n}.c)")
+    return ",\n".join(out)
+
+
+CENTROIDS = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+  list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v
+  FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT 8) x),
+{_centroid_rounds(10)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON best.c = c10.c"""

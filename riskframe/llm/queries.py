@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (chat_format, decontaminate, langid, oracles, quality_classifier, quality_rules, secret_scan,
+from riskframe.llm import (centroids, chat_format, decontaminate, langid, oracles, quality_classifier, quality_rules, secret_scan,
                            sentencepiece_codec, simhash, token_counts, warc)
 from riskframe.sources.tables import table
 
@@ -102,6 +102,12 @@ def op10_quality_classifier(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
 
 
+@query(oracles.CENTROIDS)
+def op13_centroids(spark, sf_dir):
+    """Cluster, distance, inertia and centroid of every whole vector."""
+    return centroids.clustered_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def pipeline(spark, sf_dir):
     """The stages of ``corpus_pipeline`` over all documents."""
