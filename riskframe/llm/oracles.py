@@ -1,4 +1,8 @@
-"""DuckDB statements for the queries that SQL can express, with every pattern and constant written out."""
+"""DuckDB statements for the queries that SQL can express, with every pattern and constant written out.
+
+Only the license texts beyond the base phrases come from ``license_texts``."""
+
+from riskframe.llm.license_texts import TEMPLATES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -106,3 +110,57 @@ c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER
 SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
        CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
 FROM a10 JOIN c10 ON best.c = c10.c"""
+
+
+def _license_values() -> str:
+    """(label, named, share, text) of the templates; the base phrases are written out."""
+    rows = [("mit", True, 1.0, "under the mit license"), ("apache-2", True, 1.0, "apache license version 2"), ("cc-by-nc", True, 1.0, "cc by nc")]
+    rows += [(t.label, False, t.share, t.text) for t in TEMPLATES if not t.named]
+    return ", ".join(f"({n}, '{label}', {named}, {share}, '{text.replace(chr(39), chr(39) * 2)}')"
+                     for n, (label, named, share, text) in enumerate(rows))
+
+
+LICENSES = f"""WITH l(t, label, named, share, text) AS (VALUES {_license_values()}),
+lw AS (SELECT t, label, named, share, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM l),
+lg AS (SELECT t, q, array_to_string(ws[q + 1:q + 3], ' ') AS g FROM (SELECT t, ws, unnest(range(0, len(ws) - 2)) AS q FROM lw) x),
+d AS (SELECT row_number() OVER () AS r, doc_id, ws FROM ({_bench_words("documents", "doc_id")}) x),
+dg AS (SELECT r, p, array_to_string(ws[p + 1:p + 3], ' ') AS g FROM (SELECT r, ws, unnest(range(0, len(ws) - 2)) AS p FROM d WHERE len(ws) > 2) x),
+hit AS (SELECT r, t, p - q AS diagonal, q FROM dg JOIN lg USING (g)),
+v AS (SELECT r, t, diagonal, count(*) AS votes, list(q) AS qs, min(p) AS start, max(p) + 3 AS stop FROM (SELECT *, diagonal + q AS p FROM hit) x GROUP BY r, t, diagonal),
+k AS (SELECT v.*, label, named, share, len(ws) AS size FROM v JOIN lw USING (t) WHERE votes >= greatest(1, (len(ws) - 2) // 16)),
+n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > size // 4 THEN 1 ELSE 0 END AS apart FROM k),
+m AS (SELECT *, sum(apart) OVER (PARTITION BY r, t ORDER BY diagonal) AS span FROM n),
+c AS (SELECT r, t, span, count(DISTINCT w) AS covered FROM (SELECT r, t, span, unnest([q, q + 1, q + 2]) AS w FROM (SELECT r, t, span, unnest(qs) AS q FROM m) x) y GROUP BY r, t, span),
+s AS (SELECT r, t, span, any_value(label) AS label, any_value(share) AS share, any_value(size) AS size, min(start) AS start, max(stop) AS stop,
+             count(*) FILTER (WHERE named AND votes = size - 2) AS places, min(diagonal) FILTER (WHERE named AND votes = size - 2) AS lo,
+             max(diagonal) FILTER (WHERE named AND votes = size - 2) AS hi FROM m GROUP BY r, t, span),
+j AS (SELECT s.*, covered / size AS part, stop - start <= 1.5 * size AS compact FROM s JOIN c USING (r, t, span)),
+a AS (SELECT r, sum(places) AS n_base, min(lo) AS lo, max(hi) AS hi, list_sort(list(DISTINCT label) FILTER (WHERE places > 0)) AS base,
+             list_sort(list(DISTINCT label) FILTER (WHERE places > 0 OR (compact AND part >= share))) AS labels,
+             max(part) FILTER (WHERE places > 0 OR compact) AS score, count(*) FILTER (WHERE places > 0 OR (compact AND part >= share)) AS n_spans FROM j GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+       coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans
+FROM d LEFT JOIN a USING (r)"""
+
+
+# CRC-32 from its polynomial, a table entry per byte value; near words as pairs that agree without one letter.
+SPELLING = f"""WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS i,
+  unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\u00c0-\u00ff]+')) AS w FROM documents),
+g AS (SELECT i, w, count(*) AS n FROM d GROUP BY i, w),
+tbl AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(0, 8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(0, 256) r(b)) x),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, CAST(length(hx) // 2 AS BIGINT)),
+        lambda k: CAST('0x' || substr(hx, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
+      FROM (SELECT *, hex(encode(i || ':' || w)) AS hx FROM g) x, tbl),
+f AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) + 2 AS BIGINT)) ELSE w END AS w, n FROM h),
+v AS MATERIALIZED (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM f WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+k AS MATERIALIZED (SELECT w, n, k, substr(w, 1, CAST(k - 1 AS BIGINT)) AS a, substr(w, CAST(k + 1 AS BIGINT)) AS b FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS k FROM v) x),
+p AS (SELECT x.w, x.n, y.w AS o, y.n AS m FROM k x JOIN k y ON x.k = y.k AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+      UNION SELECT k.w, k.n, v.w, v.n FROM k JOIN v ON v.w = k.a || k.b UNION SELECT v.w, v.n, k.w, k.n FROM k JOIN v ON v.w = k.a || k.b),
+s AS (SELECT w, any_value(n) AS n, count(*) AS n_near, max(m) AS m FROM p GROUP BY w),
+e AS (SELECT s.w, s.m AS form_n, min(p.o) AS form FROM s JOIN p ON p.w = s.w AND p.m = s.m WHERE s.m >= 5 * s.n GROUP BY s.w, s.m),
+z AS (SELECT w, form AS goal FROM e UNION ALL SELECT z.w, e.form FROM z JOIN e ON z.goal = e.w),
+r AS (SELECT w, goal AS root FROM z WHERE goal NOT IN (SELECT w FROM e))
+SELECT v.w AS word, e.form, coalesce(r.root, v.w) AS root, v.n, CAST(coalesce(s.n_near, 0) AS BIGINT) AS n_near, CAST(e.form_n AS BIGINT) AS form_n
+FROM v LEFT JOIN s ON v.w = s.w LEFT JOIN e ON v.w = e.w LEFT JOIN r ON v.w = r.w"""

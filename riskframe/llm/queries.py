@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (centroids, chat_format, decontaminate, langid, oracles, quality_classifier, quality_rules, secret_scan,
-                           sentencepiece_codec, simhash, token_counts, warc)
+from riskframe.llm import (centroids, chat_format, decontaminate, langid, license_scan, oracles, quality_classifier, quality_rules,
+                           secret_scan, sentencepiece_codec, simhash, spelling, token_counts, warc)
 from riskframe.sources.tables import table
 
 CHAT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -102,6 +102,18 @@ def op10_quality_classifier(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
 
 
+@query(oracles.SPELLING)
+def op11_spelling(spark, sf_dir):
+    """Near words, form and root of every frequent word of the whole documents."""
+    return spelling.spelling_variants(spelling.counted_words(table(spark, sf_dir, "documents"), thin_every=199))
+
+
+@query(oracles.LICENSES)
+def op12_license_scan(spark, sf_dir):
+    """Phrases and license labels of every whole document."""
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
 @query(oracles.CENTROIDS)
 def op13_centroids(spark, sf_dir):
     """Cluster, distance, inertia and centroid of every whole vector."""

@@ -6,8 +6,9 @@ import __spark_entry__ as entry
 def test_one_query_for_each_operator_and_the_pipeline():
     names = entry.queries()
     numbers = sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in names
-    assert {"op1_decontaminate", "op2_chat_format", "op3_secret_scan", "op8_warc"} <= set(entry.oracle_sql())
+    assert numbers == list(range(1, 14)) and "pipeline" in names
+    assert {"op1_decontaminate", "op2_chat_format", "op3_secret_scan", "op8_warc", "op11_spelling",
+            "op12_license_scan", "op13_centroids"} <= set(entry.oracle_sql())
 
 
 def test_nothing_else_imports_the_subpackage():
