@@ -68,6 +68,14 @@ def all_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the keys come from ``left``."""
+    named = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(named)
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[r]) for k, r in named.items()])
+    return left.join(right, cond, how).drop(*named.values())
+
+
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a global aggregate (exactly one row) to every row.
 

@@ -113,7 +113,8 @@ def quality_score(df: DataFrame, original_rows: int | DataFrame | None = None) -
     """0.5 completeness + 0.3 uniqueness + 0.2 retention (each in %), 2 dp.
 
     completeness = mean over columns of the non-null share; uniqueness =
-    1 - (rows - distinct rows) / rows; retention = rows / original rows.
+    1 - (rows - distinct rows) / rows; retention = rows / original rows. An
+    empty table has no scores and fails the gate.
     """
     cols = df.columns
     clean = nan_to_null(df)
@@ -125,7 +126,8 @@ def quality_score(df: DataFrame, original_rows: int | DataFrame | None = None) -
         s = s.join(original_rows.agg(F.count(F.lit(1)).alias("orig")), how="cross")
     else:
         s = s.withColumn("orig", F.col("rows") if original_rows is None else F.lit(original_rows))
-    comp = sum((F.col(f"_nn{i}") for i in range(len(cols))), F.lit(0)) / (F.col("rows") * float(len(cols))) * 100.0
+    comp = sum((F.col(f"_nn{i}") for i in range(len(cols))), F.lit(0))
+    comp = sdiv(comp, F.col("rows") * float(len(cols))) * 100.0
     uniq = (1.0 - sdiv(F.col("rows") - F.col("distinct_rows"), "rows")) * 100.0
     ret = sdiv("rows", "orig") * 100.0
     score = comp * 0.5 + uniq * 0.3 + ret * 0.2

@@ -3,7 +3,7 @@
 Signing is sequential inside a chain: sig_i = HMAC-SHA256(key, payload_i ||
 sig_{i-1}) with "" before the first event. Chains are independent, so the
 table is hash-partitioned by chain and sorted by sequence inside each
-partition; ``mapInPandas`` then folds every chain in order while streaming
+partition; ``mapInArrow`` then folds every chain in order while streaming
 the sorted rows, holding only the last signature per chain — a long chain
 is processed in one task (its order is inherently serial) but never loaded
 whole.
@@ -12,6 +12,9 @@ Verification is parallel within a chain too: the table is cut into ranges of
 (chain, sequence), each row is paired with the previous row's *reported*
 signature (carried over range borders) and its HMAC recomputed as a column
 expression (nested SHA-256 over the ipad/opad key blocks).
+
+A null payload is signed as the character U+0000, so it verifies as it was
+written and an erased one is found. A null chain is a chain of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import hmac as _hmac
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -41,17 +44,22 @@ def hmac_sha256(key: bytes, message) -> Column:
     return F.sha2(F.concat(F.lit(opad), inner), 256)
 
 
+NULL_PAYLOAD = "\0"
+
+
 def _sign_partitions(key: bytes, chain: str, seq: str, payload: str):
-    def fn(it):
+    def fn(batches):
         last_chain, last_sig = object(), ""
-        for pdf in it:
+        for b in batches:
             sigs = []
-            for c, p, start in zip(pdf[chain].tolist(), pdf[payload].tolist(), pdf["_start"].tolist()):
+            for c, p, start in zip(*(b.column(x).to_pylist() for x in (chain, payload, "_start")), strict=True):
                 if c != last_chain:
                     last_chain, last_sig = c, start
-                last_sig = _hmac.new(key, (p + last_sig).encode("utf-8"), hashlib.sha256).hexdigest()
+                message = (NULL_PAYLOAD if p is None else p) + last_sig
+                last_sig = _hmac.new(key, message.encode("utf-8"), hashlib.sha256).hexdigest()
                 sigs.append(last_sig)
-            yield pd.DataFrame({chain: pdf[chain], seq: pdf[seq], "signature": sigs})
+            yield pa.RecordBatch.from_arrays([b.column(chain), b.column(seq), pa.array(sigs, pa.string())],
+                                             names=[chain, seq, "signature"])
     return fn
 
 
@@ -68,7 +76,7 @@ def ledger_sign(df: DataFrame, key: bytes, chain: str, seq: str, payload: str, s
     n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     first = F.coalesce(F.col(start), F.lit("")) if start else F.lit("")
     parts = (df.select(chain, seq, payload, first.alias("_start")).repartition(int(n), chain).sortWithinPartitions(chain, seq))
-    return parts.mapInPandas(_sign_partitions(key, chain, seq, payload), schema)
+    return parts.mapInArrow(_sign_partitions(key, chain, seq, payload), schema)
 
 
 def ledger_verify(signed: DataFrame, key: bytes, chain: str, seq: str, payload: str,
@@ -79,9 +87,9 @@ def ledger_verify(signed: DataFrame, key: bytes, chain: str, seq: str, payload:
     its own row, a changed signature flags its row and the next.
     """
     s = previous_value(signed.where(F.col(signature).isNotNull()), [chain], seq, signature, "_prev")
-    message = F.concat(F.col(payload), F.coalesce(F.col("_prev"), F.lit("")))
+    message = F.concat(F.coalesce(payload, F.lit(NULL_PAYLOAD)), F.coalesce("_prev", F.lit("")))
     v = s.withColumn("expected", hmac_sha256(key, message))
-    return v.withColumn("valid", F.col("expected") == F.col(signature)).drop("_prev")
+    return v.withColumn("valid", F.col("expected").eqNullSafe(F.col(signature))).drop("_prev")
 
 
 def verify_summary(verified: DataFrame, chain: str) -> DataFrame:

@@ -11,6 +11,8 @@ window over the whole group would put it in one task, so:
 3. the totals of a group's earlier partitions, one row per partition, are
    added.
 
+Rows with null keys are a group like any other.
+
 Where a value holds many rows the caller aggregates to one row per
 ``(group, value)`` with a count first.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.functions.columns import join_keys
 from riskframe.session import written
 
 PART = "_range_part"
@@ -45,7 +48,7 @@ def cumulative_before(counts: DataFrame, keys: list[str], value: str, weight: st
                                            for o in weights])
     inside = Window.partitionBy(PART, *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumns({f"_i_{o}": F.coalesce(F.sum(w).over(inside), F.lit(0)) for o, w in weights.items()})
-    c = c.join(offsets, [*keys, PART]).withColumns({o: F.col(f"_o_{o}") + F.col(f"_i_{o}") for o in weights})
+    c = join_keys(c, offsets, [*keys, PART]).withColumns({o: F.col(f"_o_{o}") + F.col(f"_i_{o}") for o in weights})
     return c.drop(PART, *[f"{p}_{o}" for o in weights for p in ("_o", "_i")])
 
 
@@ -63,7 +66,7 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out:
     c = c.withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag(value).over(inside)})
     last = c.groupBy(*keys, PART).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_last"))
     border = last.select(*keys, PART, F.lag("_last").over(Window.partitionBy(*keys).orderBy(PART)).alias("_carried"))
-    return (c.join(border, [*keys, PART])
+    return (join_keys(c, border, [*keys, PART])
             .withColumn(out, F.when(F.col("_first"), F.col("_carried.v")).otherwise(F.col("_lag")))
             .drop("_first", "_lag", "_carried", PART))
 
@@ -88,7 +91,7 @@ def exact_quantiles(counts: DataFrame, keys: list[str], value: str, weight: str,
     """
     c = cumulative_before(counts, keys, value, weight, "_cb")
     tot = c.groupBy(*keys).agg(F.sum(weight).alias("_N"))
-    c = c.join(tot, keys)
+    c = join_keys(c, tot, keys)
     lo_end = F.col("_cb")
     hi_end = F.col("_cb") + F.col(weight)
     aggs = []

@@ -170,7 +170,7 @@ def kruskal_wallis(df: DataFrame, group: str, features: list[str],
     h0 = 12.0 / (n * (n + 1.0)) * F.col("srn") - 3.0 * (n + 1.0)
     h = F.try_divide(h0, 1.0 - F.try_divide(F.col("tt"), F.pow(n, 3) - n))
     out = s.select("feature", F.col("k").cast("long").alias("k"), F.col("nt").cast("long").alias("n"),
-                   F.round(h, 4).alias("h_stat"), (F.col("k") - 1).cast("long").alias("dof"), h.alias("_h"))
+                   F.round(h, 4).alias("h_stat"), F.greatest(F.col("k") - 1, F.lit(0)).cast("long").alias("dof"), h.alias("_h"))
     if with_p:
         out = out.withColumn("p_value", F.round(pvalues.chi2_p(F.col("_h"), F.col("dof")), 6))
     return out.drop("_h")
@@ -232,7 +232,8 @@ def friedman(long: DataFrame, block: str, treatment: str, value: str, with_p: bo
     ``long`` has one row per (block, treatment) with a ``value``. Ranks are
     taken within each block by a window per block (a block holds one row per
     treatment, so tasks stay small). Blocks missing a treatment are dropped.
-    Tie correction divides by 1 - sum(t^3 - t) / (b k (k^2 - 1)).
+    Tie correction divides by 1 - sum(t^3 - t) / (b k (k^2 - 1)). Without a
+    complete block there is no statistic.
     """
     v = long.where(F.col(value).isNotNull())
     k = v.agg(F.count_distinct(treatment).alias("k"))
@@ -252,7 +253,7 @@ def friedman(long: DataFrame, block: str, treatment: str, value: str, with_p: bo
     q = 12.0 / (bb * kk * (kk + 1.0)) * F.col("srj") - 3.0 * bb * (kk + 1.0)
     q = F.try_divide(q, 1.0 - F.try_divide(F.col("tt"), bb * kk * (kk * kk - 1.0)))
     out = s.select(F.col("b").cast("long").alias("blocks"), F.col("k").cast("long").alias("k"),
-                   F.round(q, 4).alias("q_stat"), (F.col("k") - 1).cast("long").alias("dof"), q.alias("_q"))
+                   F.round(q, 4).alias("q_stat"), F.greatest(F.col("k") - 1, F.lit(0)).cast("long").alias("dof"), q.alias("_q"))
     if with_p:
         out = out.withColumn("p_value", F.round(pvalues.chi2_p(F.col("_q"), F.col("dof")), 6))
     return out.drop("_q")

@@ -18,23 +18,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.columns import dbl
+from riskframe.functions.columns import dbl, join_keys
 from riskframe.operators.ranks import cumulative_before
 from riskframe.session import written
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly round(test_share x class size) rows per class,
-    chosen by the order of sha2(key || seed) (deterministic, re-runnable)."""
+    chosen by the order of sha2(key || seed) (deterministic, re-runnable). Rows
+    without a label are a class of their own; rows without a key come first."""
     h = F.conv(F.substring(F.sha2(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")), 256), 1, 15), 16, 10)
     d = df.withColumn("_h", h.cast("long"))
     counts = d.groupBy(F.col(label).alias("_cls"), F.col("_h")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = cumulative_before(counts, ["_cls"], "_h", "_n", "_rank0")
     sizes = counts.groupBy("_cls").agg(F.sum("_n").alias("_size"))
-    cut = ranked.join(sizes, "_cls").select(
+    cut = join_keys(ranked, sizes, ["_cls"]).select(
         "_cls", "_h", (F.col("_rank0") < F.round(F.col("_size") * test_share)).alias("is_test"))
-    return (d.join(cut, (d[label] == cut["_cls"]) & (d["_h"] == cut["_h"]))
-            .drop("_cls", "_h"))
+    return join_keys(d, cut.withColumnRenamed("_cls", label), [label, "_h"]).drop("_h")
 
 
 def _models(rows: int, seed: int = 42) -> list[tuple[str, object]]:

@@ -15,9 +15,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskframe.functions.columns import join_keys
 from riskframe.operators import alerts, ledger, score
 from riskframe.operators.ranks import occurrence_number
 from riskframe.session import checkpoint_path
@@ -56,7 +57,7 @@ def alert_stream(spark: SparkSession, events: DataFrame, severity: str, event_ty
     base = events.select(F.col(order), F.col(severity).alias("severity"), F.col(event_type).alias("event_type"))
 
     def step(batch: DataFrame, state: DataFrame) -> DataFrame:
-        counted = occurrence_number(batch, keys, order).join(state, keys, "left")
+        counted = join_keys(occurrence_number(batch, keys, order), state, keys, "left")
         d = counted.withColumn("occurrence", F.col("occurrence") + F.coalesce("count", F.lit(0))).drop("count")
         d = d.withColumn("threshold", alerts.threshold_of("severity"))
         d = d.withColumn("alert_triggered", F.col("occurrence") >= F.col("threshold"))
@@ -71,15 +72,20 @@ def alert_stream(spark: SparkSession, events: DataFrame, severity: str, event_ty
 
 def ledger_stream(spark: SparkSession, events: DataFrame, key: bytes, chain: str, seq: str, payload: str) -> DataFrame:
     """(chain, seq, payload, signature, late) over a stream: rows of a batch are
-    signed in sequence order from the chain's last signature; a row whose
-    sequence is not above the last signed one is late and stays unsigned."""
+    signed in sequence order from the chain's last signature. A row whose
+    sequence is null or not above the last signed one is late and stays
+    unsigned, and of a batch's rows with the same chain and sequence all but
+    the first by payload. Every row comes out once."""
     base = events.select(F.col(chain).alias("chain"), F.col(seq).cast("long").alias("seq"), F.col(payload).alias("payload"))
 
     def step(batch: DataFrame, state: DataFrame) -> DataFrame:
-        rows = batch.join(state, "chain", "left").withColumn("late", F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False)))
+        repeat = F.row_number().over(Window.partitionBy("chain", "seq").orderBy("payload")) > 1
+        old = F.col("seq").isNull() | F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False))
+        rows = join_keys(batch, state, ["chain"], "left").withColumn("late", old | repeat)
         signed = ledger.ledger_sign(rows.where("NOT late"), key, "chain", "seq", "payload", start="last_sig")
-        return rows.select("chain", "seq", "payload", "late").join(signed, ["chain", "seq"], "left").select(
-            "chain", "seq", "payload", F.when(~F.col("late"), F.col("signature")).alias("signature"), "late")
+        signed = signed.withColumn("late", F.lit(False))
+        return join_keys(rows.select("chain", "seq", "payload", "late"), signed, ["chain", "seq", "late"], "left").select(
+            "chain", "seq", "payload", "signature", "late")
 
     def next_state(state: DataFrame, out: DataFrame) -> DataFrame:
         new = out.where("NOT late").select("chain", F.col("signature").alias("last_sig"), F.col("seq").alias("last_seq"))
