@@ -1,6 +1,6 @@
 """Imports every query module so the registry is complete."""
 
-from riskframe.plans import (q_clean, q_features, q_metrics, q_more, q_ops, q_stats, q_stream, q_text,  # noqa: F401
+from riskframe.plans import (q_clean, q_explain, q_features, q_metrics, q_more, q_neighbours, q_ops, q_stats, q_stream, q_text,  # noqa: F401
                              q_train)
 from riskframe.plans.registry import ORACLES, QUERIES
 
