@@ -1,27 +1,42 @@
 """Text retrieval (R-1..R-3, R-7, J-4, K-2): sentence chunking with overlap,
-TF-IDF fitting as long tables, and many-query cosine search.
-
-TF-IDF is kept in long form ``(doc, term, weight)``: tokens by a regex
-extract, tf by ``groupBy(doc, term)``, document frequency by
-``groupBy(term)``, L2 norm by a per-document sum. A search is an equi-join
-of query terms with the postings on ``term`` followed by a grouped sum; the
-top-k per query is taken in two levels so no task holds all candidates of a
-query.
+TF-IDF fitting as long tables, and exact many-query cosine search.
+
+TF-IDF is kept in long form ``(doc, term, weight)``: a document's term counts
+are taken where it lies, document frequencies by ``groupBy(term)``, L2 norms
+by a per-document sum.
+
+A search scores no pair that cannot reach the top k (MaxScore, as joins):
+
+* documents are put into classes by the power of two of their number of
+  terms, and each term of a query has an upper bound per class: its query
+  weight times the largest document weight of that term and class;
+* a query's threshold is the k-th best score among its champions, the
+  documents with the largest weights of its terms, which are scored first;
+* within a class the terms with the smallest bounds, as long as their sum
+  stays below the threshold, are left out: a document that has none of the
+  others is never met;
+* of the documents met, those whose partial score and the left-out bounds
+  together stay below the threshold are dropped, and only the rest are scored
+  with all terms.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.session import written
 
+LEFT_OUT_SHARE = 0.5  # of the threshold; the bounds of left-out terms add up to less
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
 
@@ -132,20 +147,102 @@ def tfidf_transform(queries: DataFrame, query_id: str, text: str, vocab: DataFra
     return w.join(norm, "query_id").select("query_id", "term", (F.col("w") / F.col("_norm")).alias("qweight"))
 
 
-def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
-                    salt_col: str | None = None, salt_buckets: int = 64) -> DataFrame:
-    """Rows ranked 1..k per group by ``order``, in two levels.
+def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
+    """Rows ranked 1..k per group by ``order``.
 
-    Level 1 keeps the top k inside (group, hash(salt) % buckets); level 2
-    ranks the <= k x buckets survivors per group. A group with millions of
-    candidates is thus never sorted in a single task.
+    Spark keeps the first k rows of a group in each task before the shuffle,
+    so a group of millions of candidates is never gathered.
     """
-    if salt_col is not None:
-        salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt_buckets))
-        w1 = Window.partitionBy(*group, salt).orderBy(*order)
-        df = df.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1")
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def local_term_counts(df: DataFrame, doc_id: str, text: str, stop_words=None) -> DataFrame:
+    """(doc_id, n_terms, term, tf): the term counts of each row's text, taken in its own task. No shuffle."""
+    stop = frozenset(english_stop_words() if stop_words is None else stop_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1)
+            flat, at = values.flatten().to_pylist(), 0
+            terms, counts, sizes = [], [], []
+            for n in values.value_lengths().to_pylist():
+                found = Counter(flat[at:at + (n or 0)])
+                at += n or 0
+                for word in stop & found.keys():
+                    del found[word]
+                terms += found.keys()
+                counts += found.values()
+                sizes.append(len(found))
+            times = np.array(sizes, np.int64)
+            rows = np.repeat(np.arange(len(times)), times)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), pa.array(np.repeat(times, times)), pa.array(terms, pa.string()),
+                 pa.array(counts, pa.int64())], names=["doc_id", "n_terms", "term", "tf"])
+
+    kind = df.schema[doc_id].dataType.simpleString()
+    rows = df.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(text, F.lit(""))).alias("words"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_terms long, term string, tf long")
+
+
+class Scored(NamedTuple):
+    found: DataFrame      # query_id, rank, doc_id, score
+    scored: DataFrame     # query_id, n: how many documents were scored with all terms
+
+
+def pruned_search(corpus: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str,
+                  top_k: int = 3, min_score: float = 0.05, stop_words=None, left_out_share: float = LEFT_OUT_SHARE) -> Scored:
+    """The search of ``tfidf_search`` with unrounded scores, and how many documents each query scored."""
+    tf = written(local_term_counts(corpus, doc_id, text, stop_words)
+                 .withColumn("class", F.floor(F.log2("n_terms")).cast("int")).drop("n_terms"), "terms")
+    n = corpus.agg(F.count(F.lit(1)).alias("_n"))
+    vocab = written(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                    .join(F.broadcast(n), how="cross")  # n: one global row
+                    .select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "vocabulary")
+    w = F.col("tf") * F.col("idf")
+    norm = tf.join(vocab, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    asked = written(tfidf_transform(queries, query_id, query_text, vocab, stop_words), "query_terms")
+    wanted = asked.select("term").distinct().join(vocab, "term")
+    postings = written(tf.join(wanted, "term").join(norm, "doc_id")
+                       .select("term", "doc_id", "class", (w / F.col("norm")).alias("weight")), "postings")
+    slack = 1.0 - 1e-9  # neither rounding nor a tie at nine digits may cost a document
+
+    def kth(scores: DataFrame) -> DataFrame:
+        """(query_id, floor): each query's k-th best score so far."""
+        best = top_k_per_group(scores, ["query_id"], [F.col("score").desc()], top_k)
+        return best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= top_k, F.min("score")).alias("floor"))
+
+    def all_terms(pairs: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of the pairs, over every term they share."""
+        return (pairs.select("query_id", "doc_id").join(asked, "query_id").join(postings, ["doc_id", "term"])
+                .groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score")))
+
+    champions = top_k_per_group(postings, ["term"], [F.col("weight").desc(), F.col("doc_id")], top_k)
+    lower = (champions.join(asked, "term").groupBy("query_id", "doc_id")
+             .agg(F.sum(F.col("weight") * F.col("qweight")).alias("score")))
+    first = top_k_per_group(lower, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 4 * top_k)
+    floors = kth(all_terms(first))
+    tops = postings.groupBy("term", "class").agg(F.max("weight").alias("top"))
+    bounds = asked.join(tops, "term").join(floors, "query_id", "left").select(
+        "query_id", "term", "class", "qweight", (F.col("qweight") * F.col("top")).alias("bound"),
+        (F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(float(min_score))) * slack - 2e-9).alias("floor"))
+    rising = Window.partitionBy("query_id", "class").orderBy("bound", "term")  # a row a term of the query
+    bounds = written(bounds.withColumn("left_out", F.sum("bound").over(rising) < left_out_share * F.col("floor")), "bounds")
+    unmet = F.when(F.col("left_out"), F.col("bound")).otherwise(0.0)
+    unmet_square = F.when(F.col("left_out"), F.col("qweight") * F.col("qweight")).otherwise(0.0)
+    rest = bounds.groupBy("query_id", "class").agg(F.sum(unmet).alias("rest"), F.sqrt(F.sum(unmet_square)).alias("rest_norm"),
+                                                   F.first("floor").alias("floor"))
+    met = (bounds.where("NOT left_out").select("query_id", "term", "class", "qweight").join(postings, ["term", "class"])
+           .groupBy("query_id", "doc_id", "class").agg(F.sum(F.col("weight") * F.col("qweight")).alias("part"),
+                                                       F.sum(F.col("weight") * F.col("weight")).alias("seen")))
+    # What the left-out terms can add: their bounds, and their norm times that of the document's other weights.
+    more = F.least("rest", F.col("rest_norm") * F.sqrt(F.greatest(1 - F.col("seen"), F.lit(0.0)) + 1e-9))
+    kept = written(met.join(rest, ["query_id", "class"]).where(F.col("part") + more >= F.col("floor"))
+                   .select("query_id", "doc_id"), "candidates")
+    scores = all_terms(kept)
+    top = top_k_per_group(scores, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id").desc()], top_k)
+    return Scored(top.where(F.col("score") > min_score).select("query_id", "rank", "doc_id", "score"),
+                  kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")))
 
 
 def tfidf_search(corpus: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str,
@@ -154,29 +251,12 @@ def tfidf_search(corpus: DataFrame, doc_id: str, text: str, queries: DataFrame,
 
     Cosine = sum over shared terms of query weight x document weight. Ranks
     by score (rounded to 9 dp) desc, then higher document id (as the
-    reference's reversed argsort does); keeps score > ``min_score``.
-
-    The corpus is tokenised once: its term counts are written to the shared
-    folder and read for the vocabulary, the document norms and the postings
-    of the query terms. A term of very many documents is split by Spark's
-    skew join.
+    reference's reversed argsort does); keeps score > ``min_score``. Ids are
+    unique in both tables; a null text has no terms. A term of very many
+    documents is split by Spark's skew join.
     """
-    tf = written(term_counts(corpus, doc_id, text, stop_words), "tfidf")
-    n = corpus.select(doc_id).distinct().agg(F.count(F.lit(1)).alias("_n"))
-    vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-             .join(F.broadcast(n), how="cross")  # n: one global row
-             .select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-    w = F.col("tf") * F.col("idf")
-    norm = tf.join(vocab, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("_norm"))
-    q = tfidf_transform(queries, query_id, query_text, vocab, stop_words)
-    hits = tf.join(q.join(vocab, "term"), "term")
-    dots = hits.groupBy("query_id", "doc_id").agg(F.sum(w * F.col("qweight")).alias("dot"))
-    sims = dots.join(norm, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("_norm")).alias("score"))
-    top = top_k_per_group(sims, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id").desc()], top_k,
-                          salt_col="doc_id")
-    return (top.where(F.col("score") > min_score)
-            .select(F.col("query_id").alias(query_id), "rank", F.col("doc_id").alias(doc_id),
-                    F.round("score", 4).alias("score")))
+    got = pruned_search(corpus, doc_id, text, queries, query_id, query_text, top_k, min_score, stop_words).found
+    return got.select(F.col("query_id").alias(query_id), "rank", F.col("doc_id").alias(doc_id), F.round("score", 4).alias("score"))
 
 
 def index_stats(chunks: DataFrame, source: str = "source") -> DataFrame:
