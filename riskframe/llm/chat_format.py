@@ -1,27 +1,33 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation's turns are rendered with a template that marks each turn; the
-template's own strings inside a role or text are escaped reversibly. The
-whole rendering is encoded once, with the character offsets of every token.
-Turn spans and token spans are both sorted, so the tokens under the loss (the
-assistant texts) are found by binary search. The output is read back: turns
-by parsing the template, trained text by cutting the rendering at the masked
-tokens' offsets.
+A conversation's turns are rendered with a template whose marks stand around
+every role and text; the marks and other control strings inside a role or
+text are escaped reversibly. The marks are tokens of their own, added to the
+tokenizer's vocabulary behind its last id, so every border of a text is a
+token border and no token holds characters of both. The whole rendering is
+encoded once, with the byte offsets of every token. Turn spans and token
+spans are both sorted, so the tokens under the loss (the assistant texts) are
+found by binary search.
+
+The output is read back: turns by parsing the rendering, the trained text by
+decoding the masked ids alone. A mask with one token too many or too few gives
+another trained text.
 
 Turns of a conversation are brought together by a shuffle on its id and
 sorted by turn inside the task; rows stream by and one conversation is held
-at a time. Ties in the turn number are ordered by role, then text. A null
-text or role is empty, a null turn comes first, and all rows with a null
-conversation id are one conversation. Repeated rows are turns of their own,
-empty conversations do not exist, and extra columns are not rendered.
+at a time, very long texts whole. Ties in the turn number are ordered by role,
+then text. A null text or role is empty, a null turn comes first, and all
+rows with a null conversation id are one conversation. Repeated rows are
+turns of their own, empty conversations do not exist, an empty table gives an
+empty result, and extra columns are not rendered.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,14 +38,21 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import col
 
 # The template's marks and other control strings that no text may bring in.
-TURN_START, TURN_BREAK, TURN_END = "<|im_start|>", "\n", "<|im_end|>\n"
-CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+TURN_START, TURN_BREAK, TURN_END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+MARKS = (TURN_START, TURN_BREAK, TURN_END)
+CONTROL = (*MARKS, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TRAINED_ROLE = "assistant"
 
+# Fixed value: how the byte-level vocabulary's texts are cut before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# White space of this length is cut off by hand, as the pattern's look-ahead keeps a state for each blank.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
 # A control string with any number of backslashes after its first character; escaping adds one, unescaping takes one.
 _ESCAPABLE = re.compile("|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROL))
 _ESCAPED = re.compile("|".join(f"{re.escape(c[0])}\\\\+{re.escape(c[1:])}" for c in CONTROL))
-_TURN = re.compile(re.escape(TURN_START) + r"(.*?)" + TURN_BREAK + r"(.*?)" + re.escape(TURN_END), re.DOTALL)
+_BARE = re.compile("|".join(map(re.escape, CONTROL)))
+_TURN = re.compile(re.escape(TURN_START) + r"(.*?)" + re.escape(TURN_BREAK) + r"(.*?)" + re.escape(TURN_END), re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -50,18 +63,9 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[0][0] + m[0][2:], text)
 
 
-def escape_role(role: str) -> str:
-    """A role on one line: also backslash and line feed are escaped."""
-    return escape(role.replace("%", "%25").replace("\n", "%0A"))
-
-
-def unescape_role(role: str) -> str:
-    return unescape(role).replace("%0A", "\n").replace("%25", "%")
-
-
 class Rendering(NamedTuple):
     text: str
-    starts: list[int]  # of the trained spans, in order
+    starts: list[int]  # of the trained spans, in order, as UTF-8 bytes
     ends: list[int]
 
 
@@ -69,46 +73,72 @@ def render(turns: list[tuple[str, str]]) -> Rendering:
     """The text of a conversation and the spans of its trained turns."""
     parts, at, starts, ends = [], 0, [], []
     for role, text in turns:
-        head, body = TURN_START + escape_role(role) + TURN_BREAK, escape(text)
+        head, body = TURN_START + escape(role) + TURN_BREAK, escape(text)
+        begin = at + len(head.encode())
+        end = begin + len(body.encode())
         if role == TRAINED_ROLE:
-            starts.append(at + len(head))
-            ends.append(at + len(head) + len(body))
+            starts.append(begin)
+            ends.append(end)
         parts += [head, body, TURN_END]
-        at += len(head) + len(body) + len(TURN_END)
+        at = end + len(TURN_END)
     return Rendering("".join(parts), starts, ends)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
     """The turns of a rendered conversation."""
-    return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
+    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
+
+
+class MarkedTokenizer:
+    """A byte-level vocabulary (a line of base64 bytes and rank each) with the template's marks as tokens."""
+
+    def __init__(self, ranks: bytes):
+        import tiktoken
+
+        ranked = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
+        after = max(ranked.values()) + 1
+        marks = {mark: after + n for n, mark in enumerate(MARKS)}
+        self.encoding = tiktoken.Encoding("chat", pat_str=PIECES, mergeable_ranks=ranked, special_tokens=marks)
+        self.blanks = tiktoken.Encoding("blanks", pat_str=r"\s+", mergeable_ranks=ranked, special_tokens={})
+        self.turn_start = marks[TURN_START]
+        self.size = np.zeros(after + len(MARKS), np.int64)
+        for token, rank in [*ranked.items(), *marks.items()]:
+            self.size[rank] = len(token)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first byte, end byte) of every token."""
+        ids, at = [], 0
+        for m in LONG_SPACE.finditer(text):
+            end = m.end()
+            if end < len(text) and not text.startswith(MARKS, end):
+                end -= 1  # the last blank goes with the word behind it
+            ids.append(self.encoding.encode_to_numpy(text[at:m.start()], allowed_special="all"))
+            ids.append(self.blanks.encode_to_numpy(text[m.start():end]))
+            at = end
+        ids = np.concatenate([*ids, self.encoding.encode_to_numpy(text[at:], allowed_special="all")]).astype(np.int32)
+        ends = np.cumsum(self.size[ids])
+        return ids, ends - self.size[ids], ends
+
+    def masked_texts(self, ids: np.ndarray, mask: np.ndarray) -> list[str]:
+        """The text of each turn's masked tokens. What no mask of whole texts can hold, bytes that are
+        no UTF-8 and control strings without their escape, becomes replacement characters."""
+        at = np.flatnonzero(mask)
+        turn = np.cumsum(ids == self.turn_start)[at]
+        cuts = np.flatnonzero(np.diff(turn)) + 1
+        texts = [self.encoding.decode_bytes(x.tolist()).decode("utf-8", "replace") for x in np.split(ids[at], cuts) if len(x)]
+        return [unescape(_BARE.sub("\ufffd", x)) for x in texts]
 
 
 def token_mask(token_start: np.ndarray, token_end: np.ndarray, starts: list[int], ends: list[int]) -> np.ndarray:
-    """Which tokens share a character with a trained span; both lists are sorted."""
-    first = np.searchsorted(token_end, np.array(starts, np.int64), side="right")
-    last = np.searchsorted(token_start, np.array(ends, np.int64), side="left")
-    some = np.array(ends, np.int64) > np.array(starts, np.int64)  # an empty text trains no token
+    """Which tokens lie in a trained span; both lists are sorted, and span borders are token borders."""
+    first = np.searchsorted(token_start, np.array(starts, np.int64), side="left")
+    last = np.searchsorted(token_end, np.array(ends, np.int64), side="right")
     step = np.zeros(len(token_start) + 1, np.int64)
-    np.add.at(step, first[some], 1)
-    np.add.at(step, np.maximum(first, last)[some], -1)
+    np.add.at(step, first, 1)
+    np.add.at(step, np.maximum(first, last), -1)  # an empty text trains no token
     return np.cumsum(step[:-1]) > 0
 
 
-def trained_texts(r: Rendering, token_start: np.ndarray, token_end: np.ndarray, mask: np.ndarray) -> list[str]:
-    """The trained texts, cut out of the rendering by the masked tokens and their turn's span."""
-    at = np.flatnonzero(mask)
-    begin, end = token_start[at], token_end[at]
-    out = []
-    for a, b in zip(r.starts, r.ends, strict=True):
-        i, j = np.searchsorted(end, a, side="right"), np.searchsorted(begin, b, side="left")
-        if j > i and b > a:
-            # Tokens of one character's bytes share its place; together they cover the span without a gap.
-            out.append(unescape(r.text[max(a, int(begin[i])):min(b, int(end[j - 1]))]))
-        else:
-            out.append("")
-    return out
-
-
 RESULT = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
           "n_tokens long, n_loss_tokens long, text string, ids array<int>, loss_mask array<boolean>")
 
@@ -117,29 +147,24 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str =
                          role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: the rendering, its token ids and loss mask, and
     what reading them back gives (turns, trained text)."""
-    with open(tokenizer_path, encoding="utf-8") as f:
+    with open(tokenizer_path, "rb") as f:
         shared = turns.sparkSession.sparkContext.broadcast(f.read())  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        tokenizer = MarkedTokenizer(shared.value)
         names = [x.split()[0] for x in RESULT.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
         def formatted(conv_id: int | None, rows: list[tuple[str, str]]) -> tuple:
             r = render(rows)
-            code = tokenizer.encode(r.text, add_special_tokens=False)
-            offsets = code.offsets
-            spans = np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
-            mask = token_mask(spans[:, 0], spans[:, 1], r.starts, r.ends)
+            ids, first, end = tokenizer.encode(r.text)
+            mask = token_mask(first, end, r.starts, r.ends)
             turns = parse(r.text)
             back = "".join(f"{role}\n{text}\n" for role, text in turns)
-            loss = "".join(trained_texts(r, spans[:, 0], spans[:, 1], mask))
+            loss = "".join(tokenizer.masked_texts(ids, mask))
             return (conv_id, len(turns), hashlib.sha256(back.encode()).hexdigest(), len(loss),
                     hashlib.sha256(loss.encode()).hexdigest(), len(r.text), len(mask), int(mask.sum()), r.text,
-                    np.array(code.ids, np.int32), mask)
+                    ids, mask)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             *plain, ids, masks = zip(*rows, strict=True)

@@ -31,18 +31,17 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0)
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN found ON d.doc_id = found.doc_id LEFT JOIN longest ON d.doc_id = longest.doc_id"""
 
 
-_CONTROL = (r"<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]"
+_CONTROL = (r"<\\*\|im_start\|>|<\\*\|im_sep\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]"
             r"|<\\*<SYS>>|<\\*</SYS>>")
 
 CHAT_FORMAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-m AS (SELECT *, replace(replace(r, '%', '%25'), chr(10), '%0A') AS head FROM c)
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
   CAST(sum(CASE WHEN r = 'assistant' THEN length(x) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(12 + length(head) + len(regexp_extract_all(head, '{_CONTROL}')) + 1
-           + length(x) + len(regexp_extract_all(x, '{_CONTROL}')) + 11) AS BIGINT) AS formatted_chars
-FROM m GROUP BY conv_id"""
+  CAST(sum(12 + length(r) + len(regexp_extract_all(r, '{_CONTROL}')) + 10
+           + length(x) + len(regexp_extract_all(x, '{_CONTROL}')) + 10) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
 
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""

@@ -12,7 +12,7 @@ from riskframe.llm import (centroids, chat_format, decontaminate, langid, licens
                            secret_scan, sentencepiece_codec, simhash, spelling, token_counts, warc)
 from riskframe.sources.tables import table
 
-CHAT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+CHAT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 from riskframe.llm import chat_format as chat
 from riskframe.llm import queries, warc
-from tokenizers import Tokenizer
 
 SMOKE = "/root/testdata/sf0.001"
 b32 = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
@@ -71,20 +70,50 @@ def test_escaping_is_reversible():
         e = chat.escape(s)
         assert chat.unescape(e) == s
         assert not any(c in e for c in chat.CONTROL)
-        assert chat.unescape_role(chat.escape_role(s + "\n%0A")) == s + "\n%0A"
 
 
-def test_mask_covers_exactly_the_trained_text():
-    tokenizer = Tokenizer.from_file(queries.CHAT_TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    turns = [("user", "q"), ("assistant", ""), ("assistant", "🦙é a"), ("system", "x"), ("assistant", "</s>tail\n")]
+@pytest.fixture(scope="module")
+def tokenizer():
+    with open(queries.CHAT_TOKENIZER, "rb") as f:
+        return chat.MarkedTokenizer(f.read())
+
+
+TURNS = [("user", "q"), ("assistant", ""), ("assistant", "\n\n🦙é a<"), ("system\n", "x"), ("assistant", "</s>tail\n"),
+         ("assistant", "<"), ("user", "\n"), ("assistant", " ok."), ("", "<|im_sep|>"), ("assistant", "<|im_end|>\n日本")]
+
+
+def masked(tokenizer, turns):
     r = chat.render(turns)
-    spans = np.array(tokenizer.encode(r.text, add_special_tokens=False).offsets)
-    mask = chat.token_mask(spans[:, 0], spans[:, 1], r.starts, r.ends)
-    brute = [any(a < e and s < b and b > a for a, b in zip(r.starts, r.ends, strict=True)) for s, e in spans.tolist()]
-    assert mask.tolist() == brute
-    assert chat.trained_texts(r, spans[:, 0], spans[:, 1], mask) == ["", "🦙é a", "</s>tail\n"]
-    assert chat.parse(r.text) == turns
+    ids, first, end = tokenizer.encode(r.text)
+    return r, ids, first, end, chat.token_mask(first, end, r.starts, r.ends)
+
+
+def test_mask_covers_exactly_the_trained_text(tokenizer):
+    r, ids, first, end, mask = masked(tokenizer, TURNS)
+    data = r.text.encode()
+    assert tokenizer.encoding.decode_bytes(ids.tolist()) == data and end[-1] == len(data)
+    under = {i for a, b in zip(first[mask].tolist(), end[mask].tolist(), strict=True) for i in range(a, b)}
+    assert under == {i for a, b in zip(r.starts, r.ends, strict=True) for i in range(a, b)}
+    assert tokenizer.masked_texts(ids, mask) == [x for role, x in TURNS if role == "assistant" and x]
+    assert chat.parse(r.text) == TURNS
+
+
+def test_any_changed_mask_bit_changes_the_trained_text(tokenizer):
+    _, ids, _, _, mask = masked(tokenizer, TURNS)
+    right = "".join(tokenizer.masked_texts(ids, mask))
+    for n in range(len(mask)):
+        wrong = mask.copy()
+        wrong[n] = not wrong[n]
+        assert "".join(tokenizer.masked_texts(ids, wrong)) != right, n
+
+
+def test_long_white_space_is_cut_as_the_pattern_would(tokenizer):
+    for text in ["a" + " " * 20_000 + "b", "\n" * 12_000, " " * 30_000 + "<|im_end|>" + " " * 11_000, "x\u3000" * 3 + "\t" * 10_000 + " y"]:
+        ids, first, end = tokenizer.encode(text)
+        assert ids.tolist() == tokenizer.encoding.encode(text, allowed_special="all")
+        assert end.tolist() == np.cumsum([len(tokenizer.encoding.decode_single_token_bytes(i)) for i in ids.tolist()]).tolist()
+    ids, _, end = tokenizer.encode(" " * 3_000_000 + "x")
+    assert end[-1] == 3_000_001
 
 
 def expected(rows):
