@@ -2,12 +2,15 @@
 
 A run's hash is a polynomial over the values of its bytes, taken from one
 running sum over the block, so its cost does not grow with the number of
-distinct words. Equal runs have equal hashes; different runs of a text share
-one with a chance of about 2**-56 a pair.
+distinct words. Equal runs have equal hashes. Different runs can share one, by
+a chance of about 2**-56 a pair or by design, so where equality itself is
+counted, ``equal_entries`` compares the bytes of those with equal hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Hashable, Iterable
+
 import numpy as np
 
 # The multiplier, its inverse modulo 2**64, and the finishing constants.
@@ -71,3 +74,9 @@ def repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     some[order[:-1][equal]] = True
     later[order[1:][equal]] = True
     return some, later
+
+
+def equal_entries(entries: Iterable[Hashable]) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``repeats``, by the entries' own values."""
+    numbers: dict[Hashable, int] = {}
+    return repeats(np.array([numbers.setdefault(e, len(numbers)) for e in entries], np.int64))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.byte_runs import POLY, RunHasher, byte_values, joined, mix, repeats, runs
+from riskframe.llm.byte_runs import POLY, RunHasher, byte_values, equal_entries, joined, mix, repeats, runs
 from riskframe.llm.common import blocks, col, free_name, utf8
 
 # Fixed values of the base rules.
@@ -38,8 +38,6 @@ WINDOW_WORDS = 3
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 THRESHOLD = -0.5
-# The most trusted documents that the target model is fitted on (those of least id hash).
-MAX_TARGET_DOCS = 20_000
 
 RULES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
          "base_failed boolean, llr double, kept boolean")
@@ -100,9 +98,13 @@ class TextStats:
         for j in range(k):
             window = mix(window + np.uint64(POLY)) + hashed[whole + j]
         twice, _ = repeats(window)
+        # Equal hashes are only candidates: their bytes are compared.
+        raw, at = data.tobytes(), whole[twice]
+        held = [[raw[a:b] for a, b in zip(start[at + j].tolist(), end[at + j].tolist(), strict=True)] for j in range(k)]
+        same, _ = equal_entries(zip(owner[at].tolist(), *held, strict=True))
         covered = np.zeros(len(owner), bool)
         for j in range(k):
-            covered[whole[twice] + j] = True
+            covered[at[same] + j] = True
         # Lines with a word, and those equal to an earlier one of the text.
         line_end = np.flatnonzero(data == 0x0A)
         line_start = np.concatenate([[0], line_end[:-1] + 1])
@@ -111,7 +113,11 @@ class TextStats:
         line_start, line_end = line_start[filled], line_end[filled]
         line_owner = np.searchsorted(begin, line_start, side="right") - 1
         line = mix(line_owner.astype(np.uint64) + np.uint64(POLY)) + self.hasher.hashes(sums, line_start, line_end)
-        _, again = repeats(line)
+        some, _ = repeats(line)
+        at = np.flatnonzero(some)
+        _, later = equal_entries((o, raw[a:b]) for o, a, b in zip(line_owner[at].tolist(), line_start[at].tolist(),
+                                                                   line_end[at].tolist(), strict=True))
+        again = at[later]
         return np.stack([
             np.bincount(owner, minlength=number), np.add.reduceat(self.word_char[data], begin),
             np.add.reduceat(self.symbol[data], begin), np.bincount(line_owner[again], minlength=number),
@@ -151,13 +157,12 @@ def fit_ratio(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOO
     return np.log(smooth[0]) - np.log(smooth[1])
 
 
-def mark_target(docs: DataFrame, labels: DataFrame, id_col: str, out_col: str,
-                max_docs: int = MAX_TARGET_DOCS) -> DataFrame:
-    """``docs`` with a boolean: its id is among the ``max_docs`` ids of labels with quality 1 of least hash."""
+def mark_target(docs: DataFrame, labels: DataFrame, id_col: str, out_col: str) -> DataFrame:
+    """``docs`` with a boolean: its id has a label of quality 1. A plain equi-join, so the trusted set may have any size."""
     key = free_name(docs, "_trusted_id")
     trusted = (labels.where(F.col("quality") == 1).select(F.col("doc_id").alias(key)).dropna().distinct()
-               .orderBy(F.xxhash64(key), key).limit(max_docs).withColumn(out_col, F.lit(True)))
-    marked = docs.join(F.broadcast(trusted), col(id_col) == F.col(key), "left").drop(key)  # at most max_docs ids
+               .withColumn(out_col, F.lit(True)))
+    marked = docs.join(trusted, col(id_col) == F.col(key), "left").drop(key)
     return marked.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False)))
 
 
@@ -191,7 +196,8 @@ def with_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
                        out_col: str = "rules", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Both models over ``docs`` (target: labels of quality 1), then every document's counts and verdict."""
     flag = free_name(docs, "_trusted")
-    counts = ngram_counts(mark_target(docs, labels, id_col, flag), text_col, flag, buckets)
+    texts = docs.select(col(id_col), col(text_col)) if id_col != text_col else docs.select(col(id_col))
+    counts = ngram_counts(mark_target(texts, labels, id_col, flag), text_col, flag, buckets)
     return apply_rules(docs, fit_ratio(counts, buckets), text_col, out_col, threshold)
 
 
