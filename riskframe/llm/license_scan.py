@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import col
+from riskframe.llm.common import col, materialize
 from riskframe.llm.license_texts import TEMPLATES, Template
 
 GRAM_WORDS = 3
@@ -140,6 +140,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.max("last_place").cast("long").alias("last_word"), joined(F.when(named, F.col("label"))).alias("base_labels"),
         joined(F.when(verified, F.col("label"))).alias("labels"),
         F.max(F.when(compact | named, part)).alias("score"), F.count_if(verified).alias("n_spans"))
+    by_text = materialize(by_text, "licenses")  # apart from its shuffle, so that Spark can split the join's hot keys
     rows = docs.select(col(id_col).alias("doc_id"), key.alias("key"), F.size(text_words(text)).cast("long").alias("n_words"))
     zero, none = F.lit(0).cast("long"), F.lit("")
     return rows.join(by_text, "key", "left").select(
