@@ -96,3 +96,31 @@ def test_classifier_on_odd_rows(spark):
         got = qc.quality_scores(docs, known, held).collect()
         assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     assert qc.quality_scores(docs.limit(0), labels, held).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s, s.translate(str.maketrans(a + b, b + a))
+
+
+def test_lines_and_words_whose_hashes_collide():
+    one, other = thue_morse(2048)
+    texts = [f"{one}\n{other}", f"{one}\n{other}\n{one}", f"x {one} y x {other} y", f"x {one} y x {other} y x {one} y"]
+    stats = qr.TextStats(8)
+    hasher = qr.RunHasher()
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    sums = hasher.sums(stats.value[data])
+    assert len(set(hasher.hashes(sums, np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 1  # such lines do collide
+    got = stats.counts([t.encode() for t in texts])
+    assert [tuple(c) for c in got.T.tolist()] == [base_rules(t)[:5] for t in texts]
+
+
+def test_every_trusted_document_is_counted(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality")).unionByName(docs.select("doc_id", F.lit(1).alias("quality")).limit(5))
+    marked = qr.mark_target(docs, labels, "doc_id", "trusted")
+    trusted = {r["doc_id"] for r in labels.where("quality = 1").select("doc_id").distinct().collect()}
+    assert {r["doc_id"] for r in marked.where("trusted").collect()} == trusted and marked.count() == 3000
+    assert sum(r["target"] for r in qr.ngram_counts(marked, "text", "trusted").collect()) == 3 * len(trusted)
