@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import dbl
+from riskframe.operators import explain
 from riskframe.operators.explain import Tree
 from riskframe.session import written
 
@@ -321,14 +322,8 @@ def extra_trees(train: DataFrame, label: str, features: list[str], trees: int =
 
 def scored(df: DataFrame, key: str, model: Ensemble, keep: list[str] | None = None) -> DataFrame:
     """(key, kept columns, prob, pred): the ensemble's probability of label 1 and whether it is above a half. No shuffle."""
-    keep = [key, *(keep or [])]
-    rows = df.select(*keep, *[dbl(c).alias(f"_x{n}") for n, c in enumerate(model.features)])
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = model.link(model.margin(values_of(b, [f"_x{n}" for n in range(len(model.features))])))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(p), pa.array((p > 0.5).astype(np.int32))],
-                                             names=[*keep, "prob", "pred"])
+    def predict(x: np.ndarray) -> np.ndarray:
+        return model.link(model.margin(np.where(np.isnan(x), -np.inf, x)))
 
-    return rows.mapInArrow(run, f"{kinds}, prob double, pred int")
+    return explain.scored(df, key, model.features, predict, keep)

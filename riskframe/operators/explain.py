@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import dbl
@@ -36,6 +36,31 @@ def linear_model(weights: list[float], bias: float = 0.0) -> Model:
     return lambda x: x @ w + bias
 
 
+def finite(features: list[str]) -> Column:
+    """Whether every feature is a finite number."""
+    inf = float("inf")
+    cond = F.lit(True)
+    for c in features:
+        cond = cond & F.coalesce((dbl(c) < inf) & (dbl(c) > -inf), F.lit(False))
+    return cond
+
+
+def scored(df: DataFrame, key: str, features: list[str], model: Model, keep: list[str] | None = None) -> DataFrame:
+    """(key, kept columns, prob, pred): the model's score of every row and whether it is above a half. No shuffle."""
+    keep = [key, *(keep or [])]
+    rows = df.select(*keep, *[dbl(c).alias(f"_x{n}") for n, c in enumerate(features)])
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(f"_x{n}").to_numpy(zero_copy_only=False).astype(np.float64) for n in range(len(features))], axis=1)
+            p = model(x)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(p, from_pandas=True),
+                                              pa.array((p > 0.5).astype(np.int32), mask=np.isnan(p))], names=[*keep, "prob", "pred"])
+
+    return rows.mapInArrow(run, f"{kinds}, prob double, pred int")
+
+
 # ---------------------------------------------------------------- sampled Shapley values
 
 def feature_orders(features: list[str], pairs: int, seed: int) -> list[list[int]]:
@@ -82,18 +107,10 @@ def coalition_values(model: Model, x: np.ndarray, background: np.ndarray, masks:
 def background_rows(df: DataFrame, key: str, features: list[str], rows: int, seed: int) -> np.ndarray:
     """The ``rows`` rows first by a hash of their key (then by the features): a bounded, repeatable background."""
     order = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"), 256)
-    got = df.select(order.alias("h"), *[dbl(c).alias(c) for c in features]).where(_finite(features)).orderBy("h", *features).limit(rows)
+    got = df.select(order.alias("h"), *[dbl(c).alias(c) for c in features]).where(finite(features)).orderBy("h", *features).limit(rows)
     return np.array([list(r)[1:] for r in got.collect()], np.float64).reshape(-1, len(features))
 
 
-def _finite(features: list[str]):
-    inf = float("inf")
-    cond = F.lit(True)
-    for c in features:
-        cond = cond & F.coalesce((dbl(c) < inf) & (dbl(c) > -inf), F.lit(False))
-    return cond
-
-
 def _contributions(df: DataFrame, key: str, features: list[str], extra: list[str],
                    explain: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
     """(key, feature, phi, extra...): ``explain`` gives, for a block of rows, a matrix of
@@ -175,7 +192,7 @@ def local_surrogate(df: DataFrame, key: str, features: list[str], model: Model,
     of the scores' variance that the regression explains (1 where there is none).
     A feature that does not vary has the coefficient 0.
     """
-    spread = df.where(_finite(features)).agg(*[F.stddev_pop(dbl(c)).alias(c) for c in features]).first()
+    spread = df.where(finite(features)).agg(*[F.stddev_pop(dbl(c)).alias(c) for c in features]).first()
     scale = np.array([spread[c] or 0.0 for c in features])
     noise = unit_normals(samples, len(features), seed) * (scale > 0)
     weights, solver = surrogate_solver(noise, ridge, width or 0.75 * math.sqrt(len(features)))

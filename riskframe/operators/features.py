@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.columns import attach_scalars, dbl, numeric_columns, unpivot_numeric
+from riskframe.functions.columns import attach_scalars, dbl, numeric_columns, unpivot_numeric, unpivot_string
 from riskframe.operators.profile import value_counts
-from riskframe.operators.ranks import exact_quantiles
+from riskframe.operators.ranks import exact_quantiles, occurrence_number
+from riskframe.session import written
 
 
 def feature_diff(df: DataFrame, a: str = "ap_hi", b: str = "ap_lo", name: str = "pulse_pressure") -> DataFrame:
@@ -122,6 +123,12 @@ def target_correlation(df: DataFrame, target: str, features: list[str] | None =
     return r.select("feature", F.round("_r", 4).alias("corr"), F.round(F.abs("_r"), 4).alias("abs_corr"))
 
 
+def correlation_ranking(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
+    """``target_correlation`` with ``rank``: 1 for the smallest |r| (ties by name); features without a correlation come last."""
+    ascending = Window.orderBy(F.col("abs_corr").asc_nulls_last(), "feature")  # one row per feature
+    return target_correlation(df, target, features).withColumn("rank", F.row_number().over(ascending))
+
+
 def leakage_audit(df: DataFrame, target: str, features: list[str] | None = None,
                   threshold: float = 0.90) -> DataFrame:
     """Features whose |r| with the target exceeds ``threshold`` (the run aborts on any)."""
@@ -194,7 +201,7 @@ def one_hot_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     rows = value_counts(df, columns).where(F.col("sval").isNotNull()).select("column", "sval").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} levels: use a sparse encoding")
+        raise ValueError(f"more than {most} levels: use one_hot_sparse")
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         levels[r["column"]].append(r["sval"])
@@ -205,7 +212,7 @@ def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list[str]] | No
             drop_first: bool = True) -> DataFrame:
     """``col_value`` indicator columns (INT), sorted levels, first level dropped; NULL -> all 0.
 
-    For very wide domains prefer ``StringIndexer`` + ``OneHotEncoder`` (sparse vectors).
+    A column a level; ``one_hot_sparse`` takes any number of levels.
     """
     levels = levels or one_hot_levels(df, columns)
     out = [F.col(c) for c in df.columns if c not in columns]
@@ -214,3 +221,27 @@ def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list[str]] | No
         out += [F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
                 for v in lv]
     return df.select(*out)
+
+
+def one_hot_sparse(df: DataFrame, key: str, columns: list[str], drop_first: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, levels) of a one-hot encoding of any width: ``rows`` are (key, indices), the
+    ascending places of a row's ones; ``levels`` (column, value, index) names the places.
+
+    Places run over the columns in the given order, their non-null values sorted,
+    each column's first left out (with ``drop_first``). Levels are a table of
+    their own, numbered in ranges and joined by value, so neither the driver nor a
+    plan grows with them; a value that a third of all rows hold is split by
+    Spark's skew join. A null has no one, and rows without any have an empty array.
+    """
+    place = {c: n for n, c in enumerate(columns)}
+    long = unpivot_string(df, [key], columns, "column", "value").where(F.col("value").isNotNull())
+    found = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = F.create_map(*[F.lit(x) for c, n in place.items() for x in (c, n)])
+    if drop_first:
+        lowest = found.groupBy("column").agg(F.min("value").alias("first"))  # a row a column
+        found = found.join(F.broadcast(lowest), "column").where(F.col("value") != F.col("first"))
+    ranked = found.select(F.lit(1).alias("one"), F.struct(F.element_at(order, F.col("column")).alias("c"), "value").alias("level"), "column", "value")
+    levels = written(occurrence_number(ranked, ["one"], "level", "n").select("column", "value", (F.col("n") - 1).alias("index")), "levels")
+    ones = long.join(levels, ["column", "value"]).groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    rows = df.select(key).join(ones, key, "left")
+    return rows.select(key, F.coalesce("indices", F.array().cast("array<bigint>")).alias("indices")), levels

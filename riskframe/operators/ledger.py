@@ -99,6 +99,18 @@ def verify_summary(verified: DataFrame, chain: str) -> DataFrame:
             .withColumn("status", F.when(F.col("tampered") == 0, "VERIFIED").otherwise("TAMPERED")))
 
 
+def handoff_messages(completed: DataFrame, stages: DataFrame, stage: str = "stage", artifact: str = "artifact") -> DataFrame:
+    """``completed`` stage events with (sender, receiver, message_type, checksum): what each stage
+    hands to the next. ``stages`` is (stage, name), numbered from 1, a row a stage; the last
+    one has no receiver and sends nothing. The checksum is that of the artifact's path.
+    """
+    names = stages.select(F.col("stage").alias("_n"), F.col("name").alias("sender"))
+    after = stages.select((F.col("stage") - 1).alias("_n"), F.col("name").alias("receiver"))
+    pairs = F.broadcast(names.join(after, "_n"))  # a row a stage
+    return (completed.join(pairs, F.col(stage) == F.col("_n")).drop("_n")
+            .withColumn("message_type", F.lit("handoff")).withColumn("checksum", event_checksum(F.coalesce(artifact, F.lit("")))))
+
+
 def event_checksum(artifact) -> Column:
     """SHA-256 of the artifact *path string* (as the stage log records it)."""
     a = F.col(artifact) if isinstance(artifact, str) else artifact

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskframe.operators import ledger
 from riskframe.plans import fixtures_sql as fx
 from riskframe.plans.q_ops import ORACLE_ALERTS, ORACLE_SIGN, TEST_KEY
 from riskframe.plans.registry import register
+from riskframe.session import written
 from riskframe.sources.tables import table
 from riskframe.streaming import jobs
 
@@ -34,6 +36,23 @@ def q_ledger_stream(spark, sf_dir):
     return jobs.ledger_stream(spark, ev, TEST_KEY, "user_id", "event_id", "payload").drop("payload")
 
 
+ORACLE_VERIFY_ROWS = f"""WITH s AS ({ORACLE_SIGN}),
+e AS (SELECT event_id, user_id, event_type || ':' || props AS payload FROM events)
+SELECT s.user_id AS chain, s.event_id AS seq, CASE WHEN s.event_id % 101 = 0 AND payload IS NOT NULL THEN 'TAMPERED' ELSE 'VERIFIED' END AS status
+FROM s JOIN e ON e.event_id = s.event_id"""
+
+
+@register("ledger_verify_stream", ORACLE_VERIFY_ROWS)
+def q_verify_stream(spark, sf_dir):
+    """Every signed event, the payload of some edited, verified while it streams in."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", F.concat("event_type", F.lit(":"), "props").alias("payload"))
+    signed = ledger.ledger_sign(ev, TEST_KEY, "user_id", "event_id", "payload")
+    edited = F.when(F.col("event_id") % 101 == 0, F.concat("payload", F.lit(" (edited)"))).otherwise(F.col("payload"))
+    rows = written(ev.join(signed, ["user_id", "event_id"]).withColumn("payload", edited), "signed_events")
+    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    return jobs.verify_stream(spark, stream, TEST_KEY, "user_id", "event_id", "payload")
+
+
 def _scored(spark, sf_dir, name):
     cust = jobs.file_stream(spark, sf_dir, table(spark, sf_dir, "customer").schema, glob="customer.parquet")
     cust.createOrReplaceTempView("customer_stream")

@@ -42,6 +42,33 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported file type: {path}")
 
 
+def write_any(df: DataFrame, path: str, rows_per_array: int = 10_000) -> None:
+    """Format-dispatched write by extension, as ``read_any`` reads: csv with header,
+    parquet, or json documents that each hold an array of rows."""
+    if path.endswith(".parquet"):
+        df.write.mode("overwrite").parquet(path)
+    elif path.endswith(".csv"):
+        df.write.mode("overwrite").option("header", True).csv(path)
+    elif path.endswith(".json"):
+        def arrays(batches):
+            import pyarrow as pa
+            held, size = [], 0
+            for b in batches:
+                for line in b.column(0).to_pylist():
+                    held.append(line)
+                    size += 1
+                    if size >= rows_per_array:
+                        yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], names=["value"])
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], names=["value"])
+
+        documents = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(arrays, "value string")
+        documents.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)  # a file is one document
+    else:
+        raise ValueError(f"unsupported file type: {path}")
+
+
 def pick_primary(files: DataFrame, override: str | None = None) -> DataFrame:
     """The file named ``override`` (case-insensitive) else the one with most rows; ties -> first.
 

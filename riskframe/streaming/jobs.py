@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import join_keys
 from riskframe.operators import alerts, ledger, score
-from riskframe.operators.ranks import occurrence_number
-from riskframe.session import checkpoint_path
+from riskframe.operators.ranks import occurrence_number, previous_value
+from riskframe.session import checkpoint_path, written
 
 
 def run_stateful(spark: SparkSession, stream: DataFrame, name: str, state_schema: str,
@@ -95,6 +95,38 @@ def ledger_stream(spark: SparkSession, events: DataFrame, key: bytes, chain: str
     return run_stateful(spark, base, "ledger", "chain long, last_sig string, last_seq long", step, next_state)
 
 
+def verify_stream(spark: SparkSession, signed: DataFrame, key: bytes, chain: str, seq: str, payload: str,
+                  signature: str = "signature") -> DataFrame:
+    """(chain, seq, status) of every signed row of a stream, checked as it comes:
+    VERIFIED or TAMPERED against the row's payload and the signature reported before it,
+    which is carried over batches; UNSIGNED without a signature; LATE where the
+    sequence is null, repeated or not above the chain's last one. Agrees with
+    ``ledger_verify`` and, like it, checks a chain's rows in parallel."""
+    base = signed.select(F.col(chain).alias("chain"), F.col(seq).cast("long").alias("seq"), F.col(payload).alias("payload"),
+                         F.col(signature).alias("signature"))
+
+    def step(batch: DataFrame, state: DataFrame) -> DataFrame:
+        rows = written(join_keys(batch, state, ["chain"], "left"), "batch")
+        old = F.col("seq").isNull() | F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False))
+        has = rows.where("signature IS NOT NULL").withColumn("old", old)
+        has = has.withColumn("late", F.col("old") | (F.row_number().over(Window.partitionBy("chain", "seq").orderBy("signature", "payload")) > 1))
+        has = written(has, "signed")
+        good = previous_value(has.where("NOT late"), ["chain"], "seq", "signature", "before")
+        message = F.concat(F.coalesce("payload", F.lit(ledger.NULL_PAYLOAD)), F.coalesce("before", "last_sig", F.lit("")))
+        checked = good.withColumn("status", F.when(ledger.hmac_sha256(key, message).eqNullSafe(F.col("signature")), "VERIFIED").otherwise("TAMPERED"))
+        rest = has.where("late").withColumn("status", F.lit("LATE")).unionByName(
+            rows.where("signature IS NULL").withColumn("status", F.lit("UNSIGNED")), allowMissingColumns=True)
+        columns = ["chain", "seq", "signature", "status"]
+        return checked.select(*columns).unionByName(rest.select(*columns))
+
+    def next_state(state: DataFrame, out: DataFrame) -> DataFrame:
+        new = out.where("status IN ('VERIFIED', 'TAMPERED')").select("chain", F.col("signature").alias("last_sig"), F.col("seq").alias("last_seq"))
+        return state.unionByName(new).groupBy("chain").agg(F.max_by("last_sig", "last_seq").alias("last_sig"),
+                                                           F.max("last_seq").alias("last_seq"))
+
+    return run_stateful(spark, base, "verify", "chain long, last_sig string, last_seq long", step, next_state).drop("signature")
+
+
 def scoring_stream(records: DataFrame) -> DataFrame:
     """Stateless streaming scoring: validate -> score -> band -> factors; rejected
     rows keep their violations (see ``accepted`` and ``rejected``)."""

@@ -83,3 +83,21 @@ def test_ledger_stream_keeps_duplicates_and_null_chains(spark, tmp_path):
     rows = spark.createDataFrame([(r["chain"], r["seq"], r["payload"], r["signature"]) for r in got if not r["late"]],
                                  "chain long, seq long, payload string, signature string")
     assert {c: s for c, (_, _, s) in summary(spark, rows).items()} == {1: "VERIFIED", None: "VERIFIED"}
+
+
+def test_streamed_verification_agrees_with_the_batch(spark, tmp_path):
+    folder = str(tmp_path / "signed")
+    rows = [(c, n, f"{c}-{n}") for c in (1, 2, None) for n in range(1, 9)]
+    s = signed(spark, rows)
+    bad = s.withColumn("payload", F.when((F.col("chain") == 1) & (F.col("seq") == 5), "edited")
+                       .when((F.col("chain") == 2) & (F.col("seq") == 3), None).otherwise(F.col("payload")))
+    late = bad.where("chain = 1 AND seq = 2")
+    for part in (bad.where("seq <= 3"), bad.where("seq BETWEEN 4 AND 6").unionByName(late), bad.where("seq > 6").unionByName(bad.where("chain = 2 AND seq = 8"))):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([(1, 99, "x", None)], bad.schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.file_stream(spark, folder, bad.schema, max_files=1)
+    got = [(r["chain"], r["seq"], r["status"]) for r in jobs.verify_stream(spark, stream, KEY, "chain", "seq", "payload").collect()]
+    batch = ledger.ledger_verify(bad, KEY, "chain", "seq", "payload")
+    want = [(r["chain"], r["seq"], "VERIFIED" if r["valid"] else "TAMPERED") for r in batch.collect()]
+    assert sorted(got, key=str) == sorted([*want, (1, 2, "LATE"), (2, 8, "LATE"), (1, 99, "UNSIGNED")], key=str)
+    assert sorted((c, n) for c, n, x in want if x == "TAMPERED") == [(1, 5), (2, 3)]
