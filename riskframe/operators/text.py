@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from riskframe.session import written
 
 LEFT_OUT_SHARE = 0.5  # of the threshold; the bounds of left-out terms add up to less
+FREQUENT_SHARE = 0.001  # of the documents; more frequent terms are weighed where they lie
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
 
@@ -198,13 +199,19 @@ def pruned_search(corpus: DataFrame, doc_id: str, text: str, queries: DataFrame,
     n = corpus.agg(F.count(F.lit(1)).alias("_n"))
     vocab = written(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                     .join(F.broadcast(n), how="cross")  # n: one global row
-                    .select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "vocabulary")
+                    .select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
+                            (F.col("df") > FREQUENT_SHARE * F.col("_n")).alias("frequent")), "vocabulary")
+    asked = written(tfidf_transform(queries, query_id, query_text, vocab.select("term", "idf"), stop_words), "query_terms")
+    known = written(vocab.join(asked.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left")
+                    .withColumn("wanted", F.coalesce("wanted", F.lit(False))), "known_terms")
+    # A document of t terms on average leaves room for t / FREQUENT_SHARE frequent terms, whatever the corpus.
+    frequent = F.broadcast(known.where("frequent").drop("frequent"))
+    rare = written(tf.join(frequent, "term", "left_anti").join(known.where("NOT frequent").drop("frequent"), "term"), "rare_terms")
     w = F.col("tf") * F.col("idf")
-    norm = tf.join(vocab, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    asked = written(tfidf_transform(queries, query_id, query_text, vocab, stop_words), "query_terms")
-    wanted = asked.select("term").distinct().join(vocab, "term")
-    postings = written(tf.join(wanted, "term").join(norm, "doc_id")
-                       .select("term", "doc_id", "class", (w / F.col("norm")).alias("weight")), "postings")
+    weighed = tf.join(frequent, "term").unionByName(rare)
+    norm = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    postings = written(weighed.where("wanted").select("term", "doc_id", "class", w.alias("w")).join(norm, "doc_id")
+                       .select("term", "doc_id", "class", (F.col("w") / F.col("norm")).alias("weight")), "postings")
     slack = 1.0 - 1e-9  # neither rounding nor a tie at nine digits may cost a document
 
     def kth(scores: DataFrame) -> DataFrame:
