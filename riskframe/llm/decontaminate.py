@@ -9,7 +9,11 @@ locations; reading on from a location gives the longest verbatim match.
 A test suffix holds only words of the test set, so a training word outside
 that vocabulary ends every match: words become vocabulary numbers (0 for all
 others) and only suffixes with enough known words in a row enter the array.
-Suffixes are ordered as far as the longest test item reaches.
+Suffixes are ordered as far as the longest test item reaches. Equal test
+windows are searched once and keep the list of their items, so a passage that
+thousands of items share costs one search, and its items are spread out once a
+document. The longest match of a place is found by bisecting it in turn among
+the sorted test suffixes.
 
 The test set is taken in blocks of bounded size; each block's arrays are
 broadcast on their own, and a shard is searched for one block after another.
@@ -19,8 +23,8 @@ Words are runs of ASCII letters (lower-cased), digits and non-ASCII
 characters. A window is ``window_words`` consecutive words; an item of fewer
 words, but not none, is one window. Null and empty texts have no words, and
 items without words never occur. Repeated rows and rows without an id are
-judged each for itself; repeated item ids count once a document. An empty
-test set leaves every document clean. A document longer than a shard is cut
+judged each for itself; repeated item ids count once a document, and an item
+without an id hits words but is not counted. An empty test set leaves every document clean. A document longer than a shard is cut
 into pieces that overlap by the longest item. Extra columns pass through.
 """
 
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +75,33 @@ class TestBlock:
         self.start = begin[self.item] + self.offset if number else np.zeros(0, np.int64)
         self.size = size[self.item] if number else np.zeros(0, np.int64)
         self.shortest = int(size.min()) if number else 0
+        # Equal windows share a number; the suffixes of each stand together.
+        numbers: dict[bytes, int] = {}
+        data, width = self.words.tobytes(), self.words.itemsize
+        self.window = np.array([numbers.setdefault(data[a * width:(a + n) * width], len(numbers))
+                                for a, n in zip(self.start.tolist(), self.size.tolist(), strict=True)], np.int64)
+        self.by_window = np.argsort(self.window, kind="stable")
+        self.window_first = np.searchsorted(self.window[self.by_window], np.arange(len(numbers) + 1))
+        example = self.by_window[self.window_first[:-1]]
+        self.window_start, self.window_size = self.start[example], self.size[example]
+        # The suffixes that can go on beyond a window in order, and their rank by item id and offset.
+        self.full = window
+        self.sorted = suffix_array(self.words, self.start[self.size == window], self.longest + 1)
+        self.sorted_item = np.searchsorted(begin, self.sorted, side="right") - 1
+        self.sorted_offset = self.sorted - begin[self.sorted_item] if number else self.sorted
+        names = [(i is None, str(i)) for i in self.ids]
+        by_name = np.empty(len(names), np.int64)
+        by_name[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        self.name_rank = by_name
+        rank = np.empty(len(self.sorted), np.int64)
+        rank[np.lexsort((self.sorted_offset, by_name[self.sorted_item]))] = np.arange(len(self.sorted))
+        self.sorted_rank = rank
+
+    def suffixes_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the given windows, suffix) for every suffix that begins with one."""
+        n = self.window_first[windows + 1] - self.window_first[windows]
+        which = np.repeat(np.arange(len(windows)), n)
+        return which, self.by_window[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.window_first[windows], n)]
 
     def longest_from(self, at: np.ndarray) -> np.ndarray:
         """How many words of its item follow from each place."""
@@ -132,8 +164,22 @@ def common_words(words: np.ndarray, at: np.ndarray, test: np.ndarray, start: np.
     return length
 
 
+def longest_at(words: np.ndarray, at: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each training place with a whole window the words of its longest match, and the
+    range of the sorted test suffixes that have it."""
+    stops = np.flatnonzero(words == 0)
+    rest = np.minimum(stops[np.searchsorted(stops, at)] - at, block.longest)
+    near = bisect_suffixes(block.words, block.sorted, words, at, rest, after=False)
+    length = np.zeros(len(at), np.int64)
+    for side in (near - 1, near):
+        there = block.sorted[np.clip(side, 0, len(block.sorted) - 1)]
+        length = np.maximum(length, common_words(words, at, block.words, there, rest))
+    return (length, bisect_suffixes(block.words, block.sorted, words, at, length, after=False),
+            bisect_suffixes(block.words, block.sorted, words, at, length, after=True))
+
+
 def shard_matches(words: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the shard, test suffix): every occurrence of a test window.
+    """(place in the shard, test window): every occurrence of a distinct test window.
 
     ``words`` are vocabulary numbers with ``block.longest`` zeros at the end.
     """
@@ -151,12 +197,12 @@ def shard_matches(words: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.n
     rest = np.repeat(np.cumsum(size + 1) - 1, size + 1) - np.arange(len(origin))
     known = np.flatnonzero(rest >= max(block.shortest, 1))
     array = suffix_array(words, known, block.longest)
-    first = bisect_suffixes(words, array, block.words, block.start, block.size, after=False)
-    last = bisect_suffixes(words, array, block.words, block.start, block.size, after=True)
+    first = bisect_suffixes(words, array, block.words, block.window_start, block.window_size, after=False)
+    last = bisect_suffixes(words, array, block.words, block.window_start, block.window_size, after=True)
     n = last - first
-    suffix = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(suffix)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    return origin[array[place]], suffix
+    window = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    return origin[array[place]], window
 
 
 def shards(texts: list[bytes | None], overlap: int) -> Iterator[list[tuple[int, int, list[bytes], int]]]:
@@ -205,15 +251,26 @@ def _opened(shared: Broadcast) -> TestBlock:
     return block
 
 
-def judge_texts(texts: list[bytes | None], test_blocks) -> list[tuple[int, int, set, int]]:
-    """(words, hit words, ids of items that occur, words of the longest verbatim match) of each text."""
+class Verdict(NamedTuple):
+    words: int
+    hit: int                # words inside an occurrence of a window
+    items: set              # ids of the items that occur
+    longest: int            # words of the longest verbatim match
+    place: int | None       # where it begins in the text (the first such word)
+    item: object | None     # the smallest item, by id as text, that has it, and its first word there
+    item_word: int | None
+
+
+def judge_texts(texts: list[bytes | None], test_blocks) -> list[Verdict]:
     number_words = [0] * len(texts)
     hit: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set] = [set() for _ in texts]
-    longest = [0] * len(texts)
+    # Of each text the best match as (-words, place, id is null, id as text, word in the item, id).
+    best: list[tuple] = [(0, -1, False, "", -1, None) for _ in texts]
     opened = list(test_blocks)
     overlap = max((b.longest for b in opened), default=1)
     for shard in shards(texts, overlap):
+        own_words = np.array([s[3] for s in shard])
         for number, at, _, own in shard:
             number_words[number] = max(number_words[number], at + own)
         for block in opened:
@@ -221,35 +278,53 @@ def judge_texts(texts: list[bytes | None], test_blocks) -> list[tuple[int, int,
             parts = [np.fromiter([get(w, 0) for w in words] + [0], np.int32, len(words) + 1) for _, _, words, _ in shard]
             begin = np.cumsum([0] + [len(p) for p in parts])
             words = np.concatenate([*parts, np.zeros(block.longest + 1, np.int32)])
-            place, suffix = shard_matches(words, block)
+            place, window = shard_matches(words, block)
             if not len(place):
                 continue
             piece = np.searchsorted(begin, place, side="right") - 1
             word = place - begin[piece]
-            mine = word < np.array([s[3] for s in shard])[piece]  # the rest belongs to the next piece
-            place, suffix, piece, word = place[mine], suffix[mine], piece[mine], word[mine]
-            most = block.longest_from(block.start[suffix])
-            length = common_words(words, place, block.words, block.start[suffix], most)
+            mine = word < own_words[piece]  # the rest belongs to the next piece
+            place, window, piece, word = place[mine], window[mine], piece[mine], word[mine]
             order = np.argsort(piece, kind="stable")
             cuts = np.searchsorted(piece[order], np.arange(len(shard) + 1))
+            tried = np.unique(place[block.window_size[window] == block.full])
+            length, first, last = longest_at(words, tried, block)
+            tried_cuts = np.searchsorted(tried, begin)
             for k in np.unique(piece).tolist():
                 number, at = shard[k][:2]
                 rows = order[cuts[k]:cuts[k + 1]]
-                items[number].update(block.ids[i] for i in np.unique(block.item[suffix[rows]]).tolist())
-                longest[number] = max(longest[number], int(length[rows].max()))
-                spans = np.unique(np.stack([word[rows] + at, word[rows] + at + block.size[suffix[rows]]], axis=1), axis=0)
+                _, suffix = block.suffixes_of(np.unique(window[rows]))
+                items[number].update(block.ids[i] for i in np.unique(block.item[suffix]).tolist())
+                spans = np.unique(np.stack([word[rows] + at, word[rows] + at + block.window_size[window[rows]]], axis=1), axis=0)
                 hit[number].extend(map(tuple, spans.tolist()))
+                here = slice(tried_cuts[k], tried_cuts[k + 1])
+                held = np.flatnonzero(tried[here] - begin[k] < own_words[k]) + tried_cuts[k]
+                if len(held):
+                    top = held[length[held].argmax()]
+                    test = first[top] + block.sorted_rank[first[top]:last[top]].argmin()
+                    n, where, offset = int(length[top]), int(tried[top] - begin[k]), int(block.sorted_offset[test])
+                    found = block.ids[block.sorted_item[test]]
+                else:  # only items shorter than a window
+                    sizes = block.window_size[window[rows]]
+                    top = rows[np.lexsort((word[rows], -sizes))[0]]
+                    _, suffix = block.suffixes_of(window[top:top + 1])
+                    n, where, offset = int(sizes.max()), int(word[top]), 0
+                    found = block.ids[block.item[suffix[block.name_rank[block.item[suffix]].argmin()]]]
+                best[number] = min(best[number], (-n, where + at, found is None, str(found), offset, found))
     out = []
     for number in range(len(texts)):
         covered, upto = 0, 0
         for a, b in sorted(hit[number]):
             covered += max(0, b - max(a, upto))
             upto = max(upto, b)
-        out.append((number_words[number], covered, items[number], longest[number]))
+        words, place, _, _, item_word, found = best[number]
+        there = (-words, place, found, item_word) if words else (0, None, None, None)
+        out.append(Verdict(number_words[number], covered, items[number] - {None}, *there))
     return out
 
 
-VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+VERDICT = ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, "
+           "match_word long, match_item string, match_item_word long")
 
 
 def with_verdict(docs: DataFrame, items: DataFrame, text_col: str = "text", out_col: str = "overlap",
@@ -262,14 +337,15 @@ def with_verdict(docs: DataFrame, items: DataFrame, text_col: str = "text", out_
         for batch in batches:
             rows = []
             for texts in blocks((v.as_py() for v in batch), SHARD_BYTES):
-                for n, covered, found, longest in judge_texts(texts, opened):
-                    names = ",".join(sorted(str(i) for i in found if i is not None))
-                    rows.append((n, covered, len(found), hashlib.sha256(names.encode()).hexdigest(), covered > 0, longest))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()]
+                for v in judge_texts(texts, opened):
+                    names = ",".join(sorted(map(str, v.items)))
+                    rows.append((v.words, v.hit, len(v.items), hashlib.sha256(names.encode()).hexdigest(), v.hit > 0, v.longest,
+                                 v.place, None if v.item is None else str(v.item), v.item_word))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.StructArray.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"])
+                names=[x.split()[0] for x in VERDICT.split(", ")])
 
     return docs.withColumn(out_col, F.arrow_udf(run, VERDICT)(utf8(text_col)))
 
@@ -296,7 +372,9 @@ def longest_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                     parts = [np.fromiter([get(w, 0) for w in s[2]] + [0], np.int32, len(s[2]) + 1) for s in shard]
                     begin = np.cumsum([0] + [len(p) for p in parts])
                     words = np.concatenate([*parts, np.zeros(block.longest + 1, np.int32)])
-                    place, suffix = shard_matches(words, block)
+                    place, window = shard_matches(words, block)
+                    which, suffix = block.suffixes_of(window)
+                    place = place[which]
                     start = block.start[suffix]
                     length = common_words(words, place, block.words, start, block.longest_from(start))
                     piece = np.searchsorted(begin, place, side="right") - 1
@@ -319,7 +397,9 @@ def longest_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def overlap_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """One row per document: its id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
+    """One row per document: its id, n_words, n_hit, n_items, items_sha256, contaminated, and its
+    longest verbatim match: longest_match (words), match_word (where it begins), match_item and
+    match_item_word (the item that has it; nulls where nothing matches)."""
     out = free_name(docs, "_overlap")
     return with_verdict(docs, items, out_col=out, **kw).select(col(id_col).alias("doc_id"), f"{out}.*")
 

