@@ -162,7 +162,8 @@ def mark_target(docs: DataFrame, labels: DataFrame, id_col: str, out_col: str) -
     key = free_name(docs, "_trusted_id")
     trusted = (labels.where(F.col("quality") == 1).select(F.col("doc_id").alias(key)).dropna().distinct()
                .withColumn(out_col, F.lit(True)))
-    marked = docs.join(trusted, col(id_col) == F.col(key), "left").drop(key)
+    # Sorted on both sides at every size: the trusted set grows with the labels and is never broadcast.
+    marked = docs.hint("merge").join(trusted, col(id_col) == F.col(key), "left").drop(key)
     return marked.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False)))
 
 
