@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -165,21 +164,20 @@ def local_term_counts(df: DataFrame, doc_id: str, text: str, stop_words=None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1)
-            flat, at = values.flatten().to_pylist(), 0
-            terms, counts, sizes = [], [], []
-            for n in values.value_lengths().to_pylist():
-                found = Counter(flat[at:at + (n or 0)])
-                at += n or 0
-                for word in stop & found.keys():
-                    del found[word]
-                terms += found.keys()
-                counts += found.values()
-                sizes.append(len(found))
-            times = np.array(sizes, np.int64)
-            rows = np.repeat(np.arange(len(times)), times)
+            coded = values.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            names, code = coded.dictionary, coded.indices.to_numpy()
+            row = np.repeat(np.arange(len(values)), values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            if stop:
+                kept = ~np.fromiter((w in stop for w in names.to_pylist()), bool, len(names))[code]
+                row, code = row[kept], code[kept]
+            place, counts = np.unique(row * len(names) + code, return_counts=True)
+            row, code = np.divmod(place, len(names))
+            terms = np.bincount(row, minlength=len(values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(np.repeat(times, times)), pa.array(terms, pa.string()),
-                 pa.array(counts, pa.int64())], names=["doc_id", "n_terms", "term", "tf"])
+                [batch.column(0).take(pa.array(row)), pa.array(terms[row]), names.take(pa.array(code)), pa.array(counts)],
+                names=["doc_id", "n_terms", "term", "tf"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(text, F.lit(""))).alias("words"))
