@@ -324,3 +324,30 @@ def fitted_trees(model, spark, positive: int = 1) -> list[tuple[float, Tree]]:
                     np.array([value(r) for r in nodes]), np.array([float(r["rawCount"]) for r in nodes]))
         out.append((weights[n] if boosted or single else 1.0 / len(by_tree), tree))
     return out
+
+
+# ---------------------------------------------------------------- choice of the explainer
+
+def explainer_of(model) -> str:
+    """``tree``, ``linear`` or ``sampled``: how contributions of a model are best found."""
+    kind = type(model).__name__.lower()
+    if any(part in kind for part in ("tree", "forest", "gbt", "boost")) or hasattr(model, "trees"):
+        return "tree"
+    return "linear" if hasattr(model, "coefficients") else "sampled"
+
+
+def explained(df: DataFrame, key: str, features: list[str], model, background: DataFrame, rows: int = 50, pairs: int = 5,
+              seed: int = 42) -> tuple[DataFrame, str]:
+    """((key, feature, phi), explainer) of a fitted ``pyspark.ml`` classifier, an ``Ensemble`` or any
+    function of rows: exact for trees (path-dependent) and linear models (against the
+    background's means, on the margin), sampled Shapley values for the rest."""
+    from riskframe.operators.train import linear_attributions
+    how = explainer_of(model)
+    if how == "tree":
+        trees = fitted_trees(model, df.sparkSession) if hasattr(model, "write") else model.trees
+        got = tree_attributions(df, key, features, trees)
+    elif how == "linear":
+        got = linear_attributions(df, features, model.coefficients.toArray().tolist(), key)
+    else:
+        got = sampled_shapley(df, key, features, model, background, pairs, rows, seed)
+    return got.select(key, "feature", "phi"), how

@@ -128,7 +128,7 @@ FROM documents
 
 # scenario specs derived from benchmark items, paired with the same-id document
 SPECS = """
-SELECT item_id AS sid, concat('Feature: f', chr(10), 'Scenario: ', split_part(text, '.', 1), chr(10),
+SELECT item_id AS sid, concat('Feature: f', chr(10), 'Scenario: ', replace(text, chr(10), ' '), chr(10),
                               'Scenario: zzqx yyqx wwqx') AS spec
 FROM benchmark
 """

@@ -18,6 +18,27 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Fixed values, written out apart from the operator's own lists: what each scan has to find.
+PII = [
+    ("medicare_number", r"\b\d{4}\s?\d{5}\s?\d\b"),
+    ("tfn", r"\b\d{3}\s?\d{3}\s?\d{3}\b"),
+    ("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Z|a-z]{2,}\b"),
+    ("phone_au", r"\b(\+61|0)[2-478](\s?\d{4}){2}\b"),
+    ("dob", r"\b(0[1-9]|[12]\d|3[01])[-/](0[1-9]|1[012])[-/](19|20)\d\d\b"),
+    ("given_name_field", r"(?i)(patient.?name|given.?name|surname|first.?name)"),
+]
+INJECTION = [r"(?i)ignore\s+(all\s+)?previous\s+instructions", r"(?i)system\s*prompt", r"(?i)jailbreak", r"(?i)you\s+are\s+now",
+             r"(?i)DAN\s+mode", r"(?i)act\s+as\s+if", r"(?i)forget\s+your\s+training"]
+OVERCLAIM = ["definitely", "absolutely certain", "100% sure", "guaranteed", "no risk", "impossible to have CVD", "will never develop"]
+SCANNER = [
+    (r"(?i)ignore\s+(all\s+)?previous\s+instructions", "CRITICAL"), (r"(?i)system\s*prompt\s*:", "CRITICAL"),
+    (r"(?i)jailbreak", "CRITICAL"), (r"(?i)you\s+are\s+now\s+(a|an)\s+[\p{L}\p{N}_]+", "CRITICAL"), (r"(?i)DAN\s+mode", "CRITICAL"),
+    (r"(?i)act\s+as\s+if\s+you", "HIGH"), (r"(?i)forget\s+(your|all)\s+training", "HIGH"), (r"(?i)roleplay\s+as", "MEDIUM"),
+    (r"<script[\s>]", "HIGH"), (r"(?i)(drop|delete)\s+table", "CRITICAL"), (r"(?i)union\s+select", "CRITICAL"), (r"\.\./\.\./", "HIGH"),
+    (r"(?i)eval\s*\(", "HIGH"),
+]
+
+
 def _list_sql(items: list[tuple[str, str]]) -> str:
     """DuckDB: list of labels whose pattern matches ``text`` (NULLs removed)."""
     parts = ", ".join(f"CASE WHEN regexp_matches(text, {_sql_str(p)}) THEN {_sql_str(n)} END" for n, p in items)
@@ -25,10 +46,10 @@ def _list_sql(items: list[tuple[str, str]]) -> str:
 
 
 _OVERCLAIM_SQL = "list_filter([" + ", ".join(
-    f"CASE WHEN contains(lower(text), {_sql_str(p.lower())}) THEN {_sql_str(p)} END" for p in guard.OVERCLAIM_PHRASES
+    f"CASE WHEN contains(lower(text), {_sql_str(p.lower())}) THEN {_sql_str(p)} END" for p in OVERCLAIM
 ) + "], lambda x: x IS NOT NULL)"
 
-ORACLE_PII = f"WITH d AS ({fx.DOCUMENTS_PLANTED}) SELECT doc_id, {_list_sql(guard.PII_PATTERNS)} AS pii FROM d"
+ORACLE_PII = f"WITH d AS ({fx.DOCUMENTS_PLANTED}) SELECT doc_id, {_list_sql(PII)} AS pii FROM d"
 
 
 @register("pii_scan", ORACLE_PII)
@@ -38,7 +59,7 @@ def q_pii(spark, sf_dir):
 
 
 ORACLE_INJECTION = (f"WITH d AS ({fx.DOCUMENTS_PLANTED}) SELECT doc_id, "
-                    f"{_list_sql([(p, p) for p in guard.INJECTION_PATTERNS])} AS injection FROM d")
+                    f"{_list_sql([(p, p) for p in INJECTION])} AS injection FROM d")
 
 
 @register("injection_scan", ORACLE_INJECTION)
@@ -63,8 +84,8 @@ def _pylist(expr: str) -> str:
 
 
 ORACLE_VERDICT = f"""WITH d AS ({fx.DOCUMENTS_PLANTED}),
-s AS (SELECT doc_id, {_list_sql(guard.PII_PATTERNS)} AS pii,
-             {_list_sql([(p, p) for p in guard.INJECTION_PATTERNS])} AS inj, {_OVERCLAIM_SQL} AS oc FROM d),
+s AS (SELECT doc_id, {_list_sql(PII)} AS pii,
+             {_list_sql([(p, p) for p in INJECTION])} AS inj, {_OVERCLAIM_SQL} AS oc FROM d),
 r AS (SELECT doc_id, CASE WHEN len(pii) > 0 THEN 'PII detected: ' || {_pylist('pii')}
                           WHEN len(inj) > 0 THEN 'Potential prompt injection detected'
                           WHEN len(oc) > 0 THEN 'Clinical hallucination trigger detected: ' || {_pylist('oc')}
@@ -80,8 +101,8 @@ def q_verdict(spark, sf_dir):
 
 def _scanner_sql() -> str:
     inj = ", ".join(f"CASE WHEN regexp_matches(text, {_sql_str(p)}) THEN {_sql_str(s)} END"
-                    for p, s in guard.SCANNER_PATTERNS)
-    pii = ", ".join(f"CASE WHEN regexp_matches(text, {_sql_str(p)}) THEN 'HIGH' END" for _, p in guard.SCANNER_PII)
+                    for p, s in SCANNER)
+    pii = ", ".join(f"CASE WHEN regexp_matches(text, {_sql_str(p)}) THEN 'HIGH' END" for _, p in PII[:3])
     return f"list_filter([{inj}, {pii}], lambda x: x IS NOT NULL)"
 
 
@@ -100,8 +121,8 @@ def q_input_scan(spark, sf_dir):
 
 
 ORACLE_CORPUS = f"""WITH d AS ({fx.DOCUMENTS_PLANTED}),
-s AS (SELECT source, {_list_sql(guard.PII_PATTERNS)} AS pii,
-             {_list_sql([(p, p) for p in guard.INJECTION_PATTERNS])} AS inj, {_OVERCLAIM_SQL} AS oc FROM d)
+s AS (SELECT source, {_list_sql(PII)} AS pii,
+             {_list_sql([(p, p) for p in INJECTION])} AS inj, {_OVERCLAIM_SQL} AS oc FROM d)
 SELECT source, count(*) AS documents, count(*) FILTER (WHERE len(pii) > 0) AS pii_docs,
        count(*) FILTER (WHERE len(inj) > 0) AS injection_docs, count(*) FILTER (WHERE len(oc) > 0) AS overclaim_docs,
        count(*) FILTER (WHERE len(pii) > 0 OR len(inj) > 0) AS flagged_docs,
@@ -116,8 +137,8 @@ def q_corpus(spark, sf_dir):
 
 
 ORACLE_PII_MASK = f"WITH d AS ({fx.DOCUMENTS_PLANTED}) SELECT doc_id, " + "".join(
-    "regexp_replace(" for _ in guard.PII_PATTERNS) + "text" + "".join(
-    f", {_sql_str(p)}, '[REDACTED]', 'g')" for _, p in guard.PII_PATTERNS) + " AS masked FROM d"
+    "regexp_replace(" for _ in PII) + "text" + "".join(
+    f", {_sql_str(p)}, '[REDACTED]', 'g')" for _, p in PII) + " AS masked FROM d"
 
 
 @register("pii_mask", ORACLE_PII_MASK)

@@ -3,12 +3,12 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskframe.operators import explain, train
+from riskframe.operators import ensembles, explain, train
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -129,3 +129,14 @@ def test_tree_attributions_agree_with_all_subsets(spark, table, kind, settings):
         assert np.allclose([per[c]["phi"] for c in NAMES], exact_shapley(value, 4))
         assert abs(per["a"]["score"] - scores[r["id"]]) < 1e-6
         assert abs(sum(per[c]["phi"] for c in NAMES) - (per["a"]["score"] - per["a"]["base"])) < 1e-9
+
+
+def test_the_explainer_fits_the_model(spark, table):
+    data = table.withColumn("label", (F.col("a") + F.col("b") > 0).cast("double"))
+    vectors = VectorAssembler(inputCols=NAMES, outputCol="features").transform(data)
+    tree = DecisionTreeClassifier(maxDepth=2, seed=1).fit(vectors)
+    line = LogisticRegression(maxIter=5).fit(vectors)
+    own = ensembles.boosted_trees(data, "label", NAMES, rounds=1, depth=1)
+    for model, want in ((tree, "tree"), (own, "tree"), (line, "linear"), (explain.logistic_model([1.0] * 4), "sampled")):
+        got, how = explain.explained(table, "id", NAMES, model, table, rows=5, pairs=1)
+        assert how == want and got.count() == 240 and got.columns == ["id", "feature", "phi"]

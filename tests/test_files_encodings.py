@@ -1,3 +1,5 @@
+import hashlib
+
 from riskframe.operators import features, ledger
 from riskframe.sources import files
 
@@ -34,3 +36,19 @@ def test_handoffs_leave_out_the_last_stage(spark):
     stages = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "stage long, name string")
     got = sorted((r["id"], r["sender"], r["receiver"]) for r in ledger.handoff_messages(done, stages).collect())
     assert got == [(1, "a", "b"), (2, "b", "c")]
+
+
+def test_checksum_of_a_file_over_two_gigabytes(spark, tmp_path):
+    big, small = tmp_path / "big file.bin", tmp_path / "small.bin"
+    with big.open("wb") as f:
+        f.truncate((1 << 31) + 5)  # sparse: it takes no disk
+        f.write(b"end")
+    small.write_bytes(b"abc")
+    want = {}
+    for p in (big, small):
+        h = hashlib.sha256()
+        with p.open("rb") as f:
+            while data := f.read(1 << 22):
+                h.update(data)
+        want[p.name] = h.hexdigest()
+    assert {r["name"]: r["sha256"] for r in files.file_sha256(spark, str(tmp_path), "*.bin").collect()} == want
