@@ -10,7 +10,8 @@ plus the log ratio of the class sizes.
 Null and empty texts have the vector of a text without words and a score like
 any other. A document labelled more than once counts with its highest label,
 and a document id that repeats counts with every row. A class without rows
-makes every score the share of label 1 (0.5 without any label). Extra columns
+makes every score the share of label 1 (0.5 without any label). An empty table
+gives an empty result. Extra columns
 pass through; texts of any length are read whole.
 """
 

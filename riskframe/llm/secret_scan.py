@@ -16,7 +16,8 @@ Places are summed within one text's candidates only.
 
 Null texts count as empty and hold nothing. A null owner or repository
 counts as one of its own. Repeated rows and rows without an id are scanned
-each for itself. Extra columns pass through ``redact``. Matches of a kind are
+each for itself, very long texts are scanned whole, and an empty table gives
+an empty result. Extra columns pass through ``redact``. Matches of a kind are
 leftmost and do not overlap; those of two kinds may.
 """
 

@@ -10,7 +10,7 @@ digits; a character that no piece covers becomes its UTF-8 bytes.
 
 Null texts have null ids, empty texts have none. Repeated rows and extra
 columns pass through unchanged. A text of any length is one row; its units
-are encoded block by block. Decoding turns markers into blanks, drops the
+are encoded block by block. An empty table gives an empty result. Decoding turns markers into blanks, drops the
 one blank that the dummy prefix adds, and turns invalid UTF-8 into U+FFFD;
 so every text without a literal U+2581 comes back unchanged.
 """

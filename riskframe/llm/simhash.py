@@ -22,7 +22,8 @@ to the shared folder, and nothing but a count comes to the driver.
 Null and empty texts have no words and the fingerprint zero, linked like any
 other. A text of fewer words than a shingle is one shingle. Repeated rows
 and rows without an id count as rows of their own; a group's id is its
-smallest non-null document id (null if it has none). Extra columns pass
+smallest non-null document id (null if it has none). Very long texts are
+hashed whole, and an empty table gives an empty result. Extra columns pass
 through ``keep_one_of_each``.
 """
 

@@ -8,7 +8,8 @@ more, and paths are found by the start of their last piece. An uncovered
 character counts as its UTF-8 bytes.
 
 Null texts have a null count, empty texts 0. Repeated rows keep their rows,
-extra columns pass through. Units repeat, so a task counts each once while
+extra columns pass through, very long texts are counted whole, and an empty
+table gives an empty result. Units repeat, so a task counts each once while
 its bounded cache holds it.
 """
 

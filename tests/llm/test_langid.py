@@ -60,3 +60,57 @@ def test_sparse_rows_in_small_parts_score_like_dense_ones(spark, monkeypatch):
     assert any(w in model.words for w in words) and any(w not in model.words for w in words)
     monkeypatch.setattr(langid, "CELLS", 1 << 10)
     assert np.array_equal(model.word_scores(words), whole)
+
+
+def brute_model(rows):
+    """{lang: {word: share}} and {(lang, size): {gram: share}} of what is frequent enough, counted plainly."""
+    words, grams = {}, {}
+    for text, lang in rows:
+        for w in langid.words_of((text or "").encode()):
+            words.setdefault(lang, {}).setdefault(w, 0)
+            words[lang][w] += 1
+            for size in range(1, 5):
+                marked = w if size == 1 else f" {w} "
+                for i in range(len(marked) - size + 1):
+                    counts = grams.setdefault((lang, size), {})
+                    counts[marked[i:i + size]] = counts.get(marked[i:i + size], 0) + 1
+    share = lambda c: {k: n / sum(c.values()) for k, n in c.items() if n >= 2e-5 * sum(c.values())}
+    return {k: share(c) for k, c in words.items()}, {k: share(c) for k, c in grams.items()}
+
+
+def brute_predict(text, langs, words, grams):
+    found = langid.words_of((text or "").encode())
+    if not found or not langs:
+        return "und", 0.0
+    rest, total = np.log(1e-5), np.zeros(len(langs))
+    every = {g for c in grams.values() for g in c}
+    for w in found:
+        if any(w in words[k] for k in langs):
+            total += [np.log(words[k][w]) if w in words[k] else rest for k in langs]
+            continue
+        marked, rows = f" {w} ", []
+        for i in range(1, len(marked) - 1):
+            ends = [marked[s:i + 1] for s in range(max(0, i - 3), i + 1)]
+            known = next((g for g in ends if g in every), None)
+            if known is not None:
+                rows.append([np.log(grams[k, len(known)][known]) if known in grams.get((k, len(known)), {}) else rest for k in langs])
+        if rows:
+            total += np.mean(rows, axis=0)
+    mean = total / len(found)
+    return langs[int(mean.argmax())], 1 / np.exp(4.0 * (mean - mean.max())).sum()
+
+
+def test_predictions_of_the_query_against_plain_counts(spark):
+    smoke = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{smoke}/documents.parquet").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in docs}
+    train = [(r["text"], r["lang"]) for r in docs if not held[r["doc_id"]] and r["lang"] is not None]
+    langs = sorted({k for _, k in train})
+    words, grams = brute_model(train)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_langid"](spark, smoke).collect()}
+    backed_off = 0
+    for r in docs:
+        lang, score = brute_predict(r["text"], langs, words, grams)
+        backed_off += any(all(w not in words[k] for k in langs) for w in langid.words_of((r["text"] or "").encode()))
+        assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - score) < 1e-9
+    assert backed_off > 10

@@ -81,3 +81,38 @@ def test_queries_on_odd_rows(spark):
     assert all(r["text"] == r["again"] for r in back.collect())
     empty = docs.limit(0)
     assert codec.encoded_documents(empty, PATH).count() == token_counts.document_token_counts(empty, PATH).count() == 0
+
+
+def plain_viterbi(text, vocab, longest):
+    """The best path over the whole text at once: of equal scores the one whose last piece starts first."""
+    s = ("▁" if vocab.dummy_prefix and text else "") + text.replace(" ", "▁")
+    best, back = [0.0] + [-float("inf")] * len(s), [None] * (len(s) + 1)
+    for start in range(len(s)):
+        single = False
+        for end in range(start + 1, min(len(s), start + longest) + 1):
+            piece = vocab.pieces.get(s[start:end].encode())
+            if piece is not None:
+                single |= end == start + 1
+                if best[start] + piece[1] > best[end]:
+                    best[end], back[end] = best[start] + piece[1], (start, [piece[0]])
+        if not single and best[start] + vocab.unknown_score > best[start + 1]:
+            ids = [vocab.byte_ids[b] for b in s[start].encode()]
+            best[start + 1], back[start + 1] = best[start] + vocab.unknown_score, (start, ids)
+    out, at = [], len(s)
+    while at:
+        at, ids = back[at]
+        out[:0] = ids
+    return out
+
+
+def test_whole_documents_against_one_plain_path(spark):
+    vocab = load_vocab(PATH)
+    longest = max(len(p.decode()) for p in vocab.pieces)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if len(r["text"] or "") < 20_000}
+    ids = {r["doc_id"]: list(r["ids"]) for r in codec.encoded_documents(docs, PATH).collect() if r["ids"] is not None}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_token_counts(docs, PATH).collect()}
+    for d, text in texts.items():
+        if text is not None:
+            want = plain_viterbi(text, vocab, longest)
+            assert ids[d] == want and counts[d] == len(want)
