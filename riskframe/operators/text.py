@@ -122,23 +122,6 @@ def term_counts(df: DataFrame, doc_id: str, text: str, stop_words=None) -> DataF
     return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_fit(corpus: DataFrame, doc_id: str, text: str, stop_words=None) -> tuple[DataFrame, DataFrame]:
-    """Fit TF-IDF on ``corpus``.
-
-    Returns (weights(doc_id, term, weight) L2-normalised per document,
-    vocab(term, idf)) with idf = ln((1 + n) / (1 + df)) + 1 and raw tf.
-    """
-    tf = term_counts(corpus, doc_id, text, stop_words)
-    n = corpus.select(doc_id).distinct().agg(F.count(F.lit(1)).alias("_n"))
-    vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-             .join(F.broadcast(n), how="cross")  # n: one global row
-             .select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-    w = tf.join(vocab, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    weights = w.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("_norm")).alias("weight"))
-    return weights, vocab
-
-
 def tfidf_transform(queries: DataFrame, query_id: str, text: str, vocab: DataFrame, stop_words=None) -> DataFrame:
     """Query vectors with the fitted vocabulary; unseen terms are ignored."""
     tf = term_counts(queries, query_id, text, stop_words).withColumnRenamed("doc_id", "query_id")
@@ -184,6 +167,42 @@ def local_term_counts(df: DataFrame, doc_id: str, text: str, stop_words=None) ->
     return rows.mapInArrow(run, f"doc_id {kind}, n_terms long, term string, tf long")
 
 
+def document_frequencies(tf: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, idf, frequent) as a written table: idf = ln((1 + n) / (1 + df)) + 1, and whether
+    more than FREQUENT_SHARE of the documents have the term."""
+    n = corpus.agg(F.count(F.lit(1)).alias("_n"))
+    return written(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                   .join(F.broadcast(n), how="cross")  # n: one global row
+                   .select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
+                           (F.col("df") > FREQUENT_SHARE * F.col("_n")).alias("frequent")), "vocabulary")
+
+
+def frequent_terms(known: DataFrame) -> DataFrame:
+    """The frequent terms, to be broadcast: documents of t terms on average leave room for
+    t / FREQUENT_SHARE of them, whatever the corpus."""
+    return F.broadcast(known.where("frequent").drop("frequent"))
+
+
+def rare_rows(tf: DataFrame, known: DataFrame) -> DataFrame:
+    """``tf`` of the other terms, joined by term: the only rows that move for their idf."""
+    return tf.join(frequent_terms(known), "term", "left_anti").join(known.where("NOT frequent").drop("frequent"), "term")
+
+
+def tfidf_fit(corpus: DataFrame, doc_id: str, text: str, stop_words=None) -> tuple[DataFrame, DataFrame]:
+    """Fit TF-IDF on ``corpus``, whose ids are unique.
+
+    Returns (weights(doc_id, term, weight) L2-normalised per document,
+    vocab(term, idf)) with idf = ln((1 + n) / (1 + df)) + 1 and raw tf. The
+    weights are shuffled once, by document.
+    """
+    tf = written(local_term_counts(corpus, doc_id, text, stop_words).drop("n_terms"), "terms")
+    known = document_frequencies(tf, corpus)
+    rows = tf.join(frequent_terms(known), "term").unionByName(rare_rows(tf, known))
+    w = rows.select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))  # one document's terms
+    return w.select("doc_id", "term", (F.col("w") / norm).alias("weight")), known.select("term", "idf")
+
+
 class Scored(NamedTuple):
     found: DataFrame      # query_id, rank, doc_id, score
     scored: DataFrame     # query_id, n: how many documents were scored with all terms
@@ -194,19 +213,13 @@ def pruned_search(corpus: DataFrame, doc_id: str, text: str, queries: DataFrame,
     """The search of ``tfidf_search`` with unrounded scores, and how many documents each query scored."""
     tf = written(local_term_counts(corpus, doc_id, text, stop_words)
                  .withColumn("class", F.floor(F.log2("n_terms")).cast("int")).drop("n_terms"), "terms")
-    n = corpus.agg(F.count(F.lit(1)).alias("_n"))
-    vocab = written(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                    .join(F.broadcast(n), how="cross")  # n: one global row
-                    .select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
-                            (F.col("df") > FREQUENT_SHARE * F.col("_n")).alias("frequent")), "vocabulary")
+    vocab = document_frequencies(tf, corpus)
     asked = written(tfidf_transform(queries, query_id, query_text, vocab.select("term", "idf"), stop_words), "query_terms")
     known = written(vocab.join(asked.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left")
                     .withColumn("wanted", F.coalesce("wanted", F.lit(False))), "known_terms")
-    # A document of t terms on average leaves room for t / FREQUENT_SHARE frequent terms, whatever the corpus.
-    frequent = F.broadcast(known.where("frequent").drop("frequent"))
-    rare = written(tf.join(frequent, "term", "left_anti").join(known.where("NOT frequent").drop("frequent"), "term"), "rare_terms")
+    rare = written(rare_rows(tf, known), "rare_terms")
     w = F.col("tf") * F.col("idf")
-    weighed = tf.join(frequent, "term").unionByName(rare)
+    weighed = tf.join(frequent_terms(known), "term").unionByName(rare)
     norm = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
     postings = written(weighed.where("wanted").select("term", "doc_id", "class", w.alias("w")).join(norm, "doc_id")
                        .select("term", "doc_id", "class", (F.col("w") / F.col("norm")).alias("weight")), "postings")
