@@ -37,6 +37,7 @@ from riskframe.session import written
 
 LEFT_OUT_SHARE = 0.5  # of the threshold; the bounds of left-out terms add up to less
 FREQUENT_SHARE = 0.001  # of the documents; more frequent terms are weighed where they lie
+PIECE_WORDS = 128  # of a text that reach Python at once
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
 
@@ -140,31 +141,65 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def local_term_counts(df: DataFrame, doc_id: str, text: str, stop_words=None) -> DataFrame:
-    """(doc_id, n_terms, term, tf): the term counts of each row's text, taken in its own task. No shuffle."""
+def local_term_counts(df: DataFrame, doc_id: str, text: str, stop_words=None, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """(doc_id, n_terms, term, tf): the term counts of each row's text, taken in its own task. No shuffle.
+
+    A text reaches Python in pieces of at most ``piece_words`` words, so a batch
+    of rows holds a bounded number of words, however long the texts are. The
+    last text of a batch may go on in the next one: its counts stay open, a
+    number for each of its terms.
+    """
     stop = frozenset(english_stop_words() if stop_words is None else stop_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_terms", "term", "tf"]
+        open_id, open_tf = None, {}
+
+        def finished() -> pa.RecordBatch:
+            n = len(open_tf)
+            return pa.RecordBatch.from_arrays(
+                [open_id.take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, n)), pa.array(list(open_tf), pa.string()),
+                 pa.array(list(open_tf.values()), pa.int64())], names=names)
+
         for batch in batches:
-            values = batch.column(1)
-            coded = values.flatten().dictionary_encode()
-            if not len(coded):
+            if not len(batch):
                 continue
-            names, code = coded.dictionary, coded.indices.to_numpy()
-            row = np.repeat(np.arange(len(values)), values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            if stop:
-                kept = ~np.fromiter((w in stop for w in names.to_pylist()), bool, len(names))[code]
+            starts, values = batch.column("piece").to_numpy() == 0, batch.column("words")
+            heads, coded = batch.column("doc_id").take(pa.array(np.flatnonzero(starts))), values.flatten().dictionary_encode()
+            words, code = coded.dictionary, coded.indices.to_numpy()
+            row = np.repeat(np.cumsum(starts), values.value_lengths().to_numpy())  # 0: the open text
+            if stop and len(words):
+                kept = ~np.fromiter((w in stop for w in words.to_pylist()), bool, len(words))[code]
                 row, code = row[kept], code[kept]
-            place, counts = np.unique(row * len(names) + code, return_counts=True)
-            row, code = np.divmod(place, len(names))
-            terms = np.bincount(row, minlength=len(values))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(terms[row]), names.take(pa.array(code)), pa.array(counts)],
-                names=["doc_id", "n_terms", "term", "tf"])
+            place, tf = np.unique(row * (len(words) + 1) + code, return_counts=True)
+            row, code = np.divmod(place, len(words) + 1)
+
+            def add(begin: int, end: int) -> None:
+                for w, n in zip(words.take(pa.array(code[begin:end])).to_pylist(), tf[begin:end].tolist(), strict=True):
+                    open_tf[w] = open_tf.get(w, 0) + n
+
+            first, last = np.searchsorted(row, [1, max(len(heads), 1)])
+            add(0, first)
+            if not len(heads):
+                continue
+            if open_tf:
+                yield finished()
+            if last > first:
+                whole, code_of, tf_of = row[first:last] - 1, code[first:last], tf[first:last]
+                terms = np.bincount(whole, minlength=len(heads))
+                yield pa.RecordBatch.from_arrays([heads.take(pa.array(whole)), pa.array(terms[whole]), words.take(pa.array(code_of)),
+                                                  pa.array(tf_of)], names=names)
+            open_id, open_tf = heads.slice(len(heads) - 1), {}
+            add(last, len(row))
+        if open_tf:
+            yield finished()
 
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(text, F.lit(""))).alias("words"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_terms long, term string, tf long")
+    last_piece = F.floor((F.greatest(F.size("words"), F.lit(1)) - 1) / piece_words).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last_piece), lambda n: F.slice("words", n * piece_words + 1, F.lit(piece_words)))
+    return (rows.select("doc_id", F.posexplode(pieces).alias("piece", "words"))
+            .mapInArrow(run, f"doc_id {kind}, n_terms long, term string, tf long"))
 
 
 def document_frequencies(tf: DataFrame, corpus: DataFrame) -> DataFrame:
