@@ -9,6 +9,7 @@ from riskframe.operators import explain, train
 from riskframe.plans import fixtures_sql as fx
 from riskframe.plans.q_train import FEATURES, WEIGHTS, _acct_label
 from riskframe.plans.registry import fixture, register
+from riskframe.session import dealt
 
 # A logistic score of the vitals with given weights, so that the contributions can be checked.
 BIAS = -13.0
@@ -49,7 +50,7 @@ def q_surrogate(spark, sf_dir):
 def q_tree_attributions(spark, sf_dir):
     """Path-dependent attributions of every patient under the benchmark's boosted trees (rows-only; tests go
     through all subsets of the features)."""
-    d = _acct_label(spark, sf_dir)
+    d = dealt(_acct_label(spark, sf_dir))  # the fit passes over the rows again and again
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(d.withColumn("label", F.col("cardio").cast("double")))
     model = dict(train._models(0))["GradientBoosting"].fit(data)
     return explain.tree_attributions(d, "patient_id", FEATURES, explain.fitted_trees(model, spark))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_TASK = 1 << 17
+
 # Settings every riskframe job relies on. ANSI mode stays on: operators use
 # try_divide / try_cast / nullif wherever a value can be undefined.
 DEFAULT_CONF = {
@@ -65,6 +68,13 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
 
 
+def dealt(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df``, a table whose rows are cheap to count, dealt evenly over tasks of at most about ``rows_per_task``
+    rows, and over every core: a well packed file of few bytes is otherwise read by one task, however many rows it has."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows_per_task))
+    return df.repartition(tasks)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the
     lineage and fixes generated values; a lost executor costs a re-read."""
