@@ -23,10 +23,14 @@ def test_rows_are_dealt_by_their_number(spark):
     assert len(sizes(dealt(one))) == spark.sparkContext.defaultParallelism
 
 
-def test_tree_attributions_fits_on_rows_of_every_task(spark, tmp_path, monkeypatch):
+def customers(spark, folder):
     rows = [(n, f"c{n}", n % 25, n * 10.0, "BUILDING") for n in range(400)]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string") \
-        .coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+        .coalesce(1).write.parquet(f"{folder}/customer.parquet")
+
+
+def test_tree_attributions_fits_on_rows_of_every_task(spark, tmp_path, monkeypatch):
+    customers(spark, tmp_path)
     seen = []
 
     class Watched(GBTClassifier):
