@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from riskframe.functions.columns import dbl
 from riskframe.operators import explain
 from riskframe.operators.explain import Tree
-from riskframe.session import written
+from riskframe.session import dealt, written
 
 MAX_BINS = 64
+TASK_ROWS = 1 << 15
 FIXED_POINT = 1 << 32
 
 
@@ -91,7 +92,8 @@ def binned(train: DataFrame, label: str, features: list[str], max_bins: int = MA
             bins = np.stack([np.searchsorted(e, x[:, n], "left") for n, e in enumerate(edges)], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column("_label"), pa.array([r.tobytes() for r in bins], pa.binary())], names=["label", "bins"])
 
-    table = written(rows.select(F.col(label).cast("int").alias("_label"), *[dbl(c).alias(c) for c in features])
+    # Dealt, as every level passes over them: some bytes a row are few files, and so few tasks, however many rows there are.
+    table = written(dealt(rows.select(F.col(label).cast("int").alias("_label"), *[dbl(c).alias(c) for c in features]), TASK_ROWS)
                     .mapInArrow(run, "label int, bins binary"), "bins")
     return Binned(table, edges, table.count())
 

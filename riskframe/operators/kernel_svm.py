@@ -3,8 +3,16 @@
 A kernel matrix grows with the square of the rows. Instead each standardised
 row is mapped to ``components`` cosines whose inner products approach the
 kernel ``exp(-gamma |x - y|^2)``, and a linear hinge-loss model is fitted over
-them, one pass over the rows an iteration. Probabilities come from Platt's
-logistic curve over margins of rows that the fold's model has not seen.
+them. Probabilities come from Platt's logistic curve over margins of rows that
+the fold's model has not seen.
+
+The models of the folds and that of all rows are fitted side by side: one pass
+over the rows answers the points at which all of them ask for loss and slope.
+The rows are kept in blocks of ``BLOCK_ROWS``, dealt to tasks by their number,
+and mapped anew in each pass, so that a row keeps its features only.
+A task returns one small table of sums, which the driver adds up in
+the order of the tasks. Objective, steps and stopping rule are those of
+MLlib's ``LinearSVC``.
 
 Frequencies come from a seed, folds from a hash of the key, so a run can be
 repeated. Rows without a label or with a null or non-finite feature do not
@@ -14,20 +22,38 @@ train; a row that cannot be scored has the probability null.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
+from itertools import batched
+from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import RDD, StorageLevel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import dbl
 from riskframe.operators.explain import Model, finite
-from riskframe.session import written
+from riskframe.session import dealt, written
 
 COMPONENTS = 200
+BLOCK_ROWS = 1 << 8  # mapped, they stay in a core's cache
+TASK_ROWS = 1 << 15
+ALL = -1  # in place of the fold that a model leaves out
+
+
+def cosine(x: np.ndarray) -> np.ndarray:
+    """cos(x) to float64 by the sine's series within a quarter turn, as whole-array steps."""
+    turn = x / (2 * math.pi)
+    with np.errstate(invalid="ignore"):
+        y = 2 * math.pi * (0.25 - np.abs(turn - np.rint(turn)))
+    square, out = y * y, np.full_like(y, 1 / math.factorial(21))
+    for n in range(19, 0, -2):
+        out *= square
+        out += (-1 if n % 4 == 3 else 1) / math.factorial(n)
+    out *= y
+    return out
 
 
 class FourierMap:
@@ -41,21 +67,146 @@ class FourierMap:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.deviation
-        return math.sqrt(2 / len(self.phase)) * np.cos(z @ self.frequency + self.phase)
-
-
-def _mapped(rows: DataFrame, features: list[str], to: FourierMap) -> DataFrame:
-    """(label, fold, features as a vector) as a written table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in features], axis=1)
-            z = to(x)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("fold"), lists], names=["label", "fold", "z"])
-
-    table = written(rows.mapInArrow(run, "label double, fold int, z array<double>"), "fourier")
-    return table.select("label", "fold", array_to_vector("z").alias("features"))
+        return math.sqrt(2 / len(self.phase)) * cosine(z @ self.frequency + self.phase)
+
+
+class Block(NamedTuple):
+    label: np.ndarray   # -1 or 1
+    fold: np.ndarray
+    x: np.ndarray       # a row's features a line
+
+
+def _blocks(rows: DataFrame, features: list[str]) -> RDD:
+    """The rows as blocks, in memory or on the executors' disks."""
+
+    def run(part: Iterable[tuple]) -> Iterator[Block]:
+        for some in batched(part, BLOCK_ROWS):
+            x = np.array(some, np.float64)
+            yield Block(2 * x[:, 0] - 1, x[:, 1].astype(np.int32), x[:, 2:])
+
+    return dealt(rows.select("label", "fold", *features), TASK_ROWS).rdd.mapPartitions(run).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _total(blocks: RDD, shape: tuple[int, ...], measure) -> np.ndarray:
+    """The sum of ``measure(block)`` over all blocks; one table of ``shape`` a task reaches the driver."""
+
+    def run(part: Iterator[Block]) -> Iterator[np.ndarray]:
+        out = np.zeros(shape)
+        for block in part:
+            out += measure(block)
+        yield out
+
+    return sum(blocks.mapPartitions(run).collect(), np.zeros(shape))
+
+
+def _descent(size: int, max_iter: int, tolerance: float = 1e-6, memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """A minimum from zero on, by quasi-Newton steps of limited memory that keep to their orthant: yields the points
+    at which it needs (value, gradient), returns the last one."""
+    x = np.zeros(size)
+    value, grad = yield x
+    first, seen, steps, failed = value, [math.inf], [], False
+    for n in range(max_iter):
+        if np.linalg.norm(grad) <= max(tolerance * value, 1e-8) or (n and abs(value - max(seen)) <= tolerance * first):
+            break
+        while True:
+            to = _direction(grad, steps)
+            if to is not None:
+                to = np.where(to * grad < 0, to, 0.0)
+                side = np.where(x != 0, np.sign(x), np.sign(-grad))
+                slope, shrink = to @ grad, 0.1 if n == 0 else 0.5
+                if slope == 0:
+                    return x
+                at = shrink * (0.5 / np.linalg.norm(grad) if n == 0 else 1.0)  # as in LinearSVC, the whole step is never taken
+                for _ in range(19):
+                    there = x + at * to
+                    there = np.where(np.sign(there) == side, there, 0.0)
+                    new, new_grad = yield there
+                    along = new_grad @ to
+                    if new > value + 1e-4 * at * slope or -0.9 * slope < along:
+                        factor = shrink
+                    elif along < 0.9 * slope:
+                        factor = 2.1
+                    else:
+                        break
+                    if not 1e-10 <= at * factor <= 1e10:
+                        to = None
+                        break
+                    at *= factor
+            if to is not None:
+                break
+            if failed:
+                return x
+            steps, failed = [], True  # once more, along the slope
+        failed = False
+        steps = [(there - x, new_grad - grad), *steps][:memory]
+        x, value, grad = there, new, new_grad
+        seen = [*seen, value][-20:]
+    return x
+
+
+def _direction(grad: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray | None:
+    """Against the gradient, bent by the last steps (step, change of the gradient), newest first; None if they say nothing."""
+    out, shares = grad.copy(), []
+    with np.errstate(all="ignore"):
+        for step, change in steps:
+            shares.append(step @ out / (step @ change))
+            out -= shares[-1] * change
+        if steps:
+            out *= steps[0][0] @ steps[0][1] / (steps[0][1] @ steps[0][1])
+        for (step, change), share in zip(reversed(steps), reversed(shares), strict=True):
+            out += (share - change @ out / (step @ change)) * step
+    bad = steps and steps[0][0] @ steps[0][1] < 0
+    return None if bad or np.isnan(out).any() else -out
+
+
+def fit_margins(blocks: RDD, to: FourierMap, left_out: list[int], penalty: float, max_iter: int) -> dict[int, tuple[np.ndarray, float]]:
+    """(weights, intercept) of a hinge-loss model for each fold to leave out. Components are scaled by their deviation
+    for the steps, the penalty is on the weights as they are."""
+    centre = to(to.mean[None])[0]
+    size = len(centre)
+    at_fold = np.array(left_out)
+
+    def moments(b: Block) -> np.ndarray:
+        z = to(b.x) - centre
+        kept = (b.fold[:, None] != at_fold).astype(np.float64)
+        return np.concatenate([kept.sum(axis=0)[None], z.T @ kept, (z * z).T @ kept])
+
+    got = _total(blocks, (1 + 2 * size, len(left_out)), moments)
+    count, one, two = got[0], got[1:1 + size], got[1 + size:]
+    deviation = np.sqrt(np.maximum(two - one ** 2 / count, 0) / np.maximum(count - 1, 1))
+    scale = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 1e-12)
+    mean = centre[:, None] + one / count
+    searches = [_descent(size + 1, max_iter) for _ in left_out]
+    points, ends = {i: next(s) for i, s in enumerate(searches)}, {}
+
+    def plain(i: int, point: np.ndarray) -> tuple[np.ndarray, float]:
+        weights = point[:size] * scale[:, i]
+        return weights, float(point[size] - weights @ mean[:, i])
+
+    while points:
+        asked = list(points)
+        pairs = [plain(i, points[i]) for i in asked]
+        weights, shift = np.stack([w for w, _ in pairs], axis=1), np.array([s for _, s in pairs])
+        out = at_fold[asked]
+
+        def measure(b: Block, weights=weights, shift=shift, out=out) -> np.ndarray:
+            z = to(b.x)
+            loss = 1 - b.label[:, None] * (z @ weights + shift)
+            held = (loss > 0) & (b.fold[:, None] != out)
+            pull = np.where(held, -b.label[:, None], 0.0)
+            return np.concatenate([z.T @ pull, pull.sum(axis=0)[None], np.where(held, loss, 0.0).sum(axis=0)[None]])
+
+        sums = _total(blocks, (size + 2, len(asked)), measure)
+        for j, i in enumerate(asked):
+            pull, bias, loss = sums[:size, j], sums[size, j], sums[size + 1, j]
+            slope = np.append(scale[:, i] * (pull - bias * mean[:, i]), bias) / count[i]
+            slope[:size] += penalty * scale[:, i] * pairs[j][0]
+            try:
+                points[i] = searches[i].send((loss / count[i] + penalty / 2 * float(pairs[j][0] @ pairs[j][0]), slope))
+            except StopIteration as end:
+                ends[left_out[i]] = plain(i, end.value)
+                del points[i]
+    return ends
 
 
 def fit_kernel_svm(train: DataFrame, key: str, label: str, features: list[str], c: float = 1.0, gamma: float | None = None,
@@ -71,20 +222,24 @@ def fit_kernel_svm(train: DataFrame, key: str, label: str, features: list[str],
         return lambda x: np.full(len(x), share)
     at = [np.array([stats[f"{k}{i}"] for i in range(len(features))]) for k in "md"]
     to = FourierMap(*at, components, gamma or 1.0 / len(features), seed)
-    data = _mapped(rows, features, to)
-    svc = LinearSVC(regParam=1.0 / (c * stats["n"]), maxIter=max_iter, standardization=False)
-    held = None
-    for k in range(folds):
-        rest = data.where(F.col("fold") != k)
-        if rest.select("label").distinct().count() < 2:
-            continue
-        got = svc.fit(rest).transform(data.where(F.col("fold") == k))
-        held = got if held is None else held.unionByName(got)
-    model = svc.fit(data)
-    scores = (model.transform(data) if held is None else held).select("label", "rawPrediction")
-    curve = LogisticRegression(maxIter=max_iter).fit(
-        scores.select("label", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features")))
-    weights, bias = model.coefficients.toArray(), float(model.intercept)
+    sizes = rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each fold and label
+    if any(r["label"] not in (0.0, 1.0) for r in sizes):
+        raise ValueError("labels are 0 and 1")
+    parted = [k for k in range(folds) if len({r["label"] for r in sizes if r["fold"] != k}) == 2]
+    blocks = _blocks(rows, features)
+    models = fit_margins(blocks, to, [*parted, ALL], 1.0 / (c * stats["n"]), max_iter)
+    weights, bias = models[ALL]
+    of = {k: models[k] for k in parted} if parted else {k: models[ALL] for k in range(folds)}
+
+    def margins(part: Iterator[Block]) -> Iterator[tuple[float, float]]:
+        for b in part:
+            for k, (w, shift) in of.items():
+                held = b.fold == k
+                yield from zip(((b.label[held] + 1) / 2).tolist(), (to(b.x[held]) @ w + shift).tolist(), strict=True)
+
+    scores = written(train.sparkSession.createDataFrame(blocks.mapPartitions(margins), "label double, margin double", verifySchema=False), "margins")
+    blocks.unpersist()
+    curve = LogisticRegression(maxIter=max_iter).fit(scores.select("label", array_to_vector(F.array("margin")).alias("features")))
     slope, shift = float(curve.coefficients[0]), float(curve.intercept)
 
     def predict(x: np.ndarray) -> np.ndarray:

@@ -152,6 +152,11 @@ def test_scores_and_attributions_go_together(frame):
         assert abs(1 / (1 + math.exp(-r["score"])) - probs[r["id"]]) < 1e-12
 
 
+def test_rows_of_one_file_are_binned_by_every_task(frame):
+    data = en.binned(frame.coalesce(1), "y", ["a", "b", "c"])
+    assert data.rows.rdd.getNumPartitions() == 4 and data.count == frame.where("y IS NOT NULL").count()
+
+
 def test_no_rows_and_one_class(spark, frame):
     none = frame.where("y IS NULL")
     ones = frame.where("y = 1")

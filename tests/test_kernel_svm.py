@@ -2,8 +2,9 @@ import math
 import random
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 
 from riskframe.operators import explain, kernel_svm
 
@@ -51,3 +52,30 @@ def test_one_class_and_no_rows(spark):
     df = spark.createDataFrame([(1, 0.5, 1), (2, 0.7, 1)], "id long, a double, y int")
     assert kernel_svm.fit_kernel_svm(df, "id", "y", ["a"])(np.zeros((2, 1))).tolist() == [1.0, 1.0]
     assert np.isnan(kernel_svm.fit_kernel_svm(df.limit(0), "id", "y", ["a"])(np.zeros((2, 1)))).all()
+
+
+def test_models_side_by_side_are_those_of_linear_svc(spark):
+    rows = [(float(y), i % 3, a, b) for i, a, b, y in ring(240, 3)]
+    x = np.array([r[2:] for r in rows])
+    to = kernel_svm.FourierMap(x.mean(axis=0), x.std(axis=0), 20, 0.7, 5)
+    blocks = kernel_svm._blocks(spark.createDataFrame(rows, "label double, fold int, a double, b double"), ["a", "b"])
+    got = kernel_svm.fit_margins(blocks, to, [0, kernel_svm.ALL], 0.01, 8)
+    mapped = spark.createDataFrame([(r[0], r[1], z.tolist()) for r, z in zip(rows, to(x), strict=True)], "label double, fold int, z array<double>")
+    for fold, (weights, intercept) in got.items():
+        want = LinearSVC(regParam=0.01, maxIter=8, standardization=False).fit(
+            mapped.where(f"fold != {fold}").select("label", array_to_vector("z").alias("features")))
+        assert np.allclose(weights, want.coefficients.toArray(), atol=1e-9) and abs(intercept - want.intercept) < 1e-9
+
+
+def test_all_folds_share_a_pass(spark):
+    df = spark.createDataFrame(ring(300, 4), "id long, a double, b double, y int")
+    spark.sparkContext.setJobGroup("kernel", "kernel")
+    kernel_svm.fit_kernel_svm(df, "id", "y", ["a", "b"], gamma=1.0, max_iter=15)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("kernel"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 90  # four fits by themselves take more than 120
+
+
+def test_cosines():
+    x = np.linspace(-50, 50, 100_001)
+    assert np.abs(kernel_svm.cosine(x) - np.cos(x)).max() < 1e-14
